@@ -12,6 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters \x20 and \x09-\x0D, which separate words and are stripped from lines.
 SPACES = " \t\n\x0b\x0c\r"
 LOWEST = -(2**63)
+#: A written table of at most so many thin rows is broadcast; a larger one is joined by a shuffle.
+SMALL = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table of thin rows, broadcast if it has few of them."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)
