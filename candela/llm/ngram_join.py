@@ -6,9 +6,12 @@ until there are tau + 1 of them; if there are not so many it is extended by freq
 Partners then share a rare token of their prefixes or a pair of frequent ones: rare tokens are indexed singly, frequent ones
 as 2-token combinations. Candidates are verified on whole shingle sets.
 
-Groups of copies would pair all with all. So sets are first linked to leaders, other sets with an equal minimum hash; links
-are verified, and what hangs together by them is a cluster. The index joins only sets of different clusters, and a token is
-frequent if many clusters hold it. No link between clusters is lost, and inside a cluster none changes a component.
+Groups of copies would pair all with all. So sets are first linked to leaders: of the sets with an equal minimum hash the one
+whose minimum hashes are the most common, which in a group of altered copies is close to the original. Links are verified,
+and what hangs together by them is a cluster. The index joins only sets of different clusters, and a token is frequent if
+many clusters hold it. No link between clusters is lost, and inside a cluster none changes a component. Pairs that miss
+narrowly are ruled out in the join itself: a bit for the parity of the tokens of each of BITS classes bounds from below
+how far two sets differ.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from candela.llm.common import hash128, packed, small, table, unpacked, written
 
 #: Minimum hashes by which leaders are found. They bound the work, not the result.
-LEADERS = 4
+LEADERS = 16
+#: Parity bits of a set, which bound the difference of two sets from below.
+BITS = 1024
 #: A token in more clusters than this is frequent, as long as there are at most MOST_FREQUENT of them; if not, the threshold rises.
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
 
@@ -50,37 +55,32 @@ def misses(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-SETS = "id long, k1 long, k2 long, n long, sid long, keys array<long>, head array<long>"
+SETS = "id long, k1 long, k2 long, n long, sid long, keys array<long>, head array<long>, bits array<long>"
 
 
 def _sets(k: int, percent: int):
-    salts = [np.uint64((2 * s + 1) * 0xD6E8FEB86659FD93 % 2**64) for s in range(1, LEADERS + 1)]
+    salts = np.array([(2 * s + 1) * 0xD6E8FEB86659FD93 % 2**64 for s in range(1, LEADERS + 1)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, sid, keys, head = [], [], [], []
+                n, sid, keys, head, bits = [], [], [], [], []
                 for text in batch["text"].to_pylist():
                     x = shingles(text, k)
                     n.append(len(x))
                     sid.append(xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63)
                     u = x.view(np.uint64)
-                    keys.append(np.array([_least(u, s) for s in salts], np.int64) if len(x) else x)
+                    keys.append(np.array([(u * s).min() for s in salts], np.uint64).view(np.int64) if len(x) else x)
+                    bits.append(np.packbits(np.bincount((x & (BITS - 1)), minlength=BITS) & 1).view(np.int64))
                     head.append(x[: misses(len(x), percent) * 5 // 4 + 9])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"], batch["k1"], batch["k2"], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(head, pa.list_(pa.int64()))],
+                    [batch["id"], batch["k1"], batch["k2"], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(c, pa.list_(pa.int64())) for c in (head, bits))],
                     names=[x.split()[0] for x in SETS.split(", ")],
                 )
 
     return run
 
 
-def _least(u: np.ndarray, salt: np.uint64) -> int:
-    h = (u ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(31)
-    return int((h * salt).min().view(np.int64))
-
-
 INDEX = "sig long, sid long, cluster long, n long, p long, last long"
 
 
@@ -175,17 +175,17 @@ class Join:
         return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * self.percent
 
     def to_leaders(self) -> DataFrame:
-        """Pairs of a set and a leader, the smallest set with the same minimum hash."""
-        keyed = self.sets.filter("n > 0").select("sid", "n", F.posexplode("keys").alias("i", "key"))
-        found = keyed.groupBy("i", "key").agg(F.min(F.struct("sid", "n")).alias("lead"), F.max("sid").alias("most")).filter("lead.sid < most")
-        leads = written(found.select("i", "key", F.col("lead.sid").alias("b"), F.col("lead.n").alias("m")), "ngram-leaders")
-        return keyed.join(leads, ["i", "key"]).filter((F.col("sid") != F.col("b")) & self.fits("n", "m")).select(F.col("sid").alias("a"), "b").distinct()
-
-    def clusters(self, links: DataFrame) -> DataFrame:
-        """sid, cluster for the sets that have a verified leader: the leader's own leader, else the leader."""
-        lead = written(links.groupBy("a").agg(F.min("b").alias("b")), "ngram-lead")
-        up = lead.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        return written(lead.join(up, "b", "left").select(F.col("a").alias("sid"), F.coalesce("c", "b").alias("cluster")), "ngram-clusters")
+        """Pairs of a set and a leader: of the sets with the same minimum hash, the one whose minimum hashes are the most common."""
+        keyed = self.sets.filter("n > 0").select("sid", "n", F.posexplode("keys").alias("i", "key")).distinct()
+        common = written(keyed.groupBy("i", "key").agg(F.count("*").alias("sets")).filter("sets > 1"), "ngram-keys")
+        shared = written(keyed.join(common, ["i", "key"]), "ngram-shared-keys")
+        rank = shared.groupBy("sid").agg(F.round(F.sum(F.log2("sets")), 6).alias("rank"))
+        ranked = written(shared.join(rank, "sid").select("i", "key", "sid", "n", "rank"), "ngram-ranked")
+        # ties, which a group of copies has many of, fall differently for each hash, so that a group gets several leaders
+        best = F.max(F.struct("rank", F.xxhash64("i", "sid"), "sid", "n"))
+        leads = written(ranked.groupBy("i", "key").agg(best.alias("lead")).select("i", "key", F.col("lead.sid").alias("b"), F.col("lead.n").alias("m")), "ngram-leaders")
+        pairs = ranked.join(leads, ["i", "key"]).filter((F.col("sid") != F.col("b")) & self.fits("n", "m"))
+        return pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
 
     def candidates(self, clusters: DataFrame) -> DataFrame:
         """Distinct pairs of sets of different clusters that the index cannot rule out."""
@@ -208,8 +208,12 @@ class Join:
         # only tokens of more than one cluster can join
         several = rows.groupBy("sig").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).filter("x <> y").select("sig")
         rows = written(rows.join(small(written(several, "ngram-several")), "sig"), "ngram-index")
-        a, b = (rows.select("sig", *(F.col(c).alias(c + x) for c in ("sid", "cluster", "n", "p", "last"))) for x in "ab")
-        pairs = a.join(b, "sig").filter((F.col("sida") < F.col("sidb")) & (F.col("clustera") != F.col("clusterb")) & self.fits("na", "nb"))
+        own_bits = self.sets.select("sid", "bits").join(small(written(rows.select("sid").distinct(), "ngram-candidates")), "sid").dropDuplicates(["sid"])
+        rows = written(rows.join(own_bits, "sid"), "ngram-index-bits")
+        a, b = (rows.select("sig", *(F.col(c).alias(c + x) for c in ("sid", "cluster", "n", "p", "last", "bits"))) for x in "ab")
+        differ = sum((F.bit_count(F.get("bitsa", F.lit(i)).bitwiseXOR(F.get("bitsb", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+        close = differ * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)
+        pairs = a.join(b, "sig").filter((F.col("sida") < F.col("sidb")) & (F.col("clustera") != F.col("clusterb")) & self.fits("na", "nb") & close)
         pairs = pairs.groupBy(F.col("sida").alias("a"), F.col("sidb").alias("b"), "na", "nb", "pa", "pb", "lasta", "lastb").agg(F.count("*").alias("c"))
         # of the prefix that ends first, all tokens of the other set are in the other prefix: what it lacks is known
         overlap = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / (100 + self.percent) - 1e-9)
@@ -219,10 +223,10 @@ class Join:
     def components(self) -> DataFrame:
         """id, k1, k2, n, sid, component_id of each row."""
         near = self.links(self.to_leaders())
-        clusters = self.clusters(near)
+        clusters = connected(near.toDF("u", "v")).toDF("sid", "cluster")
         far = self.links(self.candidates(clusters))
         of = {c: clusters.select(F.col("sid").alias(c), F.col("cluster").alias(f"c{c}")) for c in "ab"}
-        edges = near.unionByName(far).join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+        edges = far.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
         joined = connected(edges.filter("u <> v").distinct())
         ids = self.sets.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
         at = ids.join(clusters, "sid", "left").withColumn("u", F.coalesce("cluster", "sid")).join(joined, "u", "left").select("sid", "least", F.coalesce("root", "u").alias("root"))
