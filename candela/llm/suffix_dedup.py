@@ -25,8 +25,10 @@ from candela.llm.common import hash128, packed, table, unpacked, written
 LENGTH, CONTEXT = 400, 32
 #: The depth in bytes to which multikey quicksort goes before blind tries take over, and the bytes it compares at once.
 SHALLOW, STEP = 64, 8
+#: Slices of one context from which they are compared by classes, not by visiting neighbours.
+MANY = 48
 #: Contexts with more distinct surroundings than this are settled by counting strings instead (see _counted).
-CROWD = 4096
+CROWD = 65_536
 
 
 # ---- anchors
@@ -160,6 +162,8 @@ def covered(slices: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> lis
         n = common(rights[a], rights[b])
         most[a], most[b] = max(most[a], n), max(most[b], n)
     shared = [common(lefts[a], lefts[b]) for a, b in zip(left_order, left_order[1:])]
+    if len(slices) >= MANY:
+        return _covered_many(slices, length, right_order, left_order, shared)
     out = []
     place = {s: i for i, s in enumerate(left_order)}
     for s, (left, right, n) in enumerate(slices):
@@ -190,6 +194,32 @@ def covered(slices: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> lis
     return out
 
 
+def _covered_many(slices: list[tuple[bytes, bytes, int]], length: int, right_order: list[int], left_order: list[int], left_shared: list[int]) -> list[tuple[int, int]]:
+    """The same in linear time for many slices: for each start, equal texts on both sides are runs of the two orders."""
+    n = len(slices)
+    left_len, right_len = (np.array([len(x[i]) for x in slices]) for i in (0, 1))
+    right_shared = [common(slices[a][1], slices[b][1]) for a, b in zip(right_order, right_order[1:])]
+    twice = np.array([x[2] > 1 for x in slices]) & (left_len + right_len >= length)
+    lo, hi = np.where(twice, left_len, 0), np.where(twice, right_len, 0)
+    runs = []
+    for order, shared in ((left_order, left_shared), (right_order, right_shared)):
+        runs.append((np.array(order), np.array(shared)))
+
+    def classes(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+        out = np.empty(n, np.int64)
+        out[order] = np.concatenate([[0], np.cumsum(shared < depth)])
+        return out
+
+    for d in range(int(left_len.max()) + 1):
+        fits = np.flatnonzero((left_len >= d) & (right_len >= length - d))
+        if len(fits) > 1:
+            key = (classes(*runs[0], d) * n + classes(*runs[1], length - d))[fits]
+            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+            hit = fits[count[inverse] > 1]
+            lo[hit], hi[hit] = np.maximum(lo[hit], d), np.maximum(hi[hit], length - d)
+    return list(zip(lo.tolist(), hi.tolist(), strict=True))
+
+
 # ---- the tasks
 
 
