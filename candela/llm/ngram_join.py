@@ -199,7 +199,7 @@ class Join:
         if n > MOST_FREQUENT:
             least = int(often.approxQuantile("clusters", [1 - MOST_FREQUENT / 2 / n], 1e-6)[0])
         frequent = np.sort(np.array([x[0] for x in often.filter(F.col("clusters") > least).select("sig").toLocalIterator()], np.int64))
-        index = written(own.mapInArrow(_prefixes(self.percent, frequent), INDEX).join(small(shared.select("sig").withColumn("known", F.lit(True))), "sig", "left").filter("known or p < 0").drop("known").distinct(), "ngram-index")
+        index = written(own.mapInArrow(_prefixes(self.percent, frequent), INDEX).join(shared.select("sig").withColumn("known", F.lit(True)), "sig", "left").filter("known or p < 0").drop("known").distinct(), "ngram-index")
         rows = index.filter("p > 0")
         heavy = index.filter("p < 0").select("sid", "cluster", "n")
         if not heavy.isEmpty():
