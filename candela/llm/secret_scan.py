@@ -41,7 +41,8 @@ FEATURES = ["length", "digits", "upper", "lower", "marks", "hexadecimal", "trans
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """id, start (0-based, in characters), candidate, word (where it stands), before, before2, after, path.
 
-    A null text has no candidates, a null path is empty. Every row and the whole text is searched; repeated rows repeat
+    A value that is assigned is a candidate as a whole, beside the long runs in it; whether letters alone are a secret is left
+    to the forest. A null text has no candidates, a null path is empty. Every row and the whole text is searched; repeated rows repeat
     their candidates; a text without candidates gives no row.
     """
     rows = packed(docs, id_col, text_col)
@@ -56,9 +57,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     offset = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.char_length(F.array_join(F.slice("words", 1, F.col("i")), " ")) + 1)
     found = at.select("id", "path", word(0).alias("word"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"), offset.alias("offset"))
     long, short = F.regexp_extract_all("word", F.lit(f"({LONG})"), F.lit(1)), F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
-    every = found.withColumn("candidate", F.explode(F.array_distinct(F.concat(long, F.filter(short, lambda x: ~x.rlike(LONG))))))
-    # letters alone are words, digits or both make a candidate
-    every = every.filter(F.col("candidate").rlike("[0-9]"))
+    every = found.withColumn("candidate", F.explode(F.array_distinct(F.concat(long, F.filter(short, lambda x: ~x.rlike(f"^({LONG})$"))))))
     return every.select("id", (F.col("offset") + F.instr("word", F.col("candidate")) - 1).cast("long").alias("start"), "candidate", "word", "before", "before2", "after", "path")
 
 
@@ -94,6 +93,10 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(xs))) + 1).cast("int"))
     word = lambda salt: pick(salt, "the", "of", "and", "value", "see", "about", "la", "der", "que", "in", "with", "new", "", "are.")
     name = lambda salt: pick(salt, "password", "token", "secret", "api_key", "auth_token", "access_key", "client_secret", "PASSWORD", "TOKEN")
+    alpha = lambda salt, k: F.translate(mixed(salt, k), "0123456789", "kQzWmJvBpH")
+    syllable = lambda salt: pick(salt, "ver", "ka", "tion", "lo", "schaft", "men", "ri", "sta", "ge", "nal", "bu", "ent", "po", "lich", "do", "ra")
+    natural = lambda salt, k: F.concat(*(syllable(f"{salt}{j}") for j in range(k)))
+    plain = lambda salt: pick(salt, *DICTIONARY)
     letters = lambda salt, k: F.translate(hexes(salt, k), "0123456789", "theronisad")
     # kind -> label, candidate, word in which it stands ({} is the candidate), two words before, word after
     eq = F.concat(name("n"), F.lit("={}"))
@@ -114,6 +117,23 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, F.concat(pick("x", "your_token_here_", "example_password_", "changeme_secret_"), digits("s", 3)), eq, word("p"), word("q"), word("r")),
         (0, F.concat(letters("t", 14), digits("u", 4)), F.lit("{}"), word("p"), word("q"), word("r")),
         (0, digits("v", 20), F.concat(pick("k", "order", "invoice", "id"), F.lit("={}")), word("p"), word("q"), word("r")),
+        # letters and marks only
+        (1, F.substring(alpha("la", 20), 1, 16), eq, word("p"), word("q"), word("r")),
+        (1, alpha("lb", 20), quote, name("n"), pick("e", "=", ":"), word("r")),
+        (1, alpha("lc", 20), F.lit("{}"), word("p"), word("q"), word("r")),
+        (1, F.concat(F.initcap(natural("ld", 2)), pick("le", "-", "!", "_", "."), F.initcap(natural("lf", 2)), pick("lg", "-", "!", "#", "$"), F.initcap(natural("lh", 3))), eq, word("p"), word("q"), word("r")),
+        (1, F.concat(alpha("li", 4), pick("lj", "!", "@", "#", "%"), F.lower(alpha("lk", 12))), eq, word("p"), word("q"), word("r")),
+        (0, natural("lm", 6), F.lit("{}"), word("p"), word("q"), word("r")),
+        (0, F.initcap(natural("ln", 6)), F.lit("{}"), word("p"), word("q"), word("r")),
+        (0, F.upper(natural("lo", 6)), F.lit("{}"), word("p"), word("q"), word("r")),
+        (0, F.concat_ws("-", plain("lp"), natural("lq", 2), plain("lr"), natural("ls", 2)), F.lit("{}"), word("p"), word("q"), word("r")),
+        (0, F.concat(plain("lt"), F.initcap(plain("lu")), F.initcap(plain("lv")), F.initcap(plain("lw"))), F.lit("{}"), word("p"), word("q"), word("r")),
+        (0, F.concat(plain("lt"), F.initcap(plain("lu")), F.initcap(plain("lv")), F.initcap(plain("lw"))), eq, word("p"), word("q"), word("r")),
+        (0, F.concat_ws("_", F.upper(plain("lx")), F.upper(plain("ly")), F.upper(plain("lz"))), eq, word("p"), word("q"), word("r")),
+        (0, F.concat(F.lit("/"), natural("ma", 2), F.lit("/"), natural("mb", 3), F.lit("/"), plain("mc")), F.lit("{}"), word("p"), word("q"), word("r")),
+        (0, F.concat(F.lit("//www."), natural("md", 3), pick("me", ".com/", ".org/", ".de/"), plain("mf")), F.lit("https:{}"), word("p"), word("q"), word("r")),
+        (0, pick("mg", "changeme", "required", "your_password", "example-token", "undefined", "process.env.PASSWORD", "config.password", "settings.SECRET_KEY", "example.password", "password-input-field"), eq, word("p"), word("q"), word("r")),
+        (0, natural("mh", 4), F.concat(pick("mi", "lang", "title", "name", "type", "see"), pick("mj", "={}", ":{}")), word("p"), word("q"), word("r")),
     ]
     parts = F.array(*(F.struct(F.lit(label).alias("label"), c.alias("candidate"), w.alias("form"), b2.alias("before2"), b.alias("before"), a.alias("after")) for label, c, w, b2, b, a in kinds))
     rows = spark.range(n).withColumnRenamed("id", "i").withColumn("x", F.element_at(parts, (F.pmod(i, F.lit(len(kinds))) + 1).cast("int")))

@@ -150,6 +150,18 @@ def test_secrets(spark):
     assert scored.filter("prediction = label").count() / scored.count() > 0.97
 
 
+def found_secrets(spark, t):
+    df = spark.createDataFrame([(i, x, None) for i, x in enumerate(t)], "doc_id long, text string, source string")
+    return df, {(r.id, r.start, r.candidate) for r in X.candidates(df).collect()}, {(r.id, r.start, r.candidate) for r in X.secret_scan(df, X.train(X.synthetic_findings(spark))).collect()}
+
+
+def test_secrets_of_letters_only(spark):
+    t = ["x password=Correct-Horse!Battery y", "see kQzWmJvBpHxRtLdGfYsN there", "a password=Xy1!abcdefghijklmnopq b", "lo Donaudampfschifffahrt und password=required le", "in internationalization we trust"]
+    _, all_, secrets = found_secrets(spark, t)
+    assert {(0, 11, "Correct-Horse!Battery"), (1, 4, "kQzWmJvBpHxRtLdGfYsN"), (2, 11, "Xy1!abcdefghijklmnopq"), (2, 15, "abcdefghijklmnopq"), (3, 3, "Donaudampfschifffahrt"), (4, 3, "internationalization")} <= all_
+    assert {(0, 11, "Correct-Horse!Battery"), (1, 4, "kQzWmJvBpHxRtLdGfYsN"), (2, 11, "Xy1!abcdefghijklmnopq")} <= secrets and not {3, 4} & {i for i, _, _ in secrets}
+
+
 # ---- mixing
 
 
