@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from candela.llm.common import packed, table
 
-#: Runs that can be secrets: long ones anywhere, and shorter ones that are assigned to something.
+#: Runs that can be secrets: long ones anywhere, and shorter ones that are assigned to something, in one word or over white space.
 LONG, ASSIGNED = "[A-Za-z0-9+/_\\-]{16,}={0,2}", "[:=][\"']?([A-Za-z0-9+/_\\-!@#$%^&*.]{8,})"
+VALUE = "^[\"']?([A-Za-z0-9+/_\\-!@#$%^&*.]{8,})"
+SPACE = "[\\x20\\x09-\\x0D]+"
 #: Words of the dictionary whose share in a candidate counts.
 DICTIONARY = (
     "about above account action admin after again also always another answer any application article back because before between build button case change check class click close code color common config connect content control core create "
@@ -42,21 +44,31 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, start (0-based, in characters), candidate, word (where it stands), before, before2, after, path.
 
     A value that is assigned is a candidate as a whole, beside the long runs in it; whether letters alone are a secret is left
-    to the forest. A null text has no candidates, a null path is empty. Every row and the whole text is searched; repeated rows repeat
+    to the forest. Words are parted by white space of any length; a value may follow its [:=] over white space. A null text has no candidates, a null path is empty. Every row and the whole text is searched; repeated rows repeat
     their candidates; a text without candidates gives no row.
     """
     rows = packed(docs, id_col, text_col)
     path = F.coalesce(F.col("rest").getField(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     spot = f"({LONG})|({ASSIGNED})"
-    rows = rows.select("id", "text", path.alias("path")).filter(F.col("text").rlike(spot))
-    # one character between words, so that places in the text can be added up
-    rows = rows.withColumn("words", F.split("text", "[\\x20\\x09-\\x0D]"))
-    hit = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(spot))
-    at = rows.select("*", F.explode(hit).alias("i"))
-    word = lambda j: F.coalesce(F.when(F.col("i") + j >= 0, F.get("words", F.col("i") + j)), F.lit(""))
-    offset = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.char_length(F.array_join(F.slice("words", 1, F.col("i")), " ")) + 1)
-    found = at.select("id", "path", word(0).alias("word"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"), offset.alias("offset"))
+    rows = rows.select("id", "text", path.alias("path")).filter(F.col("text").rlike(f"({LONG})|[:=]({SPACE})?{VALUE[1:]}"))
+    rows = rows.select("id", "path", F.split("text", SPACE).alias("words"), F.regexp_extract_all("text", F.lit(SPACE), F.lit(0)).alias("gaps"))
+    word = lambda i: F.coalesce(F.when(i >= 0, F.get("words", i)), F.lit(""))
+    after_sign = lambda i: word(i - 1).rlike("[:=]$") & word(i).rlike(VALUE)
+    # one walk over the words adds up their places and takes those with candidates
+    walked = F.aggregate(
+        F.sequence(F.lit(0), F.size("words") - 1),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,offset:int>>").alias("hits")),
+        lambda acc, i: F.struct(
+            (acc["at"] + F.char_length(word(i)) + F.coalesce(F.char_length(F.get("gaps", i)), F.lit(0))).alias("at"),
+            F.when(word(i).rlike(spot) | after_sign(i), F.array_append(acc["hits"], F.struct(i.alias("i"), acc["at"].alias("offset")))).otherwise(acc["hits"]).alias("hits"),
+        ),
+        lambda acc: acc["hits"],
+    )
+    around = lambda h: F.struct(h["offset"].alias("offset"), *(word(h["i"] + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))))
+    hits = rows.withColumn("hits", walked).select("id", "path", F.transform("hits", around).alias("hits"))
+    found = hits.select("id", "path", F.explode("hits").alias("hit")).select("id", "path", "hit.*")
     long, short = F.regexp_extract_all("word", F.lit(f"({LONG})"), F.lit(1)), F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
+    short = F.concat(short, F.when(F.col("before").rlike("[:=]$"), F.regexp_extract_all("word", F.lit(VALUE), F.lit(1))).otherwise(F.array().cast("array<string>")))
     every = found.withColumn("candidate", F.explode(F.array_distinct(F.concat(long, F.filter(short, lambda x: ~x.rlike(f"^({LONG})$"))))))
     return every.select("id", (F.col("offset") + F.instr("word", F.col("candidate")) - 1).cast("long").alias("start"), "candidate", "word", "before", "before2", "after", "path")
 
@@ -134,6 +146,16 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, F.concat(F.lit("//www."), natural("md", 3), pick("me", ".com/", ".org/", ".de/"), plain("mf")), F.lit("https:{}"), word("p"), word("q"), word("r")),
         (0, pick("mg", "changeme", "required", "your_password", "example-token", "undefined", "process.env.PASSWORD", "config.password", "settings.SECRET_KEY", "example.password", "password-input-field"), eq, word("p"), word("q"), word("r")),
         (0, natural("mh", 4), F.concat(pick("mi", "lang", "title", "name", "type", "see"), pick("mj", "={}", ":{}")), word("p"), word("q"), word("r")),
+        # short ones, with and without white space after the sign
+        (1, F.concat(letters("sa", 6), digits("sb", 3)), F.lit("{}"), word("p"), F.concat(name("n"), pick("e", ":", "=")), word("r")),
+        (1, F.substring(F.lower(mixed("sc", 20)), 1, 9), pick("sd", "{}", '"{}"', "'{}',"), name("n"), pick("e", "=", ":"), word("r")),
+        (1, F.concat(letters("se", 6), digits("sf", 2), pick("sg", "x", "!", "#")), pick("sh", '"{}"', '"{}",'), word("p"), F.concat(F.lit('"'), name("n"), F.lit('":')), word("r")),
+        (1, F.concat(natural("si", 2), F.substring(digits("sj", 6), 1, 4)), eq, word("p"), word("q"), word("r")),
+        (0, natural("sk", 4), pick("sl", "{}", '"{}"', "{},", "{}."), word("p"), F.concat(pick("sm", "note", "title", "name", "type", "see", "lang"), pick("e", ":", "=")), word("r")),
+        (0, F.concat(natural("sn", 2), digits("so", 3)), pick("sl", "{}", '"{}"'), word("p"), F.concat(pick("sp", "model", "file", "user", "name", "title"), pick("e", ":", "=")), word("r")),
+        (0, F.concat_ws("-", F.concat(F.lit("20"), F.substring(digits("sx", 4), 1, 2)), F.substring(digits("sq", 4), 1, 2), F.substring(digits("sr", 4), 1, 2)), F.lit("{}"), word("p"), F.concat(pick("ss", "date", "from", "until"), pick("e", ":", "=")), word("r")),
+        (0, digits("st", 9), F.lit("{}"), pick("su", "id", "order", "phone", "invoice"), pick("e", ":", "="), word("r")),
+        (0, pick("sv", "changeme", "required", "your_password", "example-token", "undefined", "process.env.PASSWORD", "config.password", "settings.SECRET_KEY", "example.password"), pick("sd", "{}", '"{}"', "'{}',"), word("p"), F.concat(name("n"), pick("e", ":", "=")), word("r")),
     ]
     parts = F.array(*(F.struct(F.lit(label).alias("label"), c.alias("candidate"), w.alias("form"), b2.alias("before2"), b.alias("before"), a.alias("after")) for label, c, w, b2, b, a in kinds))
     rows = spark.range(n).withColumnRenamed("id", "i").withColumn("x", F.element_at(parts, (F.pmod(i, F.lit(len(kinds))) + 1).cast("int")))

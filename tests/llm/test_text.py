@@ -162,6 +162,14 @@ def test_secrets_of_letters_only(spark):
     assert {(0, 11, "Correct-Horse!Battery"), (1, 4, "kQzWmJvBpHxRtLdGfYsN"), (2, 11, "Xy1!abcdefghijklmnopq")} <= secrets and not {3, 4} & {i for i, _, _ in secrets}
 
 
+def test_secrets_assigned_over_white_space(spark):
+    t = ["a password = s3cr3tpw9 b", "password: abc12345", '{"pwd": "hunter22x"}', "  password:\n\t 'hunter22x', c", "note: something else", "date: 2024-05-11 and password: required"]
+    df, all_, secrets = found_secrets(spark, t)
+    want = {(0, 13, "s3cr3tpw9"), (1, 10, "abc12345"), (2, 9, "hunter22x"), (3, 15, "hunter22x")}
+    assert want | {(4, 6, "something"), (5, 6, "2024-05-11"), (5, 31, "required")} == all_
+    assert secrets == want
+
+
 # ---- mixing
 
 
