@@ -18,6 +18,7 @@ from candela.llm.common import packed, table
 #: Runs that can be secrets: long ones anywhere, and shorter ones that are assigned to something, in one word or over white space.
 LONG, ASSIGNED = "[A-Za-z0-9+/_\\-]{16,}={0,2}", "[:=][\"']?([A-Za-z0-9+/_\\-!@#$%^&*.]{8,})"
 VALUE = "^[\"']?([A-Za-z0-9+/_\\-!@#$%^&*.]{8,})"
+PLACES = "array<struct<place:int,found:string>>"
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Words of the dictionary whose share in a candidate counts.
 DICTIONARY = (
@@ -44,8 +45,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, start (0-based, in characters), candidate, word (where it stands), before, before2, after, path.
 
     A value that is assigned is a candidate as a whole, beside the long runs in it; whether letters alone are a secret is left
-    to the forest. Words are parted by white space of any length; a value may follow its [:=] over white space. A null text has no candidates, a null path is empty. Every row and the whole text is searched; repeated rows repeat
-    their candidates; a text without candidates gives no row.
+    to the forest. Words are parted by white space of any length; a value may follow its [:=] over white space. A null text has no candidates, a null path is empty. Every row and the whole text is searched, and each place of
+    a candidate gives a row; repeated rows repeat their candidates; a text without candidates gives no row.
     """
     rows = packed(docs, id_col, text_col)
     path = F.coalesce(F.col("rest").getField(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
@@ -65,12 +66,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lambda acc: acc["hits"],
     )
     around = lambda h: F.struct(h["offset"].alias("offset"), *(word(h["i"] + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))))
-    hits = rows.withColumn("hits", walked).select("id", "path", F.transform("hits", around).alias("hits"))
-    found = hits.select("id", "path", F.explode("hits").alias("hit")).select("id", "path", "hit.*")
-    long, short = F.regexp_extract_all("word", F.lit(f"({LONG})"), F.lit(1)), F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
-    short = F.concat(short, F.when(F.col("before").rlike("[:=]$"), F.regexp_extract_all("word", F.lit(VALUE), F.lit(1))).otherwise(F.array().cast("array<string>")))
-    every = found.withColumn("candidate", F.explode(F.array_distinct(F.concat(long, F.filter(short, lambda x: ~x.rlike(f"^({LONG})$"))))))
-    return every.select("id", (F.col("offset") + F.instr("word", F.col("candidate")) - 1).cast("long").alias("start"), "candidate", "word", "before", "before2", "after", "path")
+    # exploded as an expression: of a column, Spark would infer a filter that is pushed below and splits the text for each word
+    found = rows.select("id", "path", F.explode(F.transform(walked, around)).alias("hit")).select("id", "path", "hit.*")
+    at_first = F.when(F.col("before").rlike("[:=]$"), _places(F.col("word"), VALUE)).otherwise(F.array().cast(PLACES))
+    short = F.filter(F.concat(_places(F.col("word"), ASSIGNED), at_first), lambda x: ~x["found"].rlike(f"^({LONG})$"))
+    every = found.withColumn("one", F.explode(F.array_distinct(F.concat(_places(F.col("word"), f"({LONG})"), short))))
+    return every.select("id", (F.col("offset") + F.col("one.place")).cast("long").alias("start"), F.col("one.found").alias("candidate"), "word", "before", "before2", "after", "path")
+
+
+def _places(word: Column, pattern: str) -> Column:
+    """place (0-based) and found, the pattern's group 1, of each match; the group must end where the match does."""
+    gaps, matches, groups = F.split(word, pattern), F.regexp_extract_all(word, F.lit(pattern), F.lit(0)), F.regexp_extract_all(word, F.lit(pattern), F.lit(1))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["match"])).alias("at"),
+        F.array_append(acc["out"], F.struct((acc["at"] + F.char_length(x["gap"]) + F.char_length(x["match"]) - F.char_length(x["group"])).alias("place"), x["group"].alias("found"))).alias("out"),
+    )
+    each = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"), groups.alias("group"))
+    return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")), step, lambda acc: acc["out"])
 
 
 def featured(found: DataFrame) -> DataFrame:

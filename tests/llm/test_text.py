@@ -170,6 +170,14 @@ def test_secrets_assigned_over_white_space(spark):
     assert secrets == want
 
 
+def test_secrets_at_every_place(spark):
+    key = "a1b2c3d4e5f6a7b8c9"
+    t = [f'é {{"token":"{key}","other":1,"token":"{key}"}}', f"password=Zq9{key}!x,password={key}", f"{key}==,{key}"]
+    _, all_, secrets = found_secrets(spark, t)
+    assert all_ == {(0, 12, key), (0, 51, key), (1, 9, f"Zq9{key}!x"), (1, 9, f"Zq9{key}"), (1, 42, key), (2, 0, key + "=="), (2, 21, key)}
+    assert all(t[i][s : s + len(c)] == c for i, s, c in all_) and {(0, 12, key), (0, 51, key)} <= secrets
+
+
 # ---- mixing
 
 
