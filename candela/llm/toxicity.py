@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import packed, table, unpacked, written
+from candela.llm.common import packed, small, table, unpacked, written
 
-#: About so many labelled rows at most are used for fitting, chosen by a hash of their ids.
+#: About so many labelled rows at most are used for fitting, chosen by a hash of their ids; the lexicon is counted on all.
 SAMPLE = 20_000
 #: Entries of the lexicon, and training rows that must hold one.
 ENTRIES, SUPPORT = 768, 4
@@ -71,11 +71,11 @@ def _counts(found: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["entry", "clean", "toxic"])
 
 
-def lexicon(sample: DataFrame, entries_most: int = ENTRIES, support: int = SUPPORT) -> list[str]:
+def lexicon(rows: DataFrame, entries_most: int = ENTRIES, support: int = SUPPORT) -> list[str]:
     """The entries that tell toxic from clean best, by the information that they give about the label; at most entries_most."""
-    n = {x["y"]: x["n"] for x in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = {x["y"]: x["n"] for x in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean, toxic = F.lit(float(n.get(0, 0))), F.lit(float(n.get(1, 0)))
-    sums = sample.select("text", "y").mapInArrow(_mine, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = rows.select("text", "y").mapInArrow(_mine, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     held = sums.filter(F.col("clean") + F.col("toxic") >= support)
     both, every = F.col("clean") + F.col("toxic"), clean + toxic
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
@@ -188,8 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = y.count()
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20))
     chosen = y if n <= sample else y.filter(part < int(sample / n * (1 << 20)))
-    rows = written(packed(docs, id_col, text_col).select("id", "text").join(F.broadcast(chosen), "id"), "toxic-sample")
-    names = lexicon(rows)
+    texts = packed(docs, id_col, text_col).select("id", "text")
+    names = lexicon(texts.join(small(y), "id"))
+    rows = written(texts.join(F.broadcast(chosen), "id"), "toxic-sample")
     votes = rows.select("text", "y").mapInArrow(_votes(names), "y int, at array<int>, n array<int>, marks array<boolean>, words long").toArrow()
     if not votes.num_rows:
         return {"names": [], "weights": [0.0] * (len(PATTERNS) + 1), "bias": -4.0}

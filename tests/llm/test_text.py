@@ -242,6 +242,14 @@ def test_toxicity(spark):
     assert V.scored(repeated(spark), model).count() == repeated(spark).count()
 
 
+def test_lexicon_counts_all_labelled_rows(spark):
+    r = random.Random(8)
+    t = {i: words(r, 20) + (" grumblewort" if i % 10 == 0 else "") for i in range(600)}
+    df = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in t], "doc_id long, toxic int")
+    assert "grumblewort" in V.train(df, labels, sample=20)["names"]  # about 2 of the sampled rows hold it, fewer than SUPPORT
+
+
 def test_label_model_shares_votes_of_correlated_voters():
     import numpy as np
 
