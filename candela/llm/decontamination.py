@@ -36,25 +36,34 @@ def shingle_hashes(w: Column, k: int) -> Column:
 
 
 def sketches(items: DataFrame, k: int, percent: int, item_col: str, text_col: str) -> DataFrame:
-    """item_id, n (its shingles), need (how many a document must have), shingles, sketch; items of fewer words than k have none."""
-    own = items.select(items[item_col].cast("long").alias("item_id"), words(F.coalesce(items[text_col].cast("string"), F.lit(""))).alias("w"))
+    """item, item_id, n (its shingles), need (how many a document must have), size (words in a shingle), shingles, sketch.
+
+    item is a hash of id and text, so that an item needs no id. The words of an item of fewer than k are its one shingle.
+    """
+    text = F.coalesce(items[text_col].cast("string"), F.lit(""))
+    own = items.select(F.xxhash64(items[item_col].cast("long"), text).alias("item"), items[item_col].cast("long").alias("item_id"), words(F.coalesce(items[text_col].cast("string"), F.lit(""))).alias("w"))
     own = written(own, "bench-items")
-    own = own.select("item_id", shingle_texts(F.col("w"), k).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), k))).alias("hashes"))
+    few = (F.size("w") < k) & (F.get("w", F.lit(0)) != "")
+    shingles = F.when(few, F.array(F.array_join("w", " "))).otherwise(shingle_texts(F.col("w"), k))
+    hashes = shingle_hashes(F.col("w"), k)
+    for size in range(1, k):
+        hashes = F.when(few & (F.size("w") == size), shingle_hashes(F.col("w"), size)).otherwise(hashes)
+    own = own.select("item", "item_id", F.when(few, F.size("w")).otherwise(k).alias("size"), shingles.alias("shingles"), F.array_sort(F.array_distinct(hashes)).alias("hashes"))
     own = written(own, "bench-shingles").withColumn("n", F.size("shingles")).filter("n > 0").withColumn("need", F.ceil(F.col("n") * percent / 100 - 1e-9).cast("int"))
-    return own.select("item_id", "n", "need", "shingles", F.slice("hashes", 1, F.col("n") - F.col("need") + 1).alias("sketch"))
+    return own.select("item", "item_id", "n", "need", "size", "shingles", F.slice("hashes", 1, F.col("n") - F.col("need") + 1).alias("sketch"))
 
 
 def found_items(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """k1, k2 (a hash of id and text), id, item_id, n, shared: the pairs with 100 * shared >= percent * n.
 
-    n are the item's distinct k-word shingles, shared those that the document has too. Items with fewer than k words are
-    never found; null texts are empty. Each pair is there once, for repeated rows and repeated items too. Empty tables on
+    n are the item's distinct k-word shingles, shared those that the document has too. An item with fewer than k
+    words is one shingle, of all its words; an item without words is never found; null texts are empty. Each pair is there once, for repeated rows and repeated items too. Empty tables on
     either side give none.
     """
     sketch = written(sketches(items, k, percent, item_col, item_text_col), "bench-sketches")
     # size classes by powers of two: at most 32 cutoffs, each of the items that the class's largest documents can contain
     class_of = lambda n: F.floor(F.log2(n)).cast("int")
-    classes = sketch.select(F.explode(F.sequence(class_of(F.col("need")), F.lit(31))).alias("c"), F.array_max("sketch").alias("top")).groupBy("c").agg(F.max("top").alias("cutoff"))
+    classes = sketch.filter(F.col("size") == k).select(F.explode(F.sequence(class_of(F.col("need")), F.lit(31))).alias("c"), F.array_max("sketch").alias("top")).groupBy("c").agg(F.max("top").alias("cutoff"))
     known = {x["c"]: x["cutoff"] for x in classes.collect()}
     cutoffs = F.array(*(F.lit(known.get(c)).cast("long") for c in range(32)))
     k1, k2 = hash128(F.col("id"), F.col("text"))
@@ -63,11 +72,18 @@ def found_items(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PE
     sized = rows.select("k1", "k2", words(F.col("text")).alias("w")).withColumn("m", F.size("w") - (k - 1))
     hashed = sized.select("k1", "k2", "m", F.get(cutoffs, F.when(F.col("m") > 0, class_of(F.col("m"))).otherwise(F.lit(-1))).alias("cutoff"), shingle_hashes(F.col("w"), k).alias("hashes"))
     low = hashed.select("k1", "k2", "m", F.explode(F.filter("hashes", lambda h: h <= F.col("cutoff"))).alias("h"))
-    pairs = low.join(sketch.select("item_id", "need", F.explode("sketch").alias("h")), "h").filter("m >= need").select("k1", "k2", "item_id").distinct()
+    pairs = low.join(sketch.filter(F.col("size") == k).select("item", "need", F.explode("sketch").alias("h")), "h").filter("m >= need").select("k1", "k2", "item")
+    for x in sketch.filter(F.col("size") < k).groupBy("size").agg(F.max(F.array_max("sketch")).alias("cutoff")).collect():
+        own = sized.select("k1", "k2", shingle_hashes(F.col("w"), x["size"]).alias("hashes"))
+        own = own.select("k1", "k2", F.explode(F.array_distinct(F.filter("hashes", lambda h: h <= x["cutoff"]))).alias("h"))  # noqa: B023
+        pairs = pairs.union(own.join(sketch.filter(F.col("size") == x["size"]).select("item", F.explode("sketch").alias("h")), "h").select("k1", "k2", "item"))
+    pairs = pairs.distinct()
     pairs = written(pairs, "bench-pairs")
     both = rows.select("k1", "k2", "id", "text").join(small(pairs), ["k1", "k2"]).withColumn("w", words(F.col("text"))).withColumn("own", shingle_texts(F.col("w"), k))
-    shared = F.size(F.array_intersect("shingles", "own"))
-    verified = both.select("k1", "k2", "id", "item_id", "own").join(sketch.select("item_id", "n", "shingles"), "item_id").select("k1", "k2", "id", "item_id", "n", shared.alias("shared"))
+    # a short item's words stand in a row in the document
+    within = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.get("shingles", F.lit(0)), F.lit(" ")))
+    shared = F.when(F.col("size") < k, within.cast("int")).otherwise(F.size(F.array_intersect("shingles", "own")))
+    verified = both.select("k1", "k2", "id", "item", "w", "own").join(sketch.select("item", "item_id", "n", "size", "shingles"), "item").select("k1", "k2", "id", "item_id", "n", shared.alias("shared"))
     return written(verified, "bench-verified").filter(F.col("shared") * 100 >= F.col("n") * percent).distinct()
 
 

@@ -130,6 +130,14 @@ def test_decontamination(spark):
     assert D.decontaminate(empty(spark), bench).count() == 0 and D.decontaminate(df, bench.limit(0)).count() == df.count()
 
 
+def test_decontamination_of_short_items_and_items_without_id(spark):
+    bench = spark.createDataFrame([(1, "Solo"), (2, "two words"), (3, "four words stand here"), (None, "an item that has no id at all"), (None, "--")], "item_id long, text string")
+    t = ["a SOLO, b", "soloist", "words two", "the two  words", "x four words; stand here", "four words stand", "so an item that has no id at all", "two", ""]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    assert {(x.id, x.item_id, x.n, x.shared) for x in D.found_items(df, bench).collect()} == {(0, 1, 1, 1), (3, 2, 1, 1), (4, 3, 1, 1), (6, None, 4, 4)}
+    assert {x.doc_id for x in D.decontaminate(df, bench).collect()} == {1, 2, 5, 7, 8}
+
+
 # ---- secrets
 
 
