@@ -221,7 +221,7 @@ class Join:
         return pairs.filter(lacks | (F.col("pa") < 0) | (F.col("pb") < 0)).select("a", "b").distinct()
 
     def components(self) -> DataFrame:
-        """id, k1, k2, n, sid, component_id of each row."""
+        """id, k1, k2, n, sid, root, component_id of each row; root names the component, and is null for rows without words."""
         near = self.links(self.to_leaders())
         clusters = connected(near.toDF("u", "v")).toDF("sid", "cluster")
         far = self.links(self.candidates(clusters))
@@ -232,7 +232,7 @@ class Join:
         at = ids.join(clusters, "sid", "left").withColumn("u", F.coalesce("cluster", "sid")).join(joined, "u", "left").select("sid", "least", F.coalesce("root", "u").alias("root"))
         at = written(at, "ngram-roots")
         least = written(at.groupBy("root").agg(F.min("least").alias("component_id")), "ngram-least")
-        final = written(at.select("sid", "root").join(least, "root").select("sid", "component_id"), "ngram-components")
+        final = written(at.select("sid", "root").join(least, "root").select("sid", "root", "component_id"), "ngram-components")
         mine = self.sets.select("id", "k1", "k2", "n", "sid")
         return mine.join(final, "sid", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
 
@@ -259,7 +259,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n (its shingles), sid (equal sets), component_id, and k1, k2, a hash of id and text.
+    """One row per row of docs: id, n (its shingles), sid (equal sets), root (of the component), component_id, and k1, k2, a hash of id and text.
 
     Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles; component_id is the smallest
     id reachable by links. Rows without words (null, empty, spaces) link with nothing. Repeated rows are copies of each
@@ -269,9 +269,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def ngram_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, the one with the smallest id; rows without words all stay."""
+    """docs with one row of each component, the one with the least id (null last) and then hash; rows without words all stay."""
     found = ngram_components(docs, k, percent, id_col, text_col)
-    stays = found.filter((F.col("n") == 0) | F.col("id").eqNullSafe(F.col("component_id"))).select("k1", "k2", "n").distinct()
+    first = found.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "k1", "k2", "n")).alias("first")).select("first.k1", "first.k2", "first.n")
+    stays = first.union(found.filter("n = 0").select("k1", "k2", "n").distinct())
     stays = written(stays, "ngram-stays")
     k1, k2 = hash128(F.col("id"), F.col("text"))
     rows = packed(docs, id_col, text_col).withColumns({"k1": k1, "k2": k2}).join(stays, ["k1", "k2"])

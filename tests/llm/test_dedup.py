@@ -144,6 +144,18 @@ def test_components_odd(spark):
     assert {i for i in ids if i is not None} == want and ids[5] == 1
 
 
+def test_one_row_of_each_component_stays(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = [" ".join([*w[:-1], x]) for x in ("a", "b", "c")]
+    far = [" ".join(f"{x}{i}" for i in range(30)) for x in "pq"]
+    t = [(7, near[0]), (7, near[1]), (9, near[2]), (None, far[0]), (None, far[0] + " end"), (None, far[1]), (None, near[0]), (3, ""), (None, None)]
+    df = spark.createDataFrame(t, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in N.ngram_dedup(df).collect()]
+    words_ = [x for x in kept if x[1]]
+    assert len(words_) == 3 and sum(x in t[:2] for x in words_) == 1 and sum(x in t[3:5] for x in words_) == 1 and t[5] in words_
+    assert len(kept) == 5 and t[7] in kept and t[8] in kept
+
+
 def test_connected(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(300)] + [(1000, r.randrange(1001, 1100)) for _ in range(80)]
