@@ -11,6 +11,7 @@ import pytest
 from helpers import rows
 from odd import docs, empty, repeated, texts, words
 from pyspark.sql import functions as F
+from test_dedup import brute_components, family, lower
 
 import corpus_pipeline
 from candela.llm import decontamination as D
@@ -282,3 +283,45 @@ def test_pipeline_stages(spark):
         assert len(ids) == len(set(ids)) and 0 < len(ids) < docs_.count(), name
     done = corpus_pipeline.run(spark, SF)
     assert done.columns == docs_.columns and done.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    r = random.Random(6)
+    t = family(2)
+    t |= {500 + i: x.upper() for i, x in list(t.items())[:8]}
+    t |= {600 + i: words(r, 20) + (" vilewort grumbly vilewort" if i % 4 == 0 else "") for i in range(120)}
+    # two long enough texts of different roots give the items; other documents stay
+    items = {j: " ".join(t[i].split()[:14]) for j, i in enumerate((601, 610))}
+    source = {i: f"s{i % 3}" for i in t}
+    spark.createDataFrame([(i, x, source[i]) for i, x in t.items()], "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(600 + i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs_, labels = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels"))
+
+    def shingles(x):
+        w = re.findall(r"[^\W_]+", x.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def clean(t):
+        score = {x.id: x.score for x in V.scored(docs_, V.train(docs_, labels)).collect()}
+        return {i for i in t if score[i] < 0.5}
+
+    def last(t):
+        return set({lower(x): i for i, x in sorted(t.items())}.values())
+
+    def roots(t):
+        return {c for _, c in brute_components(t, 5, 80).values()}
+
+    def unseen(t):
+        return {i for i, x in t.items() if all(len(shingles(x) & shingles(y)) * 100 < 80 * len(shingles(y)) for y in items.values())}
+
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, (clean, last, roots, unseen), strict=False):
+        out = stage(spark, docs_, str(tmp_path)).localCheckpoint()
+        got = sorted(x.doc_id for x in out.collect())
+        assert got == sorted(brute(t)) and 0 < len(got) < len(t), name
+        assert {x.doc_id: (x.text, x.source) for x in out.collect()} == {i: (t[i], source[i]) for i in got}
+        docs_, t = out, {i: t[i] for i in got}
+    copies = {x.id: x.copies for x in M.mixed(docs_).collect()}
+    mixed = sorted(x.doc_id for x in corpus_pipeline.STAGES[4][1](spark, docs_, str(tmp_path)).collect())
+    assert mixed == sorted(i for i in t for _ in range(copies[i])) and set(copies) == set(t)
+    assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == mixed
