@@ -12,6 +12,7 @@ import hashlib
 import pickle
 import shutil
 import tempfile
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,10 +27,51 @@ from candela.llm.common import packed, table, unpacked, written
 #: Bytes of content that one open-addressing table may hold before its bucket is spilled.
 TABLE_BYTES = 64 << 20
 FANOUT = 16
+#: Numbers of one text's rows that are held in memory.
+CHUNK = 1 << 16
+
+
+class Members:
+    """The rows of one text, four numbers each: whether there is an id, the id, -row, and how many rows it stands for.
+
+    The best of them and the sum of rows are kept as they come; from CHUNK numbers on, rows go to a file.
+    """
+
+    def __init__(self) -> None:
+        self.tail, self.file, self.best, self.rows = array("q"), None, None, 0
+
+    def add(self, chunk: array, top: tuple, rows: int) -> None:
+        self.best = top if self.best is None else max(self.best, top)
+        self.rows += rows
+        self.tail.extend(chunk)
+        if len(self.tail) >= CHUNK:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.tail.tofile(self.file)
+            self.tail = array("q")
+
+    def chunks(self) -> Iterator[array]:
+        if self.file:
+            self.file.seek(0)
+            while data := self.file.read(8 * CHUNK):
+                yield array("q", data)
+        if self.tail:
+            yield self.tail
+
+    def __iter__(self) -> Iterator[tuple]:
+        """id, row of each."""
+        for c in self.chunks():
+            for has, i, minus in zip(c[::4], c[1::4], c[2::4], strict=True):
+                yield i if has else None, -minus
+
+
+def record(content: bytes, i: int | None, row: int, rows: int, payload: bytes) -> list:
+    """Of rows with equal texts the largest id stays, then the first row; no id is less than any."""
+    top = (i is not None, i or 0, -row)
+    return [hashlib.sha256(content).digest(), content, array("q", [*top, rows]), top, rows, payload]
 
 
 class Table:
-    """Open addressing with linear probing; equal digests still compare their contents."""
+    """Open addressing with linear probing; equal digests still compare their contents. Entries: digest, content, members, payload of the best."""
 
     def __init__(self) -> None:
         self.slots, self.entries, self.bytes = [-1] * 1024, [], 0
@@ -41,45 +83,50 @@ class Table:
             i = (i + 1) & mask
         return i
 
-    def add(self, record: list) -> None:
-        digest, content, members, payload = record
+    def add(self, new: list) -> None:
+        digest, content, chunk, top, rows, payload = new
         i = self._slot(digest, content)
         if (e := self.slots[i]) >= 0:
             old = self.entries[e]
-            if best(members) > best(old[2]):
+            if top > old[2].best:
+                self.bytes += len(payload) - len(old[3])
                 old[3] = payload
-            old[2].extend(members)
-            self.bytes += 100 * len(members)
+            before = len(old[2].tail)
+            old[2].add(chunk, top, rows)
+            self.bytes += 8 * (len(old[2].tail) - before)
             return
         self.slots[i] = len(self.entries)
-        self.entries.append(record)
-        self.bytes += len(content) + len(payload) + 200
+        members = Members()
+        members.add(chunk, top, rows)
+        self.entries.append([digest, content, members, payload])
+        self.bytes += len(content) + len(payload) + 400
         if 2 * len(self.entries) > len(self.slots):
             self.slots = [-1] * (2 * len(self.slots))
             for n, old in enumerate(self.entries):
                 self.slots[self._slot(old[0], old[1])] = n
 
-
-def best(members: list[tuple]) -> tuple:
-    """Of the members (id, -row, count) the one that stays: the largest id, then the first row; no id is less than any."""
-    return max((m[0] is not None, m[0] or 0, m[1]) for m in members)
+    def records(self) -> Iterator[list]:
+        """The entries as records again; members in a file give a record a chunk."""
+        for digest, content, members, payload in self.entries:
+            for c in members.chunks():
+                yield [digest, content, c, max(zip(c[::4], c[1::4], c[2::4], strict=True)), sum(c[3::4]), payload]
 
 
 def grace(records: Iterator[list], budget: int, folder: Path, depth: int = 0) -> Iterator[list]:
     """Groups of records with equal contents: [digest, content, members, payload of the best member]."""
     held, files = Table(), []
     try:
-        for record in records:
+        for x in records:
             if not files:
-                held.add(record)
+                held.add(x)
                 if held.bytes <= budget or len(held.entries) < 2 or depth >= 32:
                     continue
                 folder.mkdir(parents=True, exist_ok=True)
                 files = [(folder / f"{depth}-{n}").open("w+b") for n in range(FANOUT)]
-                spill, held = held.entries, Table()
+                for y in held.records():
+                    pickle.dump(y, files[_digit(y[0], depth)], protocol=5)
+                held = Table()
             else:
-                spill = [record]
-            for x in spill:
                 pickle.dump(x, files[_digit(x[0], depth)], protocol=5)
         yield from held.entries
         for n, f in enumerate(files):
@@ -124,18 +171,17 @@ def _locally(budget: int, schema: pa.Schema):
             row = base
             for batch in batches:
                 for i, text, rest in zip(*(batch[c].to_pylist() for c in ("id", "text", "rest")), strict=True):
-                    content = (text or "").encode().lower()
-                    yield [hashlib.sha256(content).digest(), content, [(i, -row, 1)], pickle.dumps((text, rest))]
+                    yield record((text or "").encode().lower(), i, row, 1, pickle.dumps((text, rest)))
                     row += 1
 
         def rows() -> Iterator[tuple]:
             with tempfile.TemporaryDirectory() as tmp:
                 for digest, _, members, payload in grace(records(), budget, Path(tmp, "grace")):
-                    stays, sha = -best(members)[2], digest.hex()
+                    stays, sha = -members.best[2], digest.hex()
                     text, rest = pickle.loads(payload)
-                    for i, minus, _ in members:
-                        first = -minus == stays
-                        yield i, -minus, text if first else None, rest if first else None, stays, sha, len(members) if first else None
+                    for i, row in members:
+                        first = row == stays
+                        yield i, row, text if first else None, rest if first else None, stays, sha, members.rows if first else None
 
         yield from _batches(rows(), schema)
 
@@ -147,15 +193,14 @@ def _globally(budget: int, schema: pa.Schema):
         def records() -> Iterator[list]:
             for batch in batches:
                 for i, row, text, n in zip(*(batch[c].to_pylist() for c in ("id", "row", "text", "n")), strict=True):
-                    content = (text or "").encode().lower()
-                    yield [hashlib.sha256(content).digest(), content, [(i, -row, n)], b""]
+                    yield record((text or "").encode().lower(), i, row, n, b"")
 
         def rows() -> Iterator[tuple]:
             with tempfile.TemporaryDirectory() as tmp:
                 for _, _, members, _ in grace(records(), budget, Path(tmp, "grace")):
-                    has, i, minus = best(members)
-                    for _, m, _ in members:
-                        yield -m, -minus, i if has else None, sum(x[2] for x in members)
+                    has, i, minus = members.best
+                    for _, row in members:
+                        yield row, -minus, i if has else None, members.rows
 
         yield from _batches(rows(), schema)
 

@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import new_path, packed, table, written
+from candela.llm.common import hash128, new_path, packed, table, written
 
 LIMIT = 2048
-CACHE = "text_digest string, tokenizer_digest string, n_tokens long"
+COUNTS = "text_digest string, n_tokens long"
+STORED = COUNTS + ", tokenizer_digest string, shard string"
 #: Words whose counts a task remembers, and the longest such word.
 WORDS, WORD_CHARS = 200_000, 64
 
@@ -79,7 +80,7 @@ def counter(vocabulary: str):
     return by_word
 
 
-def _encode(vocabulary: str, version: str):
+def _encode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         for batch in batches:
@@ -87,38 +88,47 @@ def _encode(vocabulary: str, version: str):
             n: list[int] = []
             for i in range(0, len(texts), 128):
                 n += count(texts[i : i + 128])
-            yield pa.RecordBatch.from_arrays([batch["text_digest"], pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["text_digest", "tokenizer_digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch["text_digest"], pa.array(n, pa.int64())], names=["text_digest", "n_tokens"])
 
     return run
 
 
-def _cached(spark: SparkSession, cache: str) -> DataFrame:
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
-    return spark.read.schema(CACHE).parquet(cache)
+def _shard():
+    return F.substring("text_digest", 1, 2).alias("shard")
+
+
+def _stored(spark: SparkSession, cache: str, version: str, digests: DataFrame) -> DataFrame:
+    """The cache's counts of the digests. Its folders are tokenizer and shard, so a call reads only the shards that it needs."""
+    spark.createDataFrame([], STORED).write.mode("append").partitionBy("tokenizer_digest", "shard").parquet(cache)
+    shards = [x["shard"] for x in digests.select(_shard()).distinct().collect()]  # 256 at most
+    of = spark.read.schema(STORED).parquet(cache).filter((F.col("tokenizer_digest") == version) & F.col("shard").isin(shards))
+    return of.select("text_digest", "n_tokens").join(digests, "text_digest", "left_semi").groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens and over_limit per row of docs, each row once; null is an empty text with no tokens.
+    """id, n_bytes, n_tokens and over_limit per row of docs, each row once; null is an empty text with no tokens. An empty table gives an empty one.
 
     tokenizer: the path of a tokenizers .json file on the driver. cache: a folder of Parquet that all calls may share; calls
-    that append at the same time at worst store a count twice. Counts are without added tokens, truncation or padding.
+    that append at the same time at worst store a count twice. Counts are without added tokens, truncation or padding. Whole
+    texts are counted, very long ones too; further columns of docs are left out.
     """
     spark = docs.sparkSession
     vocabulary = Path(tokenizer).read_bytes()
     version = tokenizer_digest(vocabulary)
-    rows = packed(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("text_digest", F.sha2(F.col("text").cast("binary"), 256))
-    thin = rows.select("id", "text_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    stored = _cached(spark, cache).filter(F.col("tokenizer_digest") == version)
-    # of each distinct text that is missing, the row with the smallest id is encoded
-    chosen = thin.groupBy("text_digest").agg(F.min(F.coalesce("id", F.lit(0))).alias("id")).join(stored, "text_digest", "left_anti")
-    chosen = written(chosen.withColumnRenamed("id", "one"), "token-misses")
-    misses = rows.select(F.coalesce("id", F.lit(0)).alias("one"), "text_digest", "text").join(chosen, ["one", "text_digest"], "left_semi")
-    counted = misses.select("text_digest", "text").mapInArrow(_encode(vocabulary.decode(), version), CACHE)
-    counted.groupBy("text_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer_digest") == version).groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counts = written(counts, "token-counts")
-    return thin.join(counts, "text_digest").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    k1, k2 = hash128(F.col("id"), F.col("text"))
+    rows = packed(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k1": k1, "k2": k2})
+    thin = rows.select("k1", "k2", "id", F.sha2(F.col("text").cast("binary"), 256).alias("text_digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    thin = written(thin, "token-texts")
+    distinct = thin.groupBy("text_digest").agg(F.min(F.struct("k1", "k2")).alias("one"))
+    hits = written(_stored(spark, cache, version, thin.select("text_digest")), "token-hits")
+    # of each distinct text that is missing, one row is encoded
+    chosen = written(distinct.join(hits, "text_digest", "left_anti").select("one.*", "text_digest"), "token-misses")
+    misses = rows.select("k1", "k2", "text").join(chosen, ["k1", "k2"])
+    counted = misses.select("text_digest", "text").mapInArrow(_encode(vocabulary.decode()), COUNTS)
+    new = written(counted.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-new")
+    to_store = new.select("text_digest", "n_tokens", F.lit(version).alias("tokenizer_digest"), _shard())
+    to_store.repartition("shard").write.mode("append").partitionBy("tokenizer_digest", "shard").parquet(cache)
+    return thin.join(hits.unionByName(new), "text_digest").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

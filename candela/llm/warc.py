@@ -25,6 +25,8 @@ from candela.llm.common import new_path, table, written
 MIN_BYTES = 0
 #: Neighbouring ranges are read at once if at most GAP bytes lie between them, up to SPAN bytes at a time.
 GAP, SPAN = 64 << 10, 4 << 20
+#: Bytes of archives that one reading task gets; less, down to SPAN, where there are cores for more tasks.
+SPLIT = 64 << 20
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 DATE = "1970-01-01T00:00:00Z"
@@ -164,13 +166,22 @@ def _reader(folder: str, gap: int, span: int):
     return run
 
 
+def reading_tasks(places: DataFrame, split: int = SPLIT) -> int:
+    """How many tasks read these ranges: by the bytes behind the thin rows, which Spark does not see."""
+    total = places.agg(F.sum("length")).first()[0] or 0
+    cores = places.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // split), min(cores, -(-total // SPAN)))
+
+
 def read_warc(index: DataFrame, folder: str, gap: int = GAP, span: int = SPAN) -> DataFrame:
     """The records that index selects (any rows of it), one row each; a revisit's payload is empty.
 
-    The ranges are sorted by file and offset over all tasks, so no archive is bound to one task. An index row read twice
+    The ranges are sorted by file and offset over all tasks, so no archive is bound to one task, and a task gets about SPLIT
+    bytes at most. An index row read twice
     gives its record twice; an empty index gives none; a damaged record raises an error.
     """
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    places = index.select("file", "offset", "length")
+    places = places.repartitionByRange(reading_tasks(places), "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(_reader(folder, gap, span), RECORDS)
 
 

@@ -64,6 +64,20 @@ def test_warc_round_trip(spark):
     assert A.write_warc(pages(spark, []), new_path(spark, "t")).count() == 0
 
 
+def test_reading_tasks_follow_the_bytes(spark):
+    places = spark.createDataFrame([("a", i << 20, 1 << 20) for i in range(64)], "file string, offset long, length long")
+    assert A.reading_tasks(places, split=8 << 20) == 8 and A.reading_tasks(places, split=1 << 20) == 64
+    assert A.reading_tasks(places) == 4 and A.reading_tasks(places.limit(0)) == 1 and A.reading_tasks(places.limit(6)) == 2  # cores, down to SPAN
+    folder = new_path(spark, "t")
+    index = A.write_warc(pages(spark, [(i, f"{i} " * 500) for i in range(200)]), folder)
+    kept, A.SPAN = A.SPAN, 1 << 10
+    try:
+        out = A.read_warc(index, folder)
+        assert out.rdd.getNumPartitions() == A.reading_tasks(index) == 4 and out.count() == 200
+    finally:
+        A.SPAN = kept
+
+
 def test_ranges():
     places = [(0, 10), (10, 5), (100, 10), (200, 10)]
     assert list(A.ranges(places, gap=50, span=1000)) == [(0, 15, [0, 1]), (100, 110, [2]), (200, 210, [3])]
@@ -102,6 +116,28 @@ def test_token_counts(spark, name):
     assert T.token_counts(empty(spark), path, new_path(spark, "cache")).count() == 0
 
 
+def test_token_cache_is_read_and_written_by_need(spark):
+    import public_tokenizers
+
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "cache")
+    whole = docs(spark)  # with columns whose names the operator uses, and a very long text
+    first = {r.id: r.n_tokens for r in T.token_counts(whole, path, cache).collect()}
+    before = set(spark.read.parquet(cache).inputFiles())
+    one = docs(spark).filter("doc_id IN (3, 44)").unionByName(docs(spark, more=[(900, "nothing like it before")]).filter("doc_id = 900"))
+    got = {r.id: r.n_tokens for r in T.token_counts(one, path, cache).collect()}
+    assert got.keys() == {3, 44, 900} and all(got[i] == first[i] for i in (3, 44))
+    new = set(spark.read.parquet(cache).inputFiles()) - before
+    assert len(new) == 1 and spark.read.parquet(*new).count() == 1
+    digests = one.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_digest"))
+    version = T.tokenizer_digest(open(path, "rb").read())
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = T._stored(spark, cache, version, digests)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    shards = {r.text_digest[:2] for r in digests.collect()}
+    assert "tokenizer_digest" in filters and "shard" in filters and set(re.findall(r"\b[0-9a-f]{2}\b", filters)) == shards
+
+
 # ---- decontamination
 
 
