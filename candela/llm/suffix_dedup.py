@@ -1,12 +1,15 @@
 """Removal of byte strings that repeat across or within documents, by sorting suffixes.
 
-A suffix array of a corpus is one object; this is its work cut into pieces that Spark can deal out. Anchors are the
-positions whose hash of the next CONTEXT bytes is smallest in some run of positions, chosen so that every string of
-`length` bytes holds the whole context of at least one anchor. Equal strings hold the same anchors, so suffixes need to be
-sorted only at anchors, and only among anchors with equal contexts. Per context, deep-shallow sorting orders the texts
-after the anchors: multikey quicksort to a shallow depth, then a blind trie for each group whose common prefix goes deeper.
-The texts before the anchors are sorted the same way, reversed. The two orders and their common prefixes tell which
-strings of `length` bytes around an anchor occur elsewhere.
+A suffix array of a corpus is one object; this is its work cut into pieces that Spark can deal out. The anchor of a string of
+`length` bytes is the place in it whose hash of the next CONTEXT bytes is smallest. Equal strings have the same anchor, so
+suffixes need to be sorted only at anchors, and only among anchors with equal contexts. An anchor's slice is the bytes of the
+strings that it is the anchor of. Per context, deep-shallow sorting orders the texts after the anchors: multikey quicksort to
+a shallow depth, then a blind trie for each group whose common prefix goes deeper. The texts before the anchors are sorted the
+same way, reversed. The two orders and their common prefixes tell which strings occur elsewhere.
+
+A context with very many different slices is split by further bytes: strings that start from `lo` to `hi` bytes before the
+anchor all hold the lo bytes before it and the length - hi bytes after it, so only slices that agree in these need to be
+sorted together. Bands of starts are narrowed until no group is large; a band of one start is one string, which is counted.
 """
 
 from __future__ import annotations
@@ -23,23 +26,26 @@ from pyspark.sql import functions as F
 from candela.llm.common import hash128, packed, table, unpacked, written
 
 LENGTH, CONTEXT = 400, 32
+#: Repeated strings from this length on are reported too, but not removed: passages of 50 words or so.
+PASSAGE = 256
 #: The depth in bytes to which multikey quicksort goes before blind tries take over, and the bytes it compares at once.
 SHALLOW, STEP = 64, 8
-#: Slices of one context from which they are compared by classes, not by visiting neighbours.
-MANY = 48
-#: Contexts with more distinct surroundings than this are settled by counting strings instead (see _counted).
-CROWD = 65_536
+#: Slices that are sorted together at most, and into how many bands of starts larger groups are split at a time.
+GROUP, BANDS = 128, 8
 
 
 # ---- anchors
 
 
-def anchors(data: bytes, length: int = LENGTH, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 64-bit context hashes of the anchors: each string of `length` bytes holds an anchor's whole context."""
+def anchors(data: bytes, lengths: tuple[int, ...] = (LENGTH,), context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """Places of the anchors, 64-bit hashes of their contexts, and where their slices start and end.
+
+    Each string of one of the lengths is in the slice of its anchor. The shortest length comes first: the anchors of longer
+    strings are among those of the shortest.
+    """
+    if len(data) < lengths[0]:
+        return (np.empty(0, np.int64),) * 4
     n = len(data) - context + 1
-    window = length - context + 1
-    if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -48,11 +54,21 @@ def anchors(data: bytes, length: int = LENGTH, context: int = CONTEXT) -> tuple[
             h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    # hash above, place below: the smallest of a window is unique, the leftmost of equals
+    # hash above, place below: the smallest of a window is unique, the leftmost of equals, and never moves left
     keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    at = np.unique(_window_min(keys, window)) & np.uint64(0xFFFFFFFF)
-    at = np.sort(at).astype(np.int64)
-    return at, h[at].view(np.int64)
+    at = start = end = None
+    for length in lengths:
+        if len(data) < length:
+            break
+        owner = (_window_min(keys, length - context + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        last = np.append(first[1:], len(owner)) - 1
+        if at is None:
+            at, start, end = owner[first], first.copy(), last + length
+        else:
+            i = np.searchsorted(at, owner[first])
+            start[i], end[i] = np.minimum(start[i], first), np.maximum(end[i], last + length)
+    return at, h[at].view(np.int64), start, end
 
 
 def _window_min(keys: np.ndarray, window: int) -> np.ndarray:
@@ -69,19 +85,11 @@ def _window_min(keys: np.ndarray, window: int) -> np.ndarray:
 # ---- deep-shallow sorting
 
 
-def common(a: bytes, b: bytes, start: int = 0) -> int:
-    """Length of the common prefix of a and b, which agree up to start."""
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix of a and b."""
     n = min(len(a), len(b))
-    if a[start:n] == b[start:n]:
-        return n
-    lo, hi = start, n
-    while hi - lo > 1:  # a and b agree before lo and differ before hi
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
 
 def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
@@ -148,8 +156,9 @@ def blind_trie(strings: list[bytes], group: list[int]) -> list[int]:
 # ---- what repeats around the anchors of one context
 
 
-def covered(slices: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> list[tuple[int, int]]:
-    """For each distinct (text before, text after, occurrences): bytes before and after the anchor that repeat, or (0, 0).
+def covered(slices: list[tuple[bytes, bytes, int]], length: int = LENGTH, passage: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """For each distinct (text before, text after, occurrences): bytes before and after the anchor that strings of `length`
+    bytes repeat, and the same for strings of `passage` bytes, which are no longer; zeros where none do.
 
     A string that starts l bytes before the anchor and ends r bytes after it repeats if another slice agrees so far on both
     sides. Neighbours in the order of the reversed texts before are visited outwards, with falling l, until no string can
@@ -162,209 +171,225 @@ def covered(slices: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> lis
         n = common(rights[a], rights[b])
         most[a], most[b] = max(most[a], n), max(most[b], n)
     shared = [common(lefts[a], lefts[b]) for a, b in zip(left_order, left_order[1:])]
-    if len(slices) >= MANY:
-        return _covered_many(slices, length, right_order, left_order, shared)
-    out = []
-    place = {s: i for i, s in enumerate(left_order)}
-    for s, (left, right, n) in enumerate(slices):
-        lo = hi = 0
-        if n > 1 and len(left) + len(right) >= length:
-            lo, hi = len(left), len(right)  # the whole slice is elsewhere too
-        else:
-            up = down = place[s]
-            l_up = shared[up - 1] if up else -1
-            l_down = shared[down] if down < len(shared) else -1
-            while max(l_up, l_down) >= 0:
-                if l_up >= l_down:
-                    up -= 1
-                    b, l = left_order[up], l_up
-                    l_up = min(l_up, shared[up - 1]) if up else -1
-                else:
-                    down += 1
-                    b, l = left_order[down], l_down
-                    l_down = min(l_down, shared[down]) if down < len(shared) else -1
-                if l + most[s] < length:
-                    break
-                r = common(right, rights[b])
+    out: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)] * len(slices)
+    for place, s in enumerate(left_order):
+        if slices[s][2] > 1:  # the whole slice is elsewhere too
+            whole = len(lefts[s]), len(rights[s])
+            out[s] = (*(whole if sum(whole) >= length else (0, 0)), *whole)
+            continue
+        lo = hi = low = high = 0
+        up = down = place
+        l_up = shared[up - 1] if up else -1
+        l_down = shared[down] if down < len(shared) else -1
+        while (l := max(l_up, l_down)) + most[s] >= passage and l >= 0:
+            if l_up >= l_down:
+                up -= 1
+                b = left_order[up]
+                l_up = min(l_up, shared[up - 1]) if up else -1
+            else:
+                down += 1
+                b = left_order[down]
+                l_down = min(l_down, shared[down]) if down < len(shared) else -1
+            r = common(rights[s], rights[b])
+            if l + r >= passage:
+                low, high = max(low, l), max(high, r)
                 if l + r >= length:
                     lo, hi = max(lo, l), max(hi, r)
-                    if r == most[s]:
-                        break
-        out.append((lo, hi))
+                if r == most[s]:
+                    break
+        out[s] = (lo, hi, low, high)
     return out
 
 
-def _covered_many(slices: list[tuple[bytes, bytes, int]], length: int, right_order: list[int], left_order: list[int], left_shared: list[int]) -> list[tuple[int, int]]:
-    """The same in linear time for many slices: for each start, equal texts on both sides are runs of the two orders."""
-    n = len(slices)
-    left_len, right_len = (np.array([len(x[i]) for x in slices]) for i in (0, 1))
-    right_shared = [common(slices[a][1], slices[b][1]) for a, b in zip(right_order, right_order[1:])]
-    twice = np.array([x[2] > 1 for x in slices]) & (left_len + right_len >= length)
-    lo, hi = np.where(twice, left_len, 0), np.where(twice, right_len, 0)
-    runs = []
-    for order, shared in ((left_order, left_shared), (right_order, right_shared)):
-        runs.append((np.array(order), np.array(shared)))
-
-    def classes(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
-        out = np.empty(n, np.int64)
-        out[order] = np.concatenate([[0], np.cumsum(shared < depth)])
-        return out
-
-    for d in range(int(left_len.max()) + 1):
-        fits = np.flatnonzero((left_len >= d) & (right_len >= length - d))
-        if len(fits) > 1:
-            key = (classes(*runs[0], d) * n + classes(*runs[1], length - d))[fits]
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            hit = fits[count[inverse] > 1]
-            lo[hit], hi[hit] = np.maximum(lo[hit], d), np.maximum(hi[hit], length - d)
-    return list(zip(lo.tolist(), hi.tolist(), strict=True))
+# ---- the tasks
 
 
-# ---- the tasks
+ANCHORS = "k1 long, k2 long, pos long, ctx long, s1 long, s2 long, lb long, la long"
+SLICE = ["ctx", "s1", "s2"]
 
 
-ANCHORS = "k1 long, k2 long, pos long, ctx long, s long, lb long, la long"
+def _fields(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def _signed(x: int) -> int:
-    return x - 2**63
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_fields(schema))
 
 
-def _anchors(length: int, context: int):
-    """Each anchor with the hash of its slice: the bytes from which a string that holds it can start to where one can end."""
-    reach = length - context
+def _anchors(lengths: tuple[int, ...], context: int):
+    """Each anchor with a 128-bit hash of its slice and of its place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for k1, k2, text in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "text")), strict=True):
                 data = (text or "").encode()
-                at, ctx = anchors(data, length, context)
-                start, end = np.maximum(at - reach, 0), np.minimum(at + length, len(data))
-                s = np.fromiter((_signed(xxhash.xxh3_64_intdigest(data[a:b], c & 0xFFFF)) for a, b, c in zip(start.tolist(), end.tolist(), (at - start).tolist(), strict=True)), np.int64, len(at))
-                for col, x in zip(cols, (np.full(len(at), k1), np.full(len(at), k2), at, ctx, s, at - start, end - at), strict=True):
+                at, ctx, start, end = anchors(data, lengths, context)
+                view = memoryview(data)
+                digests = b"".join([xxhash.xxh3_128_digest(view[a:b], x) for a, b, x in zip(start.tolist(), end.tolist(), (at - start).tolist(), strict=True)])
+                s = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                for col, x in zip(cols, (np.full(len(at), k1), np.full(len(at), k2), at, ctx, s[:, 0], s[:, 1], at - start, end - at), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], names=[x.split()[0] for x in ANCHORS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], names=_fields(ANCHORS))
 
     return run
 
 
-SLICES = "ctx long, s long, n long, before binary, after binary"
+#: g1, g2: slices with equal ones are sorted together.
+SLICES = "g1 long, g2 long, ctx long, s1 long, s2 long, n long, before binary, after binary"
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 3 + [pa.binary()] * 2
-    names = [x.split()[0] for x in SLICES.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
         for text, found in zip(*(batch[c].to_pylist() for c in ("text", "found")), strict=True):
             data = text.encode()
             for x in found:
-                rows.append((x["ctx"], x["s"], x["n"], data[x["pos"] - x["lb"] : x["pos"]], data[x["pos"] : x["pos"] + x["la"]]))
+                at = x["pos"]
+                rows.append((x["ctx"], 0, x["ctx"], x["s1"], x["s2"], x["n"], data[at - x["lb"] : at], data[at : at + x["la"]]))
             if len(rows) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield _rows(rows, SLICES)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-COVER = "ctx long, s long, lo long, hi long"
+            yield _rows(rows, SLICES)
 
 
-def _longs(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+COVER = "ctx long, s1 long, s2 long, lo long, hi long, low long, high long"
 
 
-def _cover(length: int):
-    """Rows sorted by ctx; a context's slices can be spread over batches."""
+def _cover(length: int, passage: int):
+    """Rows sorted by g1, g2; a group's slices can be spread over batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         done: list[tuple] = []
 
         def close() -> None:
-            held[:] = {x[1]: x for x in held}.values()
-            found = covered([(x[3], x[4], x[2]) for x in held], length)
-            done.extend((x[0], x[1], lo, hi) for x, (lo, hi) in zip(held, found, strict=True) if hi and x[2] == 1)
+            if len(held) > 1:
+                own = list({x[2:5]: x for x in held}.values())
+                found = covered([(x[6], x[7], x[5]) for x in own], length, passage)
+                done.extend((*x[2:5], *y) for x, y in zip(own, found, strict=True) if y[3] and x[5] == 1)
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("ctx", "s", "n", "before", "after")), strict=True):
-                if held and held[0][0] != row[0]:
+            for row in zip(*(batch[c].to_pylist() for c in _fields(SLICES)), strict=True):
+                if held and held[0][:2] != row[:2]:
                     close()
                     held = []
                 held.append(row)
             if len(done) > 4096:
-                yield _longs(done, COVER)
-                done.clear()
-        if held:
-            close()
+                yield _rows(done, COVER)
+                done = []
+        close()
         if done:
-            yield _longs(done, COVER)
+            yield _rows(done, COVER)
 
     return run
 
 
-STRINGS = "ctx long, s long, n long, left long, h1 long, h2 long"
+NODES = "g1 long, g2 long, ctx long, s1 long, s2 long, n long, lo long, hi long"
 
 
-def _strings(length: int):
-    """A hash of each string of `length` bytes in a slice; all of them hold the anchor's context."""
+def _nodes(length: int, width: int):
+    """Per slice and band of `width` starts: a hash of the bytes that all strings of the band hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ctx, s, n, before, after in zip(*(batch[c].to_pylist() for c in ("ctx", "s", "n", "before", "after")), strict=True):
-                data, rows = before + after, []
-                for i in range(min(len(before), len(data) - length) + 1):
-                    d = xxhash.xxh3_128_intdigest(data[i : i + length])
-                    rows.append((ctx, s, n, len(before) - i, _signed(d >> 64), _signed(d & (2**64 - 1))))
-                if rows:
-                    yield _longs(rows, STRINGS)
+            rows: list[tuple] = []
+            for ctx, s1, s2, n, before, after, bands in zip(*(batch[c].to_pylist() for c in (*SLICE, "n", "before", "after", "bands")), strict=True):
+                lb, la = len(before), len(after)
+                for band in bands:
+                    for lo in range(band["lo"], min(band["hi"], lb) + 1, width):
+                        hi = min(lo + width - 1, band["hi"])
+                        if la >= length - hi and lb + la >= length:
+                            d = xxhash.xxh3_128_intdigest(before[lb - lo :] + after[: length - hi], lo)
+                            rows.append(((d >> 64) - 2**63, d % 2**64 - 2**63, ctx, s1, s2, n, lo, hi))
+                if len(rows) >= 8192:
+                    yield _rows(rows, NODES)
+                    rows = []
+            if rows:
+                yield _rows(rows, NODES)
 
     return run
 
 
-def _counted(slices: DataFrame, length: int) -> DataFrame:
-    """The exact way for crowded contexts: their strings are hashed and counted with map-side sums, so no context is one task."""
-    same = ["ctx", "left", "h1", "h2"]  # one place of a string can hold several anchors
-    strings = written(slices.mapInArrow(_strings(length), STRINGS), "suffix-strings")
-    twice = written(strings.groupBy(same).agg(F.sum("n").alias("n")).filter("n > 1").select(same), "suffix-counts")
-    return strings.filter("n = 1").join(twice, same).groupBy("ctx", "s").agg(F.max("left").alias("lo"), F.max(length - F.col("left")).alias("hi"))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs in the form of packed() with `spans`, byte runs that repeated strings cover, sorted, overlapping (null: none).
+def _crowded(slices: DataFrame, length: int, context: int, group: int) -> DataFrame:
+    """The cover of slices (with bytes) of contexts with more than `group` of them: bands of starts, ever narrower."""
+    span = length - context
+    wide = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(span).cast("long").alias("hi"))
+    todo, width, parts = slices.withColumn("bands", F.array(wide)), span + 1, []
+    while True:
+        width = -(-width // BANDS)
+        nodes = written(todo.select(*SLICE, "n", "before", "after", "bands").mapInArrow(_nodes(length, width), NODES), "suffix-nodes")
+        sizes = written(nodes.groupBy("g1", "g2").agg(F.count("*").alias("slices")).filter("slices > 1"), "suffix-sizes")
+        several = written(nodes.join(sizes, ["g1", "g2"]), "suffix-several")
+        if width == 1:
+            parts.append(several.filter("n = 1").select(*SLICE, "lo", (length - F.col("lo")).alias("hi")))
+            break
+        trimmed = several.filter(F.col("slices") <= group).join(slices.select(*SLICE, "before", "after"), SLICE)
+        trimmed = trimmed.withColumn("before", F.expr("substring(before, greatest(octet_length(before) - hi, 0) + 1)")).withColumn("after", F.substring("after", F.lit(1), (length - F.col("lo")).cast("int")))
+        sorted_ = trimmed.select(*_fields(SLICES)).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+        parts.append(sorted_.mapInArrow(_cover(length, length), COVER).select(*SLICE, "lo", "hi"))
+        heavy = several.filter(F.col("slices") > group)
+        if heavy.isEmpty():
+            break
+        bands = written(heavy.groupBy(*SLICE).agg(F.collect_list(F.struct("lo", "hi")).alias("bands")), "suffix-bands")
+        todo = slices.join(bands, SLICE)
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return written(out.groupBy(*SLICE).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-crowded")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, context: int = CONTEXT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs in the form of packed() with `spans`, byte runs that repeated strings of `length` bytes cover, and
+    `passages`, runs that repeated strings of `passage` bytes cover (at most length; None: the same); sorted, overlapping (null: none).
 
     Texts are UTF-8 bytes, null is empty; matches never cross rows; a string repeats if it starts anywhere else, in the same
-    text too. Rows with equal id and text count as that many texts. An empty table gives an empty one. length must be at
-    least context + 8, context a multiple of 8.
+    text too. Rows with equal id and text count as that many texts. An empty table gives an empty one. Lengths must be at
+    least context + 8, context a multiple of 8. Very long texts are whole as all others; further columns are in `rest`.
     """
-    if context % 8 or length < context + 8:
-        raise ValueError("context must be a multiple of 8 and length at least context + 8")
+    passage = passage or length
+    if context % 8 or not context + 8 <= passage <= length:
+        raise ValueError("context must be a multiple of 8, and context + 8 <= passage <= length")
+    lengths = (passage, length) if passage < length else (length,)
     k1, k2 = hash128(F.col("id"), F.col("text"))
     rows = packed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"k1": k1, "k2": k2})
-    every = written(rows.select("k1", "k2", "text").mapInArrow(_anchors(length, context), ANCHORS), "suffix-anchors")
+    every = written(rows.select("k1", "k2", "text").mapInArrow(_anchors(lengths, context), ANCHORS), "suffix-anchors")
     twice = written(every.groupBy("ctx").agg(F.count("*").alias("n")).filter("n > 1").select("ctx"), "suffix-contexts")
     found = written(every.join(twice, "ctx"), "suffix-found")
-    slices = written(found.groupBy("ctx", "s").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lb", "la")).alias("one")), "suffix-slices")
-    several = slices.groupBy("ctx").agg(F.count("*").alias("slices")).filter("slices > 1")
+    slices = written(found.groupBy(*SLICE).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lb", "la")).alias("one")), "suffix-slices")
+    # written, so that a hot context's partition of the join can be split
+    several = written(slices.groupBy("ctx").agg(F.count("*").alias("slices")).filter("slices > 1"), "suffix-several")
+    uncertain = written(slices.join(several, "ctx"), "suffix-uncertain")
 
     def with_bytes(which: DataFrame) -> DataFrame:
-        places = which.select("ctx", "s", "n", "one.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("ctx", "s", "n", "pos", "lb", "la")).alias("found"))
+        places = which.select(*SLICE, "n", "one.*").groupBy("k1", "k2").agg(F.collect_list(F.struct(*SLICE, "n", "pos", "lb", "la")).alias("found"))
         # a row of docs that is there more than once gives its slices as often
         return rows.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("text", "found").mapInArrow(_slices, SLICES)
 
-    uncertain = written(slices.join(several, "ctx"), "suffix-several")
-    few = with_bytes(uncertain.filter(F.col("slices") <= crowd)).repartition("ctx").sortWithinPartitions("ctx")
-    cover = few.mapInArrow(_cover(length), COVER)
-    crowded = uncertain.filter(F.col("slices") > crowd)
+    few = with_bytes(uncertain.filter(F.col("slices") <= group)).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    cover = few.mapInArrow(_cover(length, passage), COVER)
+    crowded = uncertain.filter(F.col("slices") > group)
     if not crowded.isEmpty():
-        cover = cover.unionByName(_counted(with_bytes(crowded).dropDuplicates(["ctx", "s"]), length))
-    # a slice that occurs twice is covered whole; of the others, what covered() or the counts have found
-    known = slices.filter("n > 1").select("ctx", "s", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+        many = written(with_bytes(crowded).dropDuplicates(SLICE), "suffix-crowd")
+        both = _crowded(many, length, context, group).select(*SLICE, "lo", "hi", F.col("lo").alias("low"), F.col("hi").alias("high"))
+        if passage < length:
+            none = F.lit(0).cast("long")
+            both = both.unionByName(_crowded(many, passage, context, group).select(*SLICE, none.alias("lo"), none.alias("hi"), F.col("lo").alias("low"), F.col("hi").alias("high")))
+            both = both.groupBy(*SLICE).agg(*(F.max(c).alias(c) for c in ("lo", "hi", "low", "high")))
+        cover = cover.unionByName(both)
+    # a slice that occurs twice is covered whole; of the others, what covered() or the bands have found
+    long = F.when(F.col("one.lb") + F.col("one.la") >= length, 1).otherwise(0)
+    known = slices.filter("n > 1").select(*SLICE, (long * F.col("one.lb")).alias("lo"), (long * F.col("one.la")).alias("hi"), F.col("one.lb").alias("low"), F.col("one.la").alias("high"))
     cover = written(cover.unionByName(known), "suffix-cover")
-    start, end = F.col("pos") - F.coalesce("lo", "lb"), F.col("pos") + F.coalesce("hi", "la")
-    spans = found.join(cover, ["ctx", "s"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
-    return rows.join(spans, ["k1", "k2"], "left").select("id", "text", "rest", "spans")
+
+    def runs(left: str, right: str):
+        run = F.struct((F.col("pos") - F.col(left)).alias("start"), (F.col("pos") + F.col(right)).alias("end"))
+        return F.array_sort(F.collect_set(F.when(F.col(right) > 0, run)))
+
+    spans = found.join(cover, SLICE).groupBy("k1", "k2").agg(runs("lo", "hi").alias("spans"), runs("low", "high").alias("passages"))
+    return rows.join(spans, ["k1", "k2"], "left").select("id", "text", "rest", "spans", "passages")
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -379,24 +404,24 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+        cols: list[list] = [[] for _ in range(6)]
+        for text, spans, passages in zip(*(batch[c].to_pylist() for c in ("text", "spans", "passages")), strict=True):
             data, at, kept = text.encode(), 0, []
             runs = _merged(spans)
             for start, end in runs:
                 kept.append(data[at:start])
                 at = end
             left = b"".join([*kept, data[at:]])
-            for c, x in zip(cols, (left.decode(errors="replace"), len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()), strict=True):
+            for c, x in zip(cols, (left.decode(errors="replace"), len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), sum(b - a for a, b in _merged(passages))), strict=True):
                 c.append(x)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["rest"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "rest", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["rest"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "rest", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
 
 
 def cut(found: DataFrame) -> DataFrame:
     """The rows of repeats() with what is left of their texts, and figures and hash of it."""
     rest = found.schema["rest"].dataType.simpleString()
-    return found.mapInArrow(_cut, f"id long, rest {rest}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(_cut, f"id long, rest {rest}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -405,5 +430,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cut(repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns, and n_repeated: bytes in repeated strings of PASSAGE bytes, which stay where none of LENGTH bytes covers them."""
+    found = cut(repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")

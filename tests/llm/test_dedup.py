@@ -7,6 +7,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from odd import docs, empty, repeated, texts
 
 from candela.llm import exact_dedup as E
@@ -186,12 +187,12 @@ def test_connected(spark):
 def brute_repeats(t, n):
     c = collections.Counter()
     for x in t:
-        c.update(x[i : i + n] for i in range(len(x) - n + 1))
+        c.update(hash(x[i : i + n]) for i in range(len(x) - n + 1))
     out = []
     for x in t:
         gone = bytearray(len(x))
         for i in range(len(x) - n + 1):
-            if c[x[i : i + n]] > 1:
+            if c[hash(x[i : i + n])] > 1:
                 gone[i : i + n] = b"\1" * n
         runs = sum(1 for i in range(len(x)) if gone[i] and not (i and gone[i - 1]))
         kept = bytes(a for a, g in zip(x, gone) if not g)
@@ -199,16 +200,36 @@ def brute_repeats(t, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "crowd"), [(400, S.CROWD), (56, S.CROWD), (80, 2)])
-def test_repeats(spark, n, crowd):
+@pytest.mark.parametrize(("n", "passage", "group"), [(400, 256, S.GROUP), (56, None, S.GROUP), (80, None, 2), (96, 48, 2), (400, None, 2)])
+def test_repeats(spark, n, passage, group):
     t = texts(7)
-    df = docs(spark, 7, more=[(5, t[5]), (46, t[8]), (47, t[8][50:] + t[9])])
-    got = sorted((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.cut(S.repeats(df, n, crowd=crowd)).collect())
-    all_texts = [*t.items(), (5, t[5]), (46, t[8]), (47, t[8][50:] + t[9])]
-    want = sorted((i, *x) for (i, _), x in zip(all_texts, brute_repeats([(x or "").encode() for _, x in all_texts], n)))
+    more = [(5, t[5]), (46, t[8]), (47, t[8][50:] + t[9]), *((50 + i, f"{'ab' * (i % 40)}{i} {t[10][:700]} {i * 7}{t[11][i:90]}") for i in range(20))]
+    df = docs(spark, 7, more=more)
+    got = sorted((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in S.cut(S.repeats(df, n, passage, group=group)).collect())
+    all_texts = [*t.items(), *more]
+    data = [(x or "").encode() for _, x in all_texts]
+    want = sorted((i, *x, y[1]) for (i, _), x, y in zip(all_texts, brute_repeats(data, n), brute_repeats(data, passage or n)))
     assert got == want
 
 
+def test_op7_on_a_given_table(spark):
+    sf = "/root/testdata/sf0.01"
+    t = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in S.op7_suffix_dedup(spark, sf).collect())
+    data = [x for _, x in t]
+    assert got == sorted((i, *x, y[1]) for (i, _), x, y in zip(t, brute_repeats(data, 400), brute_repeats(data, 256)))
+
+
+def test_one_text_in_very_many_rows(spark):
+    """A hot context has as many different slices as rows, and no group to sort is larger than GROUP."""
+    core = " ".join(f"c{i}" for i in range(110))  # 429 bytes
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string").cast("binary"), 256), F.lit(" " + core + " "), F.md5(F.col("id").cast("string").cast("binary"))).alias("text"))
+    got = S.cut(S.repeats(df)).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(core) + 2
+    # a few neighbours' hex digits repeat too
+    assert sum(r["count"] for r in got) == 20_000 and all(r.n_spans == 1 and n <= r.n_removed <= n + 16 for r in got)
+
+
 def test_suffix_dedup_odd(spark):
     out = S.suffix_dedup(repeated(spark), 80)
     assert out.columns == docs(spark).columns and out.count() == repeated(spark).count()
