@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from candela.llm.common import hash128, new_path, packed, table, written
 
 LIMIT = 2048
-COUNTS = "text_digest string, n_tokens long"
+COUNTS = "text_digest binary, n_tokens long"
 STORED = COUNTS + ", tokenizer_digest string, shard string"
 #: Words whose counts a task remembers, and the longest such word.
 WORDS, WORD_CHARS = 200_000, 64
@@ -94,7 +94,7 @@ def _encode(vocabulary: str):
 
 
 def _shard():
-    return F.substring("text_digest", 1, 2).alias("shard")
+    return F.lower(F.hex(F.substring("text_digest", 1, 1))).alias("shard")
 
 
 def _stored(spark: SparkSession, cache: str, version: str, digests: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     version = tokenizer_digest(vocabulary)
     k1, k2 = hash128(F.col("id"), F.col("text"))
     rows = packed(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k1": k1, "k2": k2})
-    thin = rows.select("k1", "k2", "id", F.sha2(F.col("text").cast("binary"), 256).alias("text_digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    thin = rows.select("k1", "k2", "id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     thin = written(thin, "token-texts")
     distinct = thin.groupBy("text_digest").agg(F.min(F.struct("k1", "k2")).alias("one"))
     hits = written(_stored(spark, cache, version, thin.select("text_digest")), "token-hits")
