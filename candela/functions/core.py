@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A curated table of at most so many rows is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, broadcast if it has at most `most` rows; beyond that Spark chooses the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
 def rounded(x: Column, n: int) -> Column:
     """x as DOUBLE, rounded half away from zero. A sum's last bits cannot decide a tie: a little is added first."""

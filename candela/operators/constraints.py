@@ -33,9 +33,22 @@ def failing(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(~F.coalesce(predicate, F.lit(True)))
 
 
+def outside(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """CHECK (column IN (...)): a null passes."""
+    return failing(df, F.col(column).isin(allowed))
+
+
+def unfit(df: DataFrame, domains: dict[str, str]) -> DataFrame:
+    """NUMERIC(p, s): rows with a value that does not fit, as {"close": "decimal(20,8)"}; digits beyond the scale are rounded."""
+    bad = F.lit(False)
+    for c, kind in domains.items():
+        bad = bad | (F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull())
+    return df.filter(bad)
+
+
 def with_defaults(df: DataFrame, **defaults: Column) -> DataFrame:
-    """DEFAULT for columns that are null."""
-    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
+    """DEFAULT for columns that are null or not there."""
+    return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in defaults.items()})
 
 
 def too_long(df: DataFrame, limits: dict[str, int]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,9 +60,12 @@ def reload(rows: DataFrame, order: list[str], id_col: str) -> DataFrame:
     return rows.withColumn(id_col, F.row_number().over(W.orderBy(*order)))
 
 
-def gaps(bars: DataFrame, key: str = "asset_id", day: str = "date") -> DataFrame:
-    """The calendar days between a key's first and last bar without a bar."""
-    span = bars.groupBy(key).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+def gaps(bars: DataFrame, key: str = "asset_id", day: str = "date", start: date | None = None, end: date | None = None) -> DataFrame:
+    """The calendar days between a key's first and last bar without a bar; of them those from start to end, where given."""
+    first, last = F.min(day), F.max(day)
+    first = first if start is None else F.greatest(first, F.lit(start))
+    last = last if end is None else F.least(last, F.lit(end))
+    span = bars.groupBy(key).agg(first.alias("a"), last.alias("b")).filter("a <= b")
     return span.select(key, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day)).join(bars.select(key, day), [key, day], "left_anti")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.functions.core import safe_corr
+from candela.functions.core import safe_corr, small
 
 
 def _running(keys: list[str], order: str):
@@ -30,15 +30,15 @@ def forward_sum(keys: list[str], order: str, x: str, k: int) -> Column:
     return F.sum(x).over(W.partitionBy(*keys).orderBy(order).rowsBetween(1, k))
 
 
-def rolling_corr(df: DataFrame, day: str, x: str, y: str, days: int, least: int) -> DataFrame:
-    """day and the correlation over the calendar days up to it, where at least `least` rows have both sides."""
-    w = W.orderBy("_n").rangeBetween(1 - days, 0)
+def rolling_corr(df: DataFrame, keys: list[str], day: str, x: str, y: str, days: int, least: int) -> DataFrame:
+    """keys, day and the correlation over a key's calendar days up to it, where at least `least` rows have both sides."""
+    w = W.partitionBy(*keys).orderBy("_n").rangeBetween(1 - days, 0)
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     numbered = df.withColumn("_n", F.datediff(F.col(day), F.lit("1970-01-01").cast("date")))
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     spread = F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)
     corr = F.covar_pop(a, b).over(w) / F.when(spread > 1e-12, spread)
-    return numbered.select(day, corr.alias("corr"), F.count(a).over(w).alias("pairs")).filter(F.col("pairs") >= least)
+    return numbered.select(*keys, day, corr.alias("corr"), F.count(a).over(w).alias("pairs")).filter(F.col("pairs") >= least)
 
 
 def pair_corr(pairs: DataFrame, by: list[str], x: str, y: str, least: int = 1, n: str = "days", corr: str = "corr") -> DataFrame:
@@ -49,10 +49,14 @@ def pair_corr(pairs: DataFrame, by: list[str], x: str, y: str, least: int = 1, n
 def event_window(events: DataFrame, facts: DataFrame, lo: int, hi: int, day: str = "date", event_day: str = "event_date") -> DataFrame:
     """facts joined to the events in whose window [event_day + lo, event_day + hi] they fall, with `offset` in days.
 
-    Events are spread over their days, so a range join becomes an equi-join on the day. Events are a curated table.
+    Events are spread over their days, so a range join becomes an equi-join on the day.
     """
-    spread = events.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("offset"))
-    return facts.join(F.broadcast(spread.withColumn(day, F.date_add(event_day, F.col("offset")))), day)
+    return facts.join(small(spread_days(events, lo, hi, day, event_day)), day)
+
+
+def spread_days(events: DataFrame, lo: int, hi: int, day: str, event_day: str = "event_date") -> DataFrame:
+    """A row of events for each `day` from event_day + lo to event_day + hi, with `offset`."""
+    return events.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("offset")).withColumn(day, F.date_add(event_day, F.col("offset")))
 
 
 def affects(affected: str = "affected_assets", symbol: str = "symbol", exact: bool = False) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.functions.core import classify, nulls_first, nulls_last, rounded, safe_corr
-from candela.operators.timeseries import affects, drawdown, event_window, forward_sum, islands, pair_corr, pairs, rolling_corr, share
+from candela.functions.core import classify, nulls_first, nulls_last, rounded, safe_corr, small
+from candela.operators.timeseries import affects, drawdown, event_window, forward_sum, islands, pair_corr, pairs, rolling_corr, share, spread_days
 
 REGIMES = [(2.0, "LOW"), (4.0, "MEDIUM"), (6.0, "HIGH")]
 YEAR = 365.0
@@ -26,8 +26,7 @@ def when(p: Column, x: str) -> Column:
 
 def streaks(m) -> DataFrame:
     """Runs of days with a positive return; other days end a run. Returns are added, not compounded."""
-    days = m.dm.filter("daily_return_pct IS NOT NULL").join(m.daily_prices.select("asset_id", "date"), ["asset_id", "date"])
-    up = islands(days, ["asset_id"], "date", ~(F.col("daily_return_pct") > 0)).filter("daily_return_pct > 0")
+    up = islands(m.dm.filter("daily_return_pct IS NOT NULL"), ["asset_id"], "date", ~(F.col("daily_return_pct") > 0)).filter("daily_return_pct > 0")
     return up.groupBy("asset_id", "symbol", "island").agg(
         F.count("*").alias("streak_length"), F.min("date").alias("streak_start"), F.max("date").alias("streak_end"),
         rounded(F.sum("daily_return_pct"), 2).alias("cumulative_return_pct"), rounded(F.min("daily_return_pct"), 2).alias("min_daily_return"), rounded(F.max("daily_return_pct"), 2).alias("max_daily_return"),
@@ -107,11 +106,17 @@ def beside_benchmark(m, symbol: str, more: tuple[str, ...] = ()) -> DataFrame:
     return m.dm.filter(F.col("symbol") != symbol).join(own, "date")
 
 
-def rolling_correlation(m, a: str = "BTC", b: str = "ETH", days: int = 30, least: int = 20) -> DataFrame:
+def rolling_correlations(m, a: str = "BTC", others: tuple[str, ...] = ("ETH",), days: int = 30, least: int = 20) -> DataFrame:
+    """symbol, date and the correlation with a's returns over the calendar days up to each day of a."""
     r = m.dm.select("symbol", "date", "daily_return_pct")
-    left = r.filter((F.col("symbol") == a) & F.col("daily_return_pct").isNotNull()).select("date", F.col("daily_return_pct").alias("x"))
-    right = r.filter(F.col("symbol") == b).select("date", F.col("daily_return_pct").alias("y"))
-    return rolling_corr(left.join(right, "date", "left"), "date", "x", "y", days, least).select("date", rounded(F.col("corr"), 8).alias("rolling_corr_30d")).orderBy("date")
+    left = r.filter((F.col("symbol") == a) & F.col("daily_return_pct").isNotNull()).select(F.explode(F.array(*map(F.lit, others))).alias("symbol"), "date", F.col("daily_return_pct").alias("x"))
+    right = r.filter(F.col("symbol").isin(*others)).select("symbol", "date", F.col("daily_return_pct").alias("y"))
+    found = rolling_corr(left.join(right, ["symbol", "date"], "left"), ["symbol"], "date", "x", "y", days, least)
+    return found.select("symbol", "date", rounded(F.col("corr"), 8).alias("rolling_corr_30d"))
+
+
+def rolling_correlation(m, a: str = "BTC", b: str = "ETH", days: int = 30, least: int = 20) -> DataFrame:
+    return rolling_correlations(m, a, (b,), days, least).select("date", "rolling_corr_30d").orderBy("date")
 
 
 def quarterly_correlation(m, symbol: str = "BTC", least: int = 30) -> DataFrame:
@@ -162,8 +167,8 @@ def underwater_periods(m, least: int = 7) -> DataFrame:
 
 def volume_spikes(m, above: float = 2.0, days: int = 2, exact: bool = False) -> DataFrame:
     spikes = m.dm.filter(F.col("volume_ratio_30d") > above).join(m.daily_prices.select("asset_id", "date", F.col("volume_usd").cast("double").alias("volume_usd")), ["asset_id", "date"])
-    spread = m.market_events.select("*", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("offset")).withColumn("near", F.date_add("event_date", F.col("offset")))
-    hit = spikes.alias("s").join(F.broadcast(spread).alias("e"), (F.col("s.date") == F.col("e.near")) & affects("e.affected_assets", "s.symbol", exact), "left")
+    spread = small(spread_days(m.market_events, -days, days, "near"))
+    hit = spikes.alias("s").join(spread.alias("e"), (F.col("s.date") == F.col("e.near")) & affects("e.affected_assets", "s.symbol", exact), "left")
     return hit.orderBy(nulls_first("volume_ratio_30d"), "symbol", "date", "event_id").select(
         "symbol", "date", rounded(F.col("volume_ratio_30d"), 2).alias("vol_ratio"), "volume_usd", rounded(F.col("daily_return_pct"), 2).alias("return_pct"), rounded(F.col("daily_range_pct"), 2).alias("range_pct"),
         F.col("title").alias("nearby_event"), "event_type", long(F.col("offset")).alias("days_from_event"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.functions.core import ratio, rounded
+from candela.functions.core import ratio, rounded, small
 
 #: Nulls per asset on a series without gaps in its columns.
 WATERFALL = {"daily_return_pct": 1, "daily_range_pct": 0, "vol_7d": 7, "vol_30d": 30, "sma_7": 6, "sma_30": 29, "volume_ratio_30d": 30}
@@ -24,7 +24,7 @@ def metrics(prices: DataFrame, assets: DataFrame, short: int = 7, long: int = 30
     Active assets only. Windows count rows, so they skip gaps; a window that is not full gives null; today's volume is not
     in its own average. Volatility comes from unrounded returns; each metric is rounded once, to its column's scale.
     """
-    active = prices.join(F.broadcast(assets.filter("is_active").select("asset_id")), "asset_id")
+    active = prices.join(small(assets.filter("is_active").select("asset_id")), "asset_id")
     d = active.select("asset_id", "date", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume_usd")))
     before = F.lag("close").over(W.partitionBy("asset_id").orderBy("date"))
     d = d.withColumn("ret", ratio(F.col("close") - before, before) * 100)

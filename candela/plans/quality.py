@@ -22,7 +22,7 @@ def on(reference: str) -> Column:
 
 
 def named(m, df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(m.assets.select("asset_id", "symbol")), "asset_id")
+    return df.join(m.symbols, "asset_id")
 
 
 def row_totals(m) -> DataFrame:
@@ -61,7 +61,7 @@ def misplaced_nulls(m) -> DataFrame:
 
 def extreme_returns(m, low: float = -100.0, high: float = 500.0) -> DataFrame:
     r = F.col("daily_return_pct")
-    label = F.when(r <= low, "VIOLATION: return <= -100%").when(r > high, "VIOLATION: return > +500%").otherwise("OK")
+    label = F.when(r <= low, "VIOLATION: return <= -100%").when(r > high, "VIOLATION: return > +500%").otherwise("OK")  # fixed values: the labels
     return m.dm.filter((r <= low) | (r > high)).select(*KEYS, r, label.alias("range_check")).orderBy(F.desc(F.abs(r)), "symbol", "date")
 
 
@@ -71,7 +71,7 @@ def negative_ranges(m) -> DataFrame:
 
 def below(m, columns: tuple[str, str], violates: Callable[[Column], Column], sign: str) -> DataFrame:
     a, b = map(F.col, columns)
-    label = F.when(violates(a), f"VIOLATION: {columns[0]} {sign} 0").when(violates(b), f"VIOLATION: {columns[1]} {sign} 0").otherwise("MULTIPLE")
+    label = F.when(violates(a), f"VIOLATION: {columns[0]} {sign} 0").when(violates(b), f"VIOLATION: {columns[1]} {sign} 0").otherwise("MULTIPLE")  # fixed values: the labels
     return m.dm.filter(violates(a) | violates(b)).select(*KEYS, a, b, label.alias("violation_type")).orderBy("asset_id", "date")
 
 
@@ -97,7 +97,7 @@ def both_vols(m) -> DataFrame:
 
 def vol_variability(m) -> DataFrame:
     d = both_vols(m).groupBy("asset_id", "symbol").agg(*(F.stddev_pop(c).alias(c) for c in ("vol_7d", "vol_30d")))
-    label = F.when(F.col("vol_7d") > F.col("vol_30d"), "PASS").otherwise("FAIL -- vol_7d should be noisier than vol_30d")
+    label = F.when(F.col("vol_7d") > F.col("vol_30d"), "PASS").otherwise("FAIL -- vol_7d should be noisier than vol_30d")  # fixed values: the labels
     return d.select("asset_id", "symbol", *(rounded(F.col(c), 6).alias(f"variability_of_{c}") for c in ("vol_7d", "vol_30d")), label.alias("check_result")).orderBy("symbol")
 
 
@@ -109,13 +109,13 @@ def bullish_alignment(m, symbol: str = "BTC", start: str = "2024-11-06", end: st
 
 def spike_on(m, day: str = "2022-11-08") -> DataFrame:
     v = F.col("volume_ratio_30d")
-    label = F.when(v > 2.0, "PASS -- spike detected").when(v > 1.5, "MARGINAL -- elevated but < 2x").otherwise("FAIL -- no spike detected on FTX collapse date")
+    label = F.when(v > 2.0, "PASS -- spike detected").when(v > 1.5, "MARGINAL -- elevated but < 2x").otherwise("FAIL -- no spike detected on FTX collapse date")  # fixed values: the labels
     return m.dm.filter((F.col("date") == on(day)) & v.isNotNull()).select("symbol", v, label.alias("check_result")).orderBy(F.desc(v), "symbol")
 
 
 def vol_means(m) -> DataFrame:
     d = both_vols(m).groupBy("symbol").agg(F.avg("vol_7d").alias("a"), F.avg("vol_30d").alias("b")).withColumn("q", ratio(F.col("a"), F.col("b")))
-    label = F.when(F.col("q").between(0.5, 2.0), "PASS").otherwise("FAIL -- means diverge too much")
+    label = F.when(F.col("q").between(0.5, 2.0), "PASS").otherwise("FAIL -- means diverge too much")  # fixed values: the labels
     return d.select("symbol", rounded(F.col("a"), 4).alias("avg_vol_7d"), rounded(F.col("b"), 4).alias("avg_vol_30d"), rounded(F.col("q"), 2).alias("ratio_of_means"), label.alias("check_result")).orderBy("symbol")
 
 
@@ -154,7 +154,7 @@ def spot_returns(m, symbol: str = "BTC") -> DataFrame:
 def period_vols(m, symbol: str = "BTC") -> DataFrame:
     label = F.lit(None).cast("string")
     for name, (a, b) in PERIODS.items():
-        label = F.when(F.col("date").between(on(a), on(b)), name).otherwise(label)
+        label = F.when(F.col("date").between(on(a), on(b)), name).otherwise(label)  # fixed values: the labels
     d = m.dm.filter((F.col("symbol") == symbol) & F.col("vol_30d").isNotNull()).withColumn("period_label", label).filter("period_label IS NOT NULL")
     return d.groupBy("period_label").agg(*(rounded(f("vol_30d"), 4).alias(f"{n}_vol_30d") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max)))).orderBy("period_label")
 

@@ -67,6 +67,13 @@ QUERIES: dict[str, tuple[str, str]] = {
     "l_upsert": ("", "SELECT asset_id::INT AS asset_id, date, (CASE WHEN day(date) = 1 THEN close * 2 ELSE close END)::DOUBLE AS close FROM daily_prices"),
     "l_insert_absent": ("", "SELECT asset_id::INT AS asset_id, date, close::DOUBLE AS close FROM daily_prices UNION ALL SELECT 9, date, close::DOUBLE FROM daily_prices WHERE asset_id = 1"),
     "l_gaps": ("", "SELECT s.asset_id::INT AS asset_id, date_id AS date FROM (SELECT asset_id, min(date) AS a, max(date) AS b FROM daily_prices GROUP BY 1) s JOIN date_dim ON date_id BETWEEN a AND b WHERE NOT EXISTS (FROM daily_prices p WHERE p.asset_id = s.asset_id AND p.date = date_id)"),
+    "l_gaps_range": ("", "SELECT s.asset_id::INT AS asset_id, date_id AS date FROM (SELECT asset_id, min(date) AS a, max(date) AS b FROM daily_prices GROUP BY 1) s JOIN date_dim ON date_id BETWEEN a AND b AND date_id BETWEEN DATE '1996-01-01' AND DATE '1999-06-30' WHERE NOT EXISTS (FROM daily_prices p WHERE p.asset_id = s.asset_id AND p.date = date_id)"),
+    "l_recompute": ("", "SELECT asset_id::INT AS asset_id, date, daily_return_pct::DOUBLE AS daily_return_pct, sma_30::DOUBLE AS sma_30 FROM daily_metrics"),
+    "l_active": ("", "SELECT asset_id::INT AS asset_id, date, sma_7::DOUBLE AS sma_7 FROM daily_metrics WHERE asset_id % 3 <> 0"),
+    "k_enum": ("", "SELECT event_id::BIGINT AS event_id, t AS event_type FROM (SELECT event_id, CASE event_type WHEN 'crash' THEN 'rally' ELSE event_type END AS t FROM market_events) WHERE t NOT IN ('halving', 'crash', 'regulatory', 'protocol_upgrade', 'market_milestone', 'exchange_event', 'macro_event')"),
+    "k_default": ("", "SELECT asset_id::INT AS asset_id, date, (CASE WHEN day(date) > 1 THEN volume_usd ELSE 0 END)::DOUBLE AS volume_usd, true AS created FROM daily_prices"),
+    "k_length": ("", "SELECT title AS text FROM market_events WHERE length(title) > 70"),
+    "k_numeric": ("", "SELECT asset_id::INT AS asset_id, date, close::DOUBLE AS close FROM daily_prices WHERE round(close, 4) >= 1000"),
     "l_clean": ("", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, CASE WHEN l_quantity > 40 THEN NULL ELSE l_extendedprice::DECIMAL(20,8)::DOUBLE END AS cleaned FROM lineitem"),
     "l_reject": ("", "SELECT asset_id::INT AS asset_id, date, (close - 1000)::DOUBLE AS close, close > 1000 AS good FROM daily_prices"),
     "l_null_waterfall": ("", "SELECT asset_id::INT AS asset_id, count(*) AS total_rows, " + ", ".join(f"count(*) - count({c}) AS null_{c}" for c in NULLS) + ", CASE WHEN " + " AND ".join(f"count(*) - count({c}) = {n}" for c, n in zip(NULLS, WANT, strict=True)) + " THEN 'PASS' ELSE 'WARN' END AS status FROM daily_metrics GROUP BY asset_id"),

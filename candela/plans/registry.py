@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,10 @@ from candela.operators import constraints as C
 from candela.operators import loading as L
 from candela.plans import oracle, quality_oracle
 from candela.plans.analyses import ANALYSES
-from candela.plans.metrics import WATERFALL
+from candela.plans.metrics import WATERFALL, metrics
 from candela.plans.quality import CHECKS
-from candela.sources.market import Market, market
+from candela.sinks import tables as S
+from candela.sources.market import EVENT_TYPES, LENGTHS, Market, market
 
 METRICS = dict(zip(("return", "range", "vol_7d", "vol_30d", "sma_7", "sma_30", "volume_ratio"), WATERFALL, strict=True))
 
@@ -54,6 +58,36 @@ def _reload(m: Market) -> DataFrame:
     return rows.withColumn("event_id", F.col("event_id").cast("long"))
 
 
+def _recompute(m: Market) -> DataFrame:
+    """The tables written, the metrics twice: the second rewrite takes the place of the first."""
+    spark, schema = m.bars.sparkSession, f"candela_{uuid.uuid4().hex}"
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{schema}"
+    S.create(spark, folder, schema)
+    for name in ("assets", "date_dim", "daily_prices", "market_events"):
+        S.save(getattr(m, name), name, folder, schema)
+    prices, known = (spark.table(f"{schema}.{x}") for x in ("daily_prices", "assets"))
+    S.save(metrics(prices.filter("asset_id < 3"), known), "daily_metrics", folder, schema)
+    return _double(S.save(metrics(prices, known), "daily_metrics", folder, schema).select("asset_id", "date", "daily_return_pct", "sma_30"), "daily_return_pct", "sma_30")
+
+
+def _defaults(m: Market) -> DataFrame:
+    """Bars of each month's first day lack their volume, all lack the time of loading."""
+    bars = m.daily_prices.select("asset_id", "date", F.when(F.dayofmonth("date") > 1, F.col("volume_usd")).alias("volume_usd"))
+    full = C.with_defaults(bars, volume_usd=F.lit(0).cast("decimal(30,2)"), created_at=F.current_timestamp())
+    return _double(full.withColumn("created", F.col("created_at") <= F.current_timestamp()).drop("created_at"), "volume_usd")
+
+
+def _enumeration(m: Market) -> DataFrame:
+    changed = m.market_events.withColumn("event_type", F.when(F.col("event_type") == "crash", "rally").otherwise(F.col("event_type")))
+    return C.outside(changed, "event_type", EVENT_TYPES).select(F.col("event_id").cast("long").alias("event_id"), "event_type")
+
+
+def _lengths(m: Market) -> DataFrame:
+    """The tables' own limits, and a title of 70 at most."""
+    found = C.too_long(m.market_events, {**LENGTHS["market_events"], "title": 70}).select(F.col("title").alias("text"))
+    return found.unionByName(C.too_long(m.assets, LENGTHS["assets"]).select(F.col("name").alias("text")))
+
+
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices as text, of which those of large quantities are not numbers."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -70,10 +104,17 @@ LOADERS: dict[str, Callable[[Market], DataFrame]] = {
     "l_gaps": lambda m: L.gaps(m.daily_prices),
     "l_reject": _reject,
     "l_reload": _reload,
+    "l_gaps_range": lambda m: L.gaps(m.daily_prices, start=date(1996, 1, 1), end=date(1999, 6, 30)),
+    "l_recompute": _recompute,
+    "l_active": lambda m: _double(metrics(m.daily_prices, m.assets.withColumn("is_active", F.col("asset_id") % 3 != 0)).select("asset_id", "date", "sma_7"), "sma_7"),
     "l_null_waterfall": lambda m: L.null_report(m.daily_metrics, WATERFALL),
     "k_unique": lambda m: C.duplicates(m.daily_prices.select("asset_id", F.month("date").alias("month")), ["asset_id", "month"]),
     "k_not_null": lambda m: C.nulls(m.daily_metrics, ["vol_30d", "sma_30"]).select("asset_id", "date"),
     "k_foreign_key": lambda m: C.orphans(m.daily_prices, m.assets.filter("asset_id <= 6"), {"asset_id": "asset_id"}).select("asset_id", "date"),
+    "k_enum": _enumeration,
+    "k_default": _defaults,
+    "k_length": _lengths,
+    "k_numeric": lambda m: _double(C.unfit(m.daily_prices, {"close": "decimal(7,4)"}).select("asset_id", "date", "close"), "close"),
     "k_check": lambda m: _double(C.failing(m.daily_metrics, F.col("vol_30d") < 6).select("asset_id", "date", "vol_30d"), "vol_30d"),
 }
 

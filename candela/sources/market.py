@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candela.functions.core import small
+from candela.operators.constraints import with_defaults
 from candela.operators.loading import calendar
 from candela.plans.metrics import metrics
 
@@ -48,6 +50,10 @@ EVENTS = [
     ("2025-01-23", "regulatory", "Trump signs crypto executive order -- Strategic Bitcoin Reserve proposed", "ALL"),
     ("2025-10-10", "crash", "Trump 100% China tariff threat triggers $19B crypto liquidation cascade", "ALL"),
 ]
+# The event types.
+EVENT_TYPES = ["halving", "crash", "regulatory", "protocol_upgrade", "market_milestone", "exchange_event", "macro_event"]
+# Lengths of text columns.
+LENGTHS = {"assets": {"symbol": 10, "name": 100, "category": 50}, "market_events": {"event_type": 50, "title": 200, "affected_assets": 500}}
 #: Bars of the test data lie earlier than the events; all event dates move back by whole weeks.
 SHIFT_DAYS = 9492
 #: Price level of each asset in the test data, by asset id.
@@ -61,12 +67,15 @@ def shifted(day: str) -> date:
 
 
 def assets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*a, True) for a in ASSETS], "asset_id int, symbol string, name string, category string, is_active boolean")
+    rows = spark.createDataFrame(ASSETS, "asset_id int, symbol string, name string, category string").withColumn("launch_date", F.lit(None).cast("date"))
+    return with_defaults(rows, is_active=F.lit(True), created_at=F.current_timestamp())
 
 
 def market_events(spark: SparkSession) -> DataFrame:
+    """description and source_url are there for a caller's own events; no query reads them."""
     rows = [(i, shifted(day), kind, title, affected) for i, (day, kind, title, affected) in enumerate(EVENTS, 1)]
-    return spark.createDataFrame(rows, "event_id int, event_date date, event_type string, title string, affected_assets string")
+    found = spark.createDataFrame(rows, "event_id int, event_date date, event_type string, title string, affected_assets string")
+    return found.withColumns({c: F.lit(None).cast("string") for c in ("description", "source_url")})
 
 
 def daily_prices(lineitem: DataFrame) -> DataFrame:
@@ -86,7 +95,7 @@ def daily_prices(lineitem: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Market:
-    """The five tables as DataFrames. Facts are computed once per instance and kept."""
+    """The five tables as DataFrames. Facts are computed once per instance and kept until release()."""
 
     assets: DataFrame
     market_events: DataFrame
@@ -100,31 +109,54 @@ class Market:
     def daily_metrics(self) -> DataFrame:
         return metrics(self.daily_prices, self.assets).persist()
 
+    def release(self) -> None:
+        for name in ("daily_metrics", "daily_prices"):
+            if kept := self.__dict__.pop(name, None):
+                kept.unpersist()
+
     @cached_property
     def date_dim(self) -> DataFrame:
         return calendar(self.daily_prices.agg(F.min("date").alias("start"), F.max("date").alias("end")))
 
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return small(self.assets.select("asset_id", "symbol"))
+
+    def _named(self, facts: DataFrame) -> DataFrame:
+        keys = ("asset_id", "date")
+        return facts.select(*keys, *(F.col(c).cast("double").alias(c) for c in facts.columns if c not in keys)).join(self.symbols, "asset_id")
+
     @cached_property
     def dm(self) -> DataFrame:
         """The metrics with symbols; measures as DOUBLE."""
-        m = self.daily_metrics
-        keys = ("asset_id", "date")
-        return m.select(*keys, *(F.col(c).cast("double").alias(c) for c in m.columns if c not in keys)).join(F.broadcast(self.assets.select("asset_id", "symbol")), "asset_id")
+        return self._named(self.daily_metrics)
 
     @cached_property
     def dp(self) -> DataFrame:
         """The prices with symbols; measures as DOUBLE."""
-        p = self.daily_prices
-        keys = ("asset_id", "date")
-        return p.select(*keys, *(F.col(c).cast("double").alias(c) for c in p.columns if c not in keys)).join(F.broadcast(self.assets.select("asset_id", "symbol")), "asset_id")
+        return self._named(self.daily_prices)
+
+
+_markets: dict[tuple[str, str], tuple[int, Market]] = {}
 
 
-_markets: dict[tuple[int, str], Market] = {}
+def _changed(spark: SparkSession, path: str) -> int:
+    """When the file or folder was last changed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
 
 
 def market(spark: SparkSession, sf_dir: str) -> Market:
-    """The market of a directory, kept for the session."""
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _markets:
-        _markets[key] = Market(assets(spark), market_events(spark), daily_prices(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
-    return _markets[key]
+    """The market of a directory, kept for the Spark application until its bars' file changes or forget() is called."""
+    key, bars = (spark.sparkContext.applicationId, sf_dir), f"{sf_dir}/lineitem.parquet"
+    changed = _changed(spark, bars)
+    if key not in _markets or _markets[key][0] != changed:
+        forget(spark, sf_dir)
+        _markets[key] = changed, Market(assets(spark), market_events(spark), daily_prices(spark.read.parquet(bars)))
+    return _markets[key][1]
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Releases what market() keeps of a directory."""
+    if kept := _markets.pop((spark.sparkContext.applicationId, sf_dir), None):
+        kept[1].release()

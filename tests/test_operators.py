@@ -1,18 +1,20 @@
 """Operators on small frames with gaps, nulls, ties and constant series; checks on corrupted tables."""
 
+import uuid
 from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from candela.functions.core import classify, rounded, safe_corr
+from candela.functions.core import classify, rounded, safe_corr, small
 from candela.operators import constraints as C
 from candela.operators import loading as L
 from candela.operators import timeseries as TS
 from candela.plans.metrics import WATERFALL, metrics
 from candela.plans.quality import CHECKS
-from candela.sources.market import Market, assets, market_events
+from candela.sinks import tables as S
+from candela.sources.market import EVENT_TYPES, Market, assets, forget, market, market_events
 
 D0 = date(1996, 1, 1)
 BARS = "asset_id int, date date, open decimal(20,8), high decimal(20,8), low decimal(20,8), close decimal(20,8), volume_usd decimal(30,2), market_cap_usd decimal(30,2)"
@@ -70,7 +72,7 @@ def test_correlation_of_a_constant_is_null(spark):
 def test_rolling_correlation_is_by_calendar(spark):
     days = [D0 + timedelta(days=i) for i in (0, 1, 2, 40, 41)]
     df = spark.createDataFrame([(d, float(i), float(i * i)) for i, d in enumerate(days)], "d date, x double, y double")
-    assert {r.d: r.pairs for r in TS.rolling_corr(df, "d", "x", "y", 30, 1).collect()}[days[3]] == 1
+    assert {r.d: r.pairs for r in TS.rolling_corr(df.withColumn("k", F.lit("a")), ["k"], "d", "x", "y", 30, 1).collect()}[days[3]] == 1
 
 
 def test_event_window_and_matching(spark):
@@ -148,3 +150,62 @@ def test_checks_fire_on_faults_only(spark, name):
 def test_null_report(spark):
     m = corrupted(spark, {})
     assert L.null_report(m.daily_metrics, WATERFALL).first().status == "PASS"
+
+
+def test_gaps_in_a_range(spark):
+    b = bars(spark, range(1, 21), skip=(3, 4, 10))
+    day = lambda i: D0 + timedelta(days=i)
+    assert {r.date for r in L.gaps(b, start=day(4), end=day(9)).collect()} == {day(4)}
+    assert L.gaps(b, start=day(-5), end=day(50)).count() == 3 and L.gaps(b, start=day(30)).count() == 0
+
+
+def test_rolling_correlation_of_many_pairs(spark):
+    rows = [(k, D0 + timedelta(days=i), float(i % 5), float((i % 5) * s)) for k, s in (("a", 1), ("b", -1)) for i in range(30)]
+    got = TS.rolling_corr(spark.createDataFrame(rows, "k string, d date, x double, y double"), ["k"], "d", "x", "y", 10, 10).collect()
+    assert len(got) == 42 and all(abs(r["corr"] - (1 if r.k == "a" else -1)) < 1e-9 for r in got)
+
+
+def test_large_tables_are_not_broadcast(spark):
+    events = spark.range(20).select(F.col("id").alias("event_id"), F.lit(D0).alias("event_date"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(small(events)) + plan(events.join(small(events), "event_id"))
+    assert "strategy=broadcast" not in plan(events.join(small(events, 19), "event_id"))
+
+
+def test_constraints_of_columns(spark):
+    df = spark.createDataFrame([("crash", 1.0), ("rally", 1e9), (None, None)], "kind string, x double")
+    assert [r.kind for r in C.outside(df, "kind", EVENT_TYPES).collect()] == ["rally"]
+    assert [r.kind for r in C.unfit(df, {"x": "decimal(10,6)"}).collect()] == ["rally"]
+    assert C.with_defaults(df, x=F.lit(2.0), y=F.lit(3)).filter("kind IS NULL AND x = 2 AND y = 3").count() == 1
+
+
+def test_tables_are_swapped_whole(spark, tmp_path):
+    schema, folder = f"t_{uuid.uuid4().hex}", str(tmp_path)
+    S.create(spark, folder, schema)
+    S.create(spark, folder, schema)
+    assert all(spark.table(f"{schema}.{t}").count() == 0 for t in S.TABLES)
+    first = S.save(bars(spark, range(1, 41)), "daily_prices", folder, schema)
+    assert first.count() == 40 and first.select("price_id").distinct().count() == 40 and first.columns[0] == "price_id"
+    # computed from itself, and one row fails: the old rows stay
+    S.save(spark.table(f"{schema}.daily_prices").filter("close > 10"), "daily_prices", folder, schema)
+    assert spark.table(f"{schema}.daily_prices").count() == 30
+    with pytest.raises(Exception, match="stop"):
+        S.save(bars(spark, range(1, 5)).withColumn("close", F.raise_error(F.lit("stop"))), "daily_prices", folder, schema)
+    assert spark.table(f"{schema}.daily_prices").count() == 30
+    assert S.drop_old(spark, "daily_prices", schema) >= 2 and spark.table(f"{schema}.daily_prices").count() == 30
+    plan = spark.table(f"{schema}.daily_prices").groupBy("asset_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # rows of an asset lie in one bucket
+
+
+def test_market_is_built_anew_when_its_file_changes(spark, tmp_path):
+    src = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    path = str(tmp_path / "lineitem.parquet")
+    src.write.parquet(path)
+    one = market(spark, str(tmp_path))
+    assert market(spark, str(tmp_path)) is one and one.daily_prices.count() > 0
+    src.limit(10).write.mode("overwrite").parquet(path)
+    spark._jvm.java.lang.Thread.sleep(5)
+    two = market(spark, str(tmp_path))
+    assert two is not one and two.daily_prices.count() <= 10
+    forget(spark, str(tmp_path))
+    assert "daily_prices" not in two.__dict__
