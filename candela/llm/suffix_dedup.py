@@ -7,9 +7,11 @@ strings that it is the anchor of. Per context, deep-shallow sorting orders the t
 a shallow depth, then a blind trie for each group whose common prefix goes deeper. The texts before the anchors are sorted the
 same way, reversed. The two orders and their common prefixes tell which strings occur elsewhere.
 
-A context with very many different slices is split by further bytes: strings that start from `lo` to `hi` bytes before the
-anchor all hold the lo bytes before it and the length - hi bytes after it, so only slices that agree in these need to be
-sorted together. Bands of starts are narrowed until no group is large; a band of one start is one string, which is counted.
+A context with very many different slices is split by further bytes. All its slices are compared with one of them, the
+leader. Two slices that agree further with each other than with the leader, on one side of the anchor, part from the leader at
+the same byte there and go on alike; so the slices are dealt out twice, by the byte at which they part before the anchor and by
+that after it, and such groups are sorted, or split again. What two slices share without either is no more than each shares
+with the leader.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ LENGTH, CONTEXT = 400, 32
 PASSAGE = 256
 #: The depth in bytes to which multikey quicksort goes before blind tries take over, and the bytes it compares at once.
 SHALLOW, STEP = 64, 8
-#: Slices that are sorted together at most, and into how many bands of starts larger groups are split at a time.
-GROUP, BANDS = 128, 8
+#: Slices that are sorted together at most; larger groups are split.
+GROUP = 1024
 
 
 # ---- anchors
@@ -287,58 +289,70 @@ def _cover(length: int, passage: int):
     return run
 
 
-NODES = "g1 long, g2 long, ctx long, s1 long, s2 long, n long, lo long, hi long"
+SPLIT = SLICES + ", side long, lo long, hi long, low long, high long"
 
 
-def _nodes(length: int, width: int):
-    """Per slice and band of `width` starts: a hash of the bytes that all strings of the band hold."""
+def _against_leader(length: int, passage: int):
+    """Rows with a slice and its group's leader (l1, l2, ln, l_before, l_after).
+
+    side 0: what the slice shares with the leader, and the leader with its slices; side 1, 2: the slice in its group by the
+    byte at which it parts from the leader before or after the anchor.
+    """
+
+    def spans(l: int, r: int) -> tuple[int, int, int, int]:
+        return (*((l, r) if l + r >= length else (0, 0)), *((l, r) if l + r >= passage else (0, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for ctx, s1, s2, n, before, after, bands in zip(*(batch[c].to_pylist() for c in (*SLICE, "n", "before", "after", "bands")), strict=True):
-                lb, la = len(before), len(after)
-                for band in bands:
-                    for lo in range(band["lo"], min(band["hi"], lb) + 1, width):
-                        hi = min(lo + width - 1, band["hi"])
-                        if la >= length - hi and lb + la >= length:
-                            d = xxhash.xxh3_128_intdigest(before[lb - lo :] + after[: length - hi], lo)
-                            rows.append(((d >> 64) - 2**63, d % 2**64 - 2**63, ctx, s1, s2, n, lo, hi))
+            leaders: dict[tuple, tuple] = {}
+            for g1, g2, ctx, s1, s2, n, before, after, l1, l2, ln, l_before, l_after in zip(*(batch[c].to_pylist() for c in (*_fields(SLICES), "l1", "l2", "ln", "l_before", "l_after")), strict=True):
+                if (s1, s2) == (l1, l2):
+                    continue
+                l, r = common(before[::-1], l_before[::-1]), common(after, l_after)
+                found = spans(l, r)
+                if found[3]:
+                    if n == 1:
+                        rows.append((0, 0, ctx, s1, s2, n, None, None, 0, *found))
+                    if ln == 1:
+                        leaders[ctx, l1, l2] = tuple(map(max, found, leaders.get((ctx, l1, l2), found)))
+                for side, depth, byte in ((1, l, before[-1 - l : len(before) - l]), (2, r, after[r : r + 1])):
+                    if byte:
+                        d = xxhash.xxh3_128_intdigest(b"%d %d %d %d %d" % (g1, g2, side, depth, byte[0]))
+                        rows.append(((d >> 64) - 2**63, d % 2**64 - 2**63, ctx, s1, s2, n, before, after, side, 0, 0, 0, 0))
                 if len(rows) >= 8192:
-                    yield _rows(rows, NODES)
+                    yield _rows(rows, SPLIT)
                     rows = []
+            rows += [(0, 0, *k, 1, None, None, 0, *v) for k, v in leaders.items()]
             if rows:
-                yield _rows(rows, NODES)
+                yield _rows(rows, SPLIT)
 
     return run
 
 
-def _crowded(slices: DataFrame, length: int, context: int, group: int) -> DataFrame:
-    """The cover of slices (with bytes) of contexts with more than `group` of them: bands of starts, ever narrower."""
-    span = length - context
-    wide = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(span).cast("long").alias("hi"))
-    todo, width, parts = slices.withColumn("bands", F.array(wide)), span + 1, []
+def _sorted_groups(slices: DataFrame, length: int, passage: int) -> DataFrame:
+    return slices.select(*_fields(SLICES)).repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_cover(length, passage), COVER)
+
+
+def _crowded(slices: DataFrame, length: int, passage: int, group: int) -> DataFrame:
+    """The cover of distinct slices of groups with more than `group` of them. Each round, slices share a byte more at least."""
+    todo, parts = slices, []
     while True:
-        width = -(-width // BANDS)
-        nodes = written(todo.select(*SLICE, "n", "before", "after", "bands").mapInArrow(_nodes(length, width), NODES), "suffix-nodes")
-        sizes = written(nodes.groupBy("g1", "g2").agg(F.count("*").alias("slices")).filter("slices > 1"), "suffix-sizes")
-        several = written(nodes.join(sizes, ["g1", "g2"]), "suffix-several")
-        if width == 1:
-            parts.append(several.filter("n = 1").select(*SLICE, "lo", (length - F.col("lo")).alias("hi")))
-            break
-        trimmed = several.filter(F.col("slices") <= group).join(slices.select(*SLICE, "before", "after"), SLICE)
-        trimmed = trimmed.withColumn("before", F.expr("substring(before, greatest(octet_length(before) - hi, 0) + 1)")).withColumn("after", F.substring("after", F.lit(1), (length - F.col("lo")).cast("int")))
-        sorted_ = trimmed.select(*_fields(SLICES)).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
-        parts.append(sorted_.mapInArrow(_cover(length, length), COVER).select(*SLICE, "lo", "hi"))
-        heavy = several.filter(F.col("slices") > group)
-        if heavy.isEmpty():
+        sizes = written(todo.groupBy("g1", "g2").agg(F.count("*").alias("slices"), F.min(F.struct("s1", "s2")).alias("lead")).filter("slices > 1"), "suffix-sizes")
+        several = todo.join(sizes, ["g1", "g2"])
+        parts.append(_sorted_groups(several.filter(F.col("slices") <= group), length, passage))
+        if sizes.filter(F.col("slices") > group).isEmpty():
             break
-        bands = written(heavy.groupBy(*SLICE).agg(F.collect_list(F.struct("lo", "hi")).alias("bands")), "suffix-bands")
-        todo = slices.join(bands, SLICE)
+        big = written(several.filter(F.col("slices") > group), "suffix-big")
+        leads = big.filter((F.col("s1") == F.col("lead.s1")) & (F.col("s2") == F.col("lead.s2")))
+        leads = written(leads.select("g1", "g2", F.col("s1").alias("l1"), F.col("s2").alias("l2"), F.col("n").alias("ln"), F.col("before").alias("l_before"), F.col("after").alias("l_after")), "suffix-leaders")
+        split = written(big.select(*_fields(SLICES)).join(leads, ["g1", "g2"]).mapInArrow(_against_leader(length, passage), SPLIT), "suffix-split")
+        parts.append(split.filter("side = 0").select(*_fields(COVER)))
+        todo = split.filter("side > 0").select(*_fields(SLICES))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return written(out.groupBy(*SLICE).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-crowded")
+    return written(out.groupBy(*SLICE).agg(*(F.max(c).alias(c) for c in ("lo", "hi", "low", "high"))), "suffix-crowded")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, context: int = CONTEXT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,18 +382,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, c
         # a row of docs that is there more than once gives its slices as often
         return rows.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("text", "found").mapInArrow(_slices, SLICES)
 
-    few = with_bytes(uncertain.filter(F.col("slices") <= group)).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
-    cover = few.mapInArrow(_cover(length, passage), COVER)
+    cover = _sorted_groups(with_bytes(uncertain.filter(F.col("slices") <= group)), length, passage)
     crowded = uncertain.filter(F.col("slices") > group)
     if not crowded.isEmpty():
         many = written(with_bytes(crowded).dropDuplicates(SLICE), "suffix-crowd")
-        both = _crowded(many, length, context, group).select(*SLICE, "lo", "hi", F.col("lo").alias("low"), F.col("hi").alias("high"))
-        if passage < length:
-            none = F.lit(0).cast("long")
-            both = both.unionByName(_crowded(many, passage, context, group).select(*SLICE, none.alias("lo"), none.alias("hi"), F.col("lo").alias("low"), F.col("hi").alias("high")))
-            both = both.groupBy(*SLICE).agg(*(F.max(c).alias(c) for c in ("lo", "hi", "low", "high")))
-        cover = cover.unionByName(both)
-    # a slice that occurs twice is covered whole; of the others, what covered() or the bands have found
+        cover = cover.unionByName(_crowded(many, length, passage, group))
+    # a slice that occurs twice is covered whole; of the others, what covered() or the leaders have found
     long = F.when(F.col("one.lb") + F.col("one.la") >= length, 1).otherwise(0)
     known = slices.filter("n > 1").select(*SLICE, (long * F.col("one.lb")).alias("lo"), (long * F.col("one.la")).alias("hi"), F.col("one.lb").alias("low"), F.col("one.la").alias("high"))
     cover = written(cover.unionByName(known), "suffix-cover")

@@ -200,7 +200,7 @@ def brute_repeats(t, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "passage", "group"), [(400, 256, S.GROUP), (56, None, S.GROUP), (80, None, 2), (96, 48, 2), (400, None, 2)])
+@pytest.mark.parametrize(("n", "passage", "group"), [(400, 256, S.GROUP), (56, None, S.GROUP), (80, None, 4), (96, 48, 8), (400, None, 4)])
 def test_repeats(spark, n, passage, group):
     t = texts(7)
     more = [(5, t[5]), (46, t[8]), (47, t[8][50:] + t[9]), *((50 + i, f"{'ab' * (i % 40)}{i} {t[10][:700]} {i * 7}{t[11][i:90]}") for i in range(20))]
