@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words, and stems that match the start of words) and patterns of writing, each of which fires on a
-text or does not. A generative label model, fitted by expectation maximisation, estimates how often each voter fires on toxic
-and on clean texts and how voters are correlated, and weighs their votes by both; the annotators' labels are one more voter.
-A linear classifier over the counts of the same entries is then trained on the posterior labels and scores every text.
+text or does not. A generative label model explains the votes alone: a text belongs to one of a few latent classes (clean
+writing, and kinds of toxic writing, such as the languages), in which each voter has its own rate of firing, given whether the
+voter with which it is most correlated within classes fires. Expectation maximisation estimates rates and correlations without
+labels; annotated rows only select the lexicon and the voters, and name each class toxic or clean. A linear classifier over the counts of the
+same entries is then trained on the posterior labels and scores every text.
 The lexicon is mined from the labelled training rows, so it follows the corpus and its languages.
 """
 
@@ -24,6 +26,8 @@ from candela.llm.common import packed, small, table, unpacked, written
 SAMPLE = 20_000
 #: Entries of the lexicon, and training rows that must hold one.
 ENTRIES, SUPPORT = 768, 4
+#: Latent classes of the label model, and the part of an entry's labelled rows that must be toxic if it is to vote in it.
+CLASSES, PURE = 12, 0.8
 STEMS = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = {
@@ -124,38 +128,97 @@ def spots(text: str | None, at: dict[str, int], known: dict[str, tuple] | None =
 # ---- the label model and the classifier, on the votes of a bounded sample
 
 
-def posterior(votes: np.ndarray, y: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of label 1 for each row of 0/1 votes, and the voters' weights (row 0: they fire, row 1: they do not).
+def _blocks(n: int, size: int = 4096) -> Iterator[slice]:
+    return (slice(i, min(i + size, n)) for i in range(0, n, size))
+
+
+def _start(votes: np.ndarray, classes: int, seed: int) -> np.ndarray:
+    """First class weights: rows without votes are class 0; the others go by likeness to rows that are unlike each other."""
+    n = len(votes)
+    fires = votes.sum(axis=1, dtype=np.float32)
+    fired = np.flatnonzero(fires)
+    q = np.full((n, classes), 1e-3)
+    q[fires == 0, 0] = 1
+    if not len(fired):
+        return q / q.sum(axis=1, keepdims=True)
+
+    def likeness(i: int) -> np.ndarray:
+        both = np.concatenate([votes[fired[b]].astype(np.float32) @ votes[i] for b in _blocks(len(fired))])
+        return both / np.maximum(fires[fired] + fires[i] - both, 1)
+
+    seeds = [fired[np.random.default_rng(seed).integers(len(fired))]]
+    near = [likeness(seeds[0])]
+    for _ in range(classes - 2):
+        best = np.max(near, axis=0)
+        far = np.flatnonzero(best <= np.quantile(best, 0.2))
+        seeds.append(fired[far[fires[fired[far]].argmax()]])
+        near.append(likeness(seeds[-1]))
+    q[fired, 1:] = (np.stack(near, axis=1) + 1e-3) ** 2
+    return q / q.sum(axis=1, keepdims=True)
+
+
+def correlations(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each two voters, the correlation that is left within the classes."""
+    total = q.sum(axis=0)
+    both = sum((v.T @ v for v in (votes[b].astype(np.float32) for b in _blocks(len(votes)))), np.float32(0)).astype(np.float64) / len(votes)
+    mean = sum(q[b].T @ votes[b] for b in _blocks(len(votes))) / np.maximum(total, 1e-9)[:, None]
+    left = both - (mean * (total / len(votes))[:, None]).T @ mean
+    scale = np.sqrt(np.maximum(np.diag(left), 1e-9))
+    out = left / np.outer(scale, scale)
+    np.fill_diagonal(out, 0)
+    return out
 
-    A voter's weight is its log likelihood ratio over one and the sum of its correlations with others within the classes:
-    voters that say the same thing share one vote. The labels y are a voter too, whose error rates are estimated alike.
-    """
-    v = votes.astype(np.float32)
-    p = np.where(y == 1, 0.98, 0.02)
-    weights = np.zeros((2, v.shape[1]))
-    for _ in range(rounds):
-        rate = []
-        residual = 0.0
-        for q in (p, 1 - p):
-            total = q.sum() + 2
-            mean = (q @ v + 2 * (v.mean(axis=0) * 0.5 + 1e-4)) / total
-            mean = np.clip(mean, 1e-5, 1 - 1e-5)
-            rate.append(mean)
-            centred = (v - mean.astype(np.float32)) * np.sqrt(q, dtype=np.float32)[:, None]
-            residual = residual + centred.T @ centred
-        scale = np.sqrt(np.maximum(np.diag(residual), 1e-9))
-        correlation = np.clip(residual / np.outer(scale, scale), 0, 1)
-        np.fill_diagonal(correlation, 0)
-        shared = 1 + np.where(correlation > 0.1, correlation, 0).sum(axis=1)
-        fires, rests = np.log(rate[0] / rate[1]) / shared, np.log((1 - rate[0]) / (1 - rate[1])) / shared
-        prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        hit = np.clip((p * y).sum() / max(p.sum(), 1e-9), 0.6, 0.995)
-        slip = np.clip(((1 - p) * y).sum() / max((1 - p).sum(), 1e-9), 0.002, 0.4)
-        said = np.where(y == 1, np.log(hit / slip), np.log((1 - hit) / (1 - slip)))
-        z = np.log(prior / (1 - prior)) + said + v @ (fires - rests).astype(np.float32) + rests.sum()
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        weights = np.stack([fires, rests])
-    return p, weights
+
+def parents(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each voter the one that it depends on (-1: none): the maximum spanning forest of the squared correlations that pay for their parameters."""
+    weight = correlations(votes, q) ** 2
+    weight[weight * len(votes) <= q.shape[1] * np.log(len(votes))] = 0
+    m = len(weight)
+    parent, best, reach = np.full(m, -1), np.zeros(m), np.full(m, -1)
+    todo = np.ones(m, bool)
+    for _ in range(m):
+        i = int(np.where(todo, best, -1).argmax())
+        todo[i], parent[i] = False, reach[i]
+        more = todo & (weight[i] > best)
+        best[more], reach[more] = weight[i][more], i
+    return parent
+
+
+def label_model(votes: np.ndarray, classes: int = CLASSES, rounds: int = 24, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """votes: rows by voters, 0 or 1. Posterior of the classes for each row, each voter's rate of firing by class, and parents()."""
+    n, m = votes.shape
+    q, parent = _start(votes, classes, seed), np.full(m, -1)
+    overall = votes.mean(axis=0)
+    for turn in range(rounds):
+        if turn in (4, 10):
+            parent = parents(votes, q)
+        on = lambda b: np.where(parent >= 0, votes[b][:, parent], 0).astype(np.float32)  # noqa: B023, E731
+        total, one, up, both = q.sum(axis=0)[:, None], 0, 0, 0
+        for b in _blocks(n):
+            v, p = votes[b].astype(np.float32), on(b)
+            one, up, both = one + q[b].T @ v, up + q[b].T @ p, both + q[b].T @ (v * p)
+        # rates where the parent fires and where it does not, smoothed by one row that fires like all rows do
+        given = np.where(up.sum(axis=0) > 0, both.sum(axis=0) / np.maximum(up.sum(axis=0), 1e-9), overall)
+        rest = (one.sum(axis=0) - both.sum(axis=0)) / np.maximum(n - up.sum(axis=0), 1e-9)
+        high, low = (np.clip(x, 1e-5, 1 - 1e-5) for x in ((both + given) / (up + 1), (one - both + rest) / (total - up + 1)))
+        prior = np.log(np.clip(total[:, 0] / n, 1e-9, 1))
+        # log likelihood: that of nothing firing, and what each vote, each parent's vote and both together add
+        silent, vote, parent_votes = np.log1p(-low), np.log(low) - np.log1p(-low), np.log1p(-high) - np.log1p(-low)
+        together = np.log(high) - np.log1p(-high) - vote
+        for b in _blocks(n):
+            v, p = votes[b].astype(np.float32), on(b)
+            z = v @ vote.T + p @ parent_votes.T + (v * p) @ together.T + silent.sum(axis=1) + prior
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            q[b] = z / z.sum(axis=1, keepdims=True)
+    rates = sum(q[b].T @ votes[b] for b in _blocks(n)) / np.maximum(q.sum(axis=0), 1e-9)[:, None]
+    return q, rates, parent
+
+
+def posterior(votes: np.ndarray, y: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Posterior of label 1 for each row: the weight of the classes whose rows the labels y mostly mark. That is their only use here."""
+    q, _, _ = label_model(votes, classes)
+    toxic = q.T @ y >= 0.5 * q.sum(axis=0)
+    return q[:, toxic].sum(axis=1)
 
 
 def linear(x: np.ndarray, p: np.ndarray, decay: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -173,16 +236,31 @@ def linear(x: np.ndarray, p: np.ndarray, decay: float = 2e-4, steps: int = 400)
     return w, b
 
 
-def features(where: list[int], counts: list[int], marks: list[bool], words: int, n: int) -> np.ndarray:
-    x = np.zeros(n + len(PATTERNS) + 1, np.float32)
-    x[where] = np.log1p(counts)
-    x[n:-1] = marks
-    x[-1] = np.log1p(words) / 10
+def _voters(fires: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The votes of the entries (the first n columns) that fire on toxic rows mostly, and of all patterns."""
+    pure = fires[y == 1].sum(axis=0) >= PURE * np.maximum(fires.sum(axis=0), 1)
+    pure[n:] = True
+    return fires[:, pure].astype(np.uint8)
+
+
+def _matrix(votes: pa.Table, n: int) -> np.ndarray:
+    """Log counts of the n entries, the patterns' votes, and the text's length."""
+    x = np.zeros((votes.num_rows, n + len(PATTERNS) + 1), np.float32)
+    at, counts, marks = (votes[c].combine_chunks() for c in ("at", "n", "marks"))
+    row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+    x[row, at.flatten().to_numpy()] = np.log1p(counts.flatten().to_numpy())
+    x[:, n:-1] = marks.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(PATTERNS))
+    x[:, -1] = np.log1p(votes["words"].to_numpy()) / 10
     return x
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """The model: names of its entries, weights, bias. labels: id_col and toxic, of which rows outside the held-out fold are used."""
+    """The model: names of its entries, weights, bias. labels: id_col and toxic, of which rows outside the held-out fold are used.
+
+    Labels other than 0 and 1 and those without an id are left out; of several for an id the largest counts; rows that repeat
+    are fitted as often. Null texts are empty ones. Without labelled rows, as with an empty table, the model knows no entries
+    and scores all texts low. Whole texts are counted, very long ones too; further columns are not looked at.
+    """
     y = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y")).filter(~held_out())
     y = written(y, "toxic-labels")
     n = y.count()
@@ -194,8 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     votes = rows.select("text", "y").mapInArrow(_votes(names), "y int, at array<int>, n array<int>, marks array<boolean>, words long").toArrow()
     if not votes.num_rows:
         return {"names": [], "weights": [0.0] * (len(PATTERNS) + 1), "bias": -4.0}
-    x = np.stack([features(a, c, k, w, len(names)) for a, c, k, w in zip(*(votes[c].to_pylist() for c in ("at", "n", "marks", "words")), strict=True)])
-    p, _ = posterior(x[:, :-1] > 0, np.array(votes["y"].to_pylist()))
+    x = _matrix(votes, len(names))
+    y = votes["y"].to_numpy()
+    p = posterior(_voters(x[:, :-1] > 0, y, len(names)), y)
     w, b = linear(x, p)
     return {"names": names, "weights": w.tolist(), "bias": b}
 
@@ -220,13 +299,13 @@ def _scores(model: dict):
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs in the form of packed() with score, from 0 to 1; null is an empty text. Each row gives a row."""
+    """Rows of docs in the form of packed() with score, from 0 to 1; null is an empty text. Each row gives a row, repeated rows too; an empty table gives none."""
     rows = packed(docs, id_col, text_col)
     return rows.mapInArrow(_scores(model), f"id long, rest {rows.schema['rest'].dataType.simpleString()}, text string, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score threshold or more."""
+    """docs without the rows that score threshold or more (see train() and scored()), with all their columns; an empty table gives an empty one."""
     found = scored(docs, train(docs, labels, id_col, text_col), id_col, text_col)
     return unpacked(found.filter(F.col("score") < threshold), docs, id_col, text_col)
 

@@ -20,7 +20,7 @@ from candela.llm import secret_scan as X
 from candela.llm import token_counts as T
 from candela.llm import toxicity as V
 from candela.llm import warc as A
-from candela.llm.common import new_path
+from candela.llm.common import new_path, written
 from candela.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -282,7 +282,8 @@ def test_toxicity(spark):
     assert right / len(held) > 0.97
     flipped = labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert V.train(df, flipped) == model  # the held-out labels are not looked at
-    assert V.without_toxic(df, labels).columns == df.columns
+    clean = V.without_toxic(df, labels)
+    assert clean.columns == df.columns and {x.doc_id for x in clean.collect()} == {i for i, x in got.items() if x < 0.5}
     assert V.scored(empty(spark), model).count() == 0 and V.train(empty(spark), labels)["names"] == []
     assert V.scored(repeated(spark), model).count() == repeated(spark).count()
 
@@ -295,15 +296,47 @@ def test_lexicon_counts_all_labelled_rows(spark):
     assert "grumblewort" in V.train(df, labels, sample=20)["names"]  # about 2 of the sampled rows hold it, fewer than SUPPORT
 
 
-def test_label_model_shares_votes_of_correlated_voters():
+def simulated(n=6000, seed=0):
+    """Two kinds of toxic rows with voters of known rates, and voters that copy others."""
     import numpy as np
 
-    r = np.random.default_rng(0)
-    y = (r.random(4000) < 0.3).astype(int)
-    fires = lambda: np.where(y == 1, r.random(4000) < 0.7, r.random(4000) < 0.1)
-    one, two = fires(), fires()
-    p, w = V.posterior(np.stack([one, one, one, two], 1), y)
-    assert ((p >= 0.5) == y).mean() > 0.99 and w[0, 0] < 0.6 * w[0, 3]
+    r = np.random.default_rng(seed)
+    kind = r.choice(3, n, p=[0.8, 0.12, 0.08])  # 0: clean
+    rates = np.zeros((3, 16))
+    rates[1, :8], rates[2, 8:], rates[0] = 0.6, 0.5, np.linspace(0.005, 0.05, 16)
+    v = r.random((n, 16)) < rates[kind]
+    copies = np.stack([np.where(r.random(n) < 0.9, v[:, j], r.random(n) < 0.02) for j in (0, 0, 0, 8)], 1)
+    return kind, rates, np.concatenate([v, copies], 1).astype(np.uint8)
+
+
+def test_label_model_finds_known_rates_and_correlations():
+    import numpy as np
+
+    kind, rates, v = simulated()
+    q, found, parent = V.label_model(v, classes=3)
+    of = [int(q[kind == k].mean(0).argmax()) for k in range(3)]
+    assert sorted(of) == [0, 1, 2] and (q.argmax(1) == np.array(of)[kind]).mean() > 0.975
+    assert np.abs(found[of][:, :16] - rates).max() < 0.06
+    tied = {frozenset((j, int(parent[j]))) for j in range(20) if parent[j] >= 0}
+    group = {0, 16, 17, 18}
+    assert sum(e <= group for e in tied) == 3 and frozenset((8, 19)) in tied and len(tied) <= 6
+    left = V.correlations(v, q)
+    assert left[0, 16] > 0.6 and np.abs(left[:8, 8:16]).max() < 0.1
+
+
+def test_label_model_takes_labels_for_names_only():
+    import numpy as np
+
+    kind, _, v = simulated(seed=1)
+    y = (kind > 0).astype(int)
+    p = V.posterior(v, y, classes=3)
+    assert ((p >= 0.5) == y).mean() > 0.975
+    r = np.random.default_rng(2)
+    noisy = np.where(r.random(len(y)) < 0.25, 1 - y, y)
+    assert (V.posterior(v, noisy, classes=3) == p).all()  # a quarter of the labels is wrong
+    # a voter that is copied often counts once: rows on which it and its copies alone fire stay clean
+    alone = (v[:, [0, 16, 17, 18]].all(1)) & (v.sum(1) == 4)
+    assert alone.sum() > 5 and (p[alone] < 0.5).mean() > 0.8
 
 
 # ---- pipeline
@@ -352,7 +385,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         return {i for i, x in t.items() if all(len(shingles(x) & shingles(y)) * 100 < 80 * len(shingles(y)) for y in items.values())}
 
     for (name, stage), brute in zip(corpus_pipeline.STAGES, (clean, last, roots, unseen), strict=False):
-        out = stage(spark, docs_, str(tmp_path)).localCheckpoint()
+        out = written(stage(spark, docs_, str(tmp_path)), "test")
         got = sorted(x.doc_id for x in out.collect())
         assert got == sorted(brute(t)) and 0 < len(got) < len(t), name
         assert {x.doc_id: (x.text, x.source) for x in out.collect()} == {i: (t[i], source[i]) for i in got}
