@@ -19,6 +19,10 @@ from candela.llm.common import packed, table
 LONG, ASSIGNED = "[A-Za-z0-9+/_\\-]{16,}={0,2}", "[:=][\"']?([A-Za-z0-9+/_\\-!@#$%^&*.]{8,})"
 VALUE = "^[\"']?([A-Za-z0-9+/_\\-!@#$%^&*.]{8,})"
 PLACES = "array<struct<place:int,found:string>>"
+#: A block of base64 between its BEGIN and END lines, line breaks written out or not.
+ARMOUR = "-----BEGIN [A-Z0-9 ]+-----[A-Za-z0-9+/=:,.\\\\<>_\\-\\s]*?-----END [A-Z0-9 ]+-----"
+#: Elements that _running() sums at a time.
+BLOCK = 64
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Words of the dictionary whose share in a candidate counts.
 DICTIONARY = (
@@ -38,51 +42,65 @@ TREES, DEPTH, SEED = 40, 8, 11
 #: Labelled findings that synthetic_findings() makes.
 FINDINGS = 6000
 
-FEATURES = ["length", "digits", "upper", "lower", "marks", "hexadecimal", "transitions", "letter_transitions", "distinct", "longest_digits", "dictionary", "in_test", "key_before", "assigned", "quoted", "harmless_before", "harmless_after"]
+FEATURES = ["length", "digits", "upper", "lower", "marks", "hexadecimal", "transitions", "letter_transitions", "distinct", "longest_digits", "dictionary", "in_test", "key_before", "assigned", "quoted", "harmless_before", "harmless_after", "block", "private"]
+
+
+def _let(x: Column, use) -> Column:
+    """use(x), with x computed once."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def _running(sizes: Column) -> Column:
+    """For each element the sum of those before it. Sums of blocks come first, so the work is linear but for a part in BLOCK squared."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda a, starts, i: F.get(starts, (i / BLOCK).cast("int")) + total(F.slice(a, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+    blocks = lambda a: F.transform(upto(F.ceil(F.size(a) / BLOCK).cast("int")), lambda j: total(F.slice(a, j * BLOCK + 1, F.lit(BLOCK))))
+    starts = lambda sums: F.transform(upto(F.size(sums)), lambda j: total(F.slice(sums, F.lit(1), j)))
+    found = _let(sizes, lambda a: _let(starts(blocks(a)), lambda st: F.transform(upto(F.size(a)), lambda i: place(a, st, i))))
+    return F.when(F.size(sizes) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """id, start (0-based, in characters), candidate, word (where it stands), before, before2, after, path.
 
     A value that is assigned is a candidate as a whole, beside the long runs in it; whether letters alone are a secret is left
-    to the forest. Words are parted by white space of any length; a value may follow its [:=] over white space. A null text has no candidates, a null path is empty. Every row and the whole text is searched, and each place of
-    a candidate gives a row; repeated rows repeat their candidates; a text without candidates gives no row.
+    to the forest. Words are parted by white space of any length; a value may follow its [:=] over white space. A block
+    between BEGIN and END lines, such as a private key over many lines, is a candidate too. A null text has no candidates, a
+    null path is empty. Every row and the whole text is searched, very long ones too, and each place of a candidate gives a
+    row; repeated rows repeat their candidates; a text without candidates gives no row, an empty table none. Further columns
+    are left out.
     """
     rows = packed(docs, id_col, text_col)
     path = F.coalesce(F.col("rest").getField(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     spot = f"({LONG})|({ASSIGNED})"
-    rows = rows.select("id", "text", path.alias("path")).filter(F.col("text").rlike(f"({LONG})|[:=]({SPACE})?{VALUE[1:]}"))
-    rows = rows.select("id", "path", F.split("text", SPACE).alias("words"), F.regexp_extract_all("text", F.lit(SPACE), F.lit(0)).alias("gaps"))
+    rows = rows.select("id", "text", path.alias("path"))
+    spaced = rows.filter(F.col("text").rlike(f"({LONG})|[:=]({SPACE})?{VALUE[1:]}")).select("id", "path", F.split("text", SPACE).alias("words"), F.regexp_extract_all("text", F.lit(SPACE), F.lit(0)).alias("gaps"))
     word = lambda i: F.coalesce(F.when(i >= 0, F.get("words", i)), F.lit(""))
     after_sign = lambda i: word(i - 1).rlike("[:=]$") & word(i).rlike(VALUE)
-    # one walk over the words adds up their places and takes those with candidates
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size("words") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,offset:int>>").alias("hits")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.char_length(word(i)) + F.coalesce(F.char_length(F.get("gaps", i)), F.lit(0))).alias("at"),
-            F.when(word(i).rlike(spot) | after_sign(i), F.array_append(acc["hits"], F.struct(i.alias("i"), acc["at"].alias("offset")))).otherwise(acc["hits"]).alias("hits"),
-        ),
-        lambda acc: acc["hits"],
-    )
-    around = lambda h: F.struct(h["offset"].alias("offset"), *(word(h["i"] + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))))
+    sizes = F.transform("words", lambda w, i: F.char_length(w) + F.coalesce(F.char_length(F.get("gaps", i)), F.lit(0)))
+    hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(spot) | after_sign(i))
+    placed = _let(_running(sizes), lambda at: F.transform(hits, lambda i: F.struct(F.get(at, i).alias("offset"), *(word(i + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))))))
     # exploded as an expression: of a column, Spark would infer a filter that is pushed below and splits the text for each word
-    found = rows.select("id", "path", F.explode(F.transform(walked, around)).alias("hit")).select("id", "path", "hit.*")
+    found = spaced.select("id", "path", F.explode(placed).alias("hit")).select("id", "path", "hit.*")
     at_first = F.when(F.col("before").rlike("[:=]$"), _places(F.col("word"), VALUE)).otherwise(F.array().cast(PLACES))
+    # the three patterns never find one value at one place: short ones are not wholly long, and VALUE's have no sign before them
     short = F.filter(F.concat(_places(F.col("word"), ASSIGNED), at_first), lambda x: ~x["found"].rlike(f"^({LONG})$"))
-    every = found.withColumn("one", F.explode(F.array_distinct(F.concat(_places(F.col("word"), f"({LONG})"), short))))
-    return every.select("id", (F.col("offset") + F.col("one.place")).cast("long").alias("start"), F.col("one.found").alias("candidate"), "word", "before", "before2", "after", "path")
+    every = found.withColumn("one", F.explode(F.concat(_places(F.col("word"), f"({LONG})"), short)))
+    single = every.select("id", (F.col("offset") + F.col("one.place")).cast("long").alias("start"), F.col("one.found").alias("candidate"), "word", "before", "before2", "after", "path")
+    # the block's first line stands for the word, so that its kind is seen
+    blocks = rows.filter(F.col("text").rlike(ARMOUR)).select("id", "path", F.explode(_places(F.col("text"), f"({ARMOUR})")).alias("one"))
+    none = F.lit("")
+    whole = blocks.select("id", F.col("one.place").cast("long").alias("start"), F.col("one.found").alias("candidate"), F.regexp_extract("one.found", "^-+BEGIN[^-]*-+", 0).alias("word"), none.alias("before"), none.alias("before2"), none.alias("after"), "path")
+    return single.unionByName(whole)
 
 
 def _places(word: Column, pattern: str) -> Column:
     """place (0-based) and found, the pattern's group 1, of each match; the group must end where the match does."""
-    gaps, matches, groups = F.split(word, pattern), F.regexp_extract_all(word, F.lit(pattern), F.lit(0)), F.regexp_extract_all(word, F.lit(pattern), F.lit(1))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["match"])).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + F.char_length(x["gap"]) + F.char_length(x["match"]) - F.char_length(x["group"])).alias("place"), x["group"].alias("found"))).alias("out"),
-    )
-    each = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"), groups.alias("group"))
-    return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")), step, lambda acc: acc["out"])
+    matches, groups = F.regexp_extract_all(word, F.lit(pattern), F.lit(0)), F.regexp_extract_all(word, F.lit(pattern), F.lit(1))
+    each = lambda found: _let(F.split(word, pattern), lambda gaps: F.transform(found, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m)))
+    struct = lambda at, sizes, own: F.transform(own, lambda g, i: F.struct((F.get(at, i) + F.get(sizes, i) - F.char_length(g)).alias("place"), g.alias("found")))
+    return _let(each(matches), lambda sizes: _let(_running(sizes), lambda at: struct(at, sizes, groups)))
 
 
 def featured(found: DataFrame) -> DataFrame:
@@ -100,6 +118,7 @@ def featured(found: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n, "longest_digits": F.coalesce(longest, F.lit(0)) / n, "dictionary": 1 - rest / n,
         "in_test": flag(F.lower("path").rlike(TEST_PATHS)), "key_before": flag(near.rlike(f"(^|[^a-z])({SECRET_WORDS})[\"']?\\s*[:=]?")), "assigned": flag(near.rlike("[:=]")),
         "quoted": flag(F.col("word").rlike("[\"']")), "harmless_before": flag(F.concat_ws(" ", F.lower("before2"), F.lower("before")).rlike(f"(^|[^a-z])({HARMLESS_WORDS})([^a-z]|$)")),
+        "block": flag(c.startswith("-----BEGIN ")), "private": flag(F.col("word").rlike("PRIVATE|SECRET")),
         "harmless_after": flag(F.lower("after").rlike(f"^({HARMLESS_WORDS})")),
     })
 
@@ -122,6 +141,7 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     natural = lambda salt, k: F.concat(*(syllable(f"{salt}{j}") for j in range(k)))
     plain = lambda salt: pick(salt, *DICTIONARY)
     letters = lambda salt, k: F.translate(hexes(salt, k), "0123456789", "theronisad")
+    armour = lambda form, kind, body: F.concat(F.lit("-----BEGIN "), form, kind, F.lit("-----\n"), body, F.lit("\n-----END "), form, kind, F.lit("-----"))
     # kind -> label, candidate, word in which it stands ({} is the candidate), two words before, word after
     eq = F.concat(name("n"), F.lit("={}"))
     quote = F.lit('"{}"')
@@ -158,6 +178,10 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, F.concat(F.lit("//www."), natural("md", 3), pick("me", ".com/", ".org/", ".de/"), plain("mf")), F.lit("https:{}"), word("p"), word("q"), word("r")),
         (0, pick("mg", "changeme", "required", "your_password", "example-token", "undefined", "process.env.PASSWORD", "config.password", "settings.SECRET_KEY", "example.password", "password-input-field"), eq, word("p"), word("q"), word("r")),
         (0, natural("mh", 4), F.concat(pick("mi", "lang", "title", "name", "type", "see"), pick("mj", "={}", ":{}")), word("p"), word("q"), word("r")),
+        # blocks of many lines
+        (1, armour(pick("na", "RSA ", "", "EC ", "OPENSSH "), F.lit("PRIVATE KEY"), F.concat(mixed("nb", 64), F.lit("\n"), mixed("nc", 64), F.lit("\n"), mixed("nd", 40), F.lit("="))), pick("na", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"), F.lit(""), F.lit(""), F.lit("")),
+        (0, armour(F.lit(""), pick("ne", "CERTIFICATE", "PUBLIC KEY", "CERTIFICATE REQUEST"), F.concat(mixed("nf", 64), F.lit("\n"), mixed("ng", 64), F.lit("\n"), mixed("nh", 40), F.lit("="))), F.concat(F.lit("-----BEGIN "), pick("ne", "CERTIFICATE", "PUBLIC KEY", "CERTIFICATE REQUEST"), F.lit("-----")), F.lit(""), F.lit(""), F.lit("")),
+        (0, armour(F.lit(""), F.lit("PRIVATE KEY"), pick("ni", "...", "<your-private-key-goes-here>", "example", "paste key here")), F.lit("-----BEGIN PRIVATE KEY-----"), F.lit(""), F.lit(""), F.lit("")),
         # short ones, with and without white space after the sign
         (1, F.concat(letters("sa", 6), digits("sb", 3)), F.lit("{}"), word("p"), F.concat(name("n"), pick("e", ":", "=")), word("r")),
         (1, F.substring(F.lower(mixed("sc", 20)), 1, 9), pick("sd", "{}", '"{}"', "'{}',"), name("n"), pick("e", "=", ":"), word("r")),
@@ -171,7 +195,10 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     ]
     parts = F.array(*(F.struct(F.lit(label).alias("label"), c.alias("candidate"), w.alias("form"), b2.alias("before2"), b.alias("before"), a.alias("after")) for label, c, w, b2, b, a in kinds))
     rows = spark.range(n).withColumnRenamed("id", "i").withColumn("x", F.element_at(parts, (F.pmod(i, F.lit(len(kinds))) + 1).cast("int")))
-    path = F.when(F.pmod(F.xxhash64(i, F.lit(5)), F.lit(10)) == 0, F.when(F.col("x.label") == 0, "tests/fixture.py").otherwise("src/config.py")).otherwise(F.concat(F.lit("src"), F.pmod(i, F.lit(20)).cast("string")))
+    # either kind of path holds either label; tests hold more false positives
+    chance = F.pmod(F.xxhash64(i, F.lit(5)), F.lit(100))
+    in_test = chance < F.when(F.col("x.label") == 0, 15).otherwise(5)
+    path = F.when(in_test, "tests/fixture.py").when(chance < 25, "src/config.py").otherwise(F.concat(F.lit("src"), F.pmod(i, F.lit(20)).cast("string")))
     return rows.select(i.alias("id"), F.lit(0).cast("long").alias("start"), "x.candidate", F.replace("x.form", F.lit("{}"), F.col("x.candidate")).alias("word"), "x.before", "x.before2", "x.after", path.alias("path"), F.col("x.label").cast("double").alias("label"))
 
 
@@ -182,7 +209,7 @@ def train(findings: DataFrame) -> PipelineModel:
 
 
 def secret_scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """The candidates that the model takes for secrets: id, start, candidate, probability (see candidates())."""
+    """The candidates that the model takes for secrets: id, start, candidate and score, the model's probability (see candidates())."""
     scored = model.transform(featured(candidates(docs, id_col, text_col, path_col))).withColumn("p", _second(F.col("probability")))
     return scored.filter(F.col("p") >= threshold).select("id", "start", "candidate", F.col("p").alias("score"))
 

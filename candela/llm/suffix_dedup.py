@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import hash128, packed, table, unpacked, written
+from candela.llm.common import discard, hash128, packed, table, unpacked, written
 
 LENGTH, CONTEXT = 400, 32
 #: Repeated strings from this length on are reported too, but not removed: passages of 50 words or so.
@@ -33,7 +33,7 @@ PASSAGE = 256
 #: The depth in bytes to which multikey quicksort goes before blind tries take over, and the bytes it compares at once.
 SHALLOW, STEP = 64, 8
 #: Slices that are sorted together at most; larger groups are split.
-GROUP = 1024
+GROUP = 2048
 
 
 # ---- anchors
@@ -336,9 +336,10 @@ def _sorted_groups(slices: DataFrame, length: int, passage: int) -> DataFrame:
 
 def _crowded(slices: DataFrame, length: int, passage: int, group: int) -> DataFrame:
     """The cover of distinct slices of groups with more than `group` of them. Each round, slices share a byte more at least."""
-    todo, parts = slices, []
+    todo, parts, used = slices, [], []
     while True:
         sizes = written(todo.groupBy("g1", "g2").agg(F.count("*").alias("slices"), F.min(F.struct("s1", "s2")).alias("lead")).filter("slices > 1"), "suffix-sizes")
+        used.append(sizes)
         several = todo.join(sizes, ["g1", "g2"])
         parts.append(_sorted_groups(several.filter(F.col("slices") <= group), length, passage))
         if sizes.filter(F.col("slices") > group).isEmpty():
@@ -348,11 +349,14 @@ def _crowded(slices: DataFrame, length: int, passage: int, group: int) -> DataFr
         leads = written(leads.select("g1", "g2", F.col("s1").alias("l1"), F.col("s2").alias("l2"), F.col("n").alias("ln"), F.col("before").alias("l_before"), F.col("after").alias("l_after")), "suffix-leaders")
         split = written(big.select(*_fields(SLICES)).join(leads, ["g1", "g2"]).mapInArrow(_against_leader(length, passage), SPLIT), "suffix-split")
         parts.append(split.filter("side = 0").select(*_fields(COVER)))
+        used += [big, leads, split]
         todo = split.filter("side > 0").select(*_fields(SLICES))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return written(out.groupBy(*SLICE).agg(*(F.max(c).alias(c) for c in ("lo", "hi", "low", "high"))), "suffix-crowded")
+    out = written(out.groupBy(*SLICE).agg(*(F.max(c).alias(c) for c in ("lo", "hi", "low", "high"))), "suffix-crowded")
+    discard(*used)
+    return out
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, context: int = CONTEXT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,6 +376,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, c
     every = written(rows.select("k1", "k2", "text").mapInArrow(_anchors(lengths, context), ANCHORS), "suffix-anchors")
     twice = written(every.groupBy("ctx").agg(F.count("*").alias("n")).filter("n > 1").select("ctx"), "suffix-contexts")
     found = written(every.join(twice, "ctx"), "suffix-found")
+    discard(every, twice)
     slices = written(found.groupBy(*SLICE).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lb", "la")).alias("one")), "suffix-slices")
     # written, so that a hot context's partition of the join can be split
     several = written(slices.groupBy("ctx").agg(F.count("*").alias("slices")).filter("slices > 1"), "suffix-several")
@@ -383,14 +388,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, c
         return rows.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("text", "found").mapInArrow(_slices, SLICES)
 
     cover = _sorted_groups(with_bytes(uncertain.filter(F.col("slices") <= group)), length, passage)
-    crowded = uncertain.filter(F.col("slices") > group)
+    crowded, crowd = uncertain.filter(F.col("slices") > group), []
     if not crowded.isEmpty():
         many = written(with_bytes(crowded).dropDuplicates(SLICE), "suffix-crowd")
-        cover = cover.unionByName(_crowded(many, length, passage, group))
+        crowd = [many, _crowded(many, length, passage, group)]
+        cover = cover.unionByName(crowd[1])
     # a slice that occurs twice is covered whole; of the others, what covered() or the leaders have found
     long = F.when(F.col("one.lb") + F.col("one.la") >= length, 1).otherwise(0)
     known = slices.filter("n > 1").select(*SLICE, (long * F.col("one.lb")).alias("lo"), (long * F.col("one.la")).alias("hi"), F.col("one.lb").alias("low"), F.col("one.la").alias("high"))
     cover = written(cover.unionByName(known), "suffix-cover")
+    discard(slices, several, uncertain, *crowd)
 
     def runs(left: str, right: str):
         run = F.struct((F.col("pos") - F.col(left)).alias("start"), (F.col("pos") + F.col(right)).alias("end"))

@@ -11,6 +11,7 @@ The lexicon is mined from the labelled training rows, so it follows the corpus a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,13 +31,17 @@ ENTRIES, SUPPORT = 768, 4
 CLASSES, PURE = 12, 0.8
 STEMS = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
+SHOUTING, EXCLAIMING, CURSING = re.compile(r"\b[A-Z]{3,}\b.*\b[A-Z]{3,}\b", re.S), re.compile(r"!{2,}|\?!|!\?"), re.compile(r"[@#$%&*!]{4,}")
+MASKED, REPEATING = re.compile(r"\b[^\W\d_]+[*@$#][^\W\d_*@$#]+"), re.compile(r"(\w)\1{3,}")
+ADDRESS = frozenset("you your tu vous du ihr vosotros usted".split())
+#: Patterns of writing, as functions of a text and its words; what is cheap to see comes first.
 PATTERNS = {
-    "shouting": re.compile(r"\b[A-Z]{3,}\b.*\b[A-Z]{3,}\b", re.S),
-    "exclaiming": re.compile(r"!{2,}|\?!|!\?"),
-    "cursing": re.compile(r"[@#$%&*!]{4,}"),
-    "masked": re.compile(r"\b[^\W\d_]+[*@$#][^\W\d_*@$#]+", re.I),
-    "addressing": re.compile(r"\b(you|your|tu|vous|du|ihr|vosotros|usted)\b", re.I),
-    "repeating": re.compile(r"(\w)\1{3,}"),
+    "shouting": lambda text, words: bool(SHOUTING.search(text)),
+    "exclaiming": lambda text, words: "!" in text and bool(EXCLAIMING.search(text)),
+    "cursing": lambda text, words: bool(CURSING.search(text)),
+    "masked": lambda text, words: any(c in text for c in "*@$#") and bool(MASKED.search(text)),
+    "addressing": lambda text, words: not ADDRESS.isdisjoint(words),
+    "repeating": lambda text, words: bool(REPEATING.search(text)),
 }
 FOLDS = 5
 
@@ -49,30 +54,28 @@ def entries(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
 
 
-def counted(text: str | None) -> Counter:
-    """How often each entry is in the text."""
-    out: Counter = Counter()
-    for word, n in Counter(WORD.findall((text or "").lower())).items():
-        for e in entries(word):
-            out[e] += n
-    return out
-
-
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list[int]] = {}
+    """How many clean and toxic texts hold each entry, in parts."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())
+    known: dict[str, list[str]] = {}
     for batch in batches:
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
-            for e in counted(text):
-                found.setdefault(e, [0, 0])[y] += 1
-        if len(found) > 500_000:
+            words = set(WORD.findall((text or "").lower()))
+            for word in words - known.keys():
+                known[word] = entries(word)
+            found[y].update(set().union(*map(known.__getitem__, words)))
+        if len(found[0]) + len(found[1]) > 500_000:
             yield _counts(found)
-            found = {}
-    if found:
+            found = (Counter(), Counter())
+        if len(known) > 500_000:
+            known.clear()
+    if found[0] or found[1]:
         yield _counts(found)
 
 
-def _counts(found: dict[str, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["entry", "clean", "toxic"])
+def _counts(found: tuple[Counter, Counter]) -> pa.RecordBatch:
+    names = list(found[0] | found[1])
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([x[e] for e in names], pa.int64()) for x in found)], names=["entry", "clean", "toxic"])
 
 
 def lexicon(rows: DataFrame, entries_most: int = ENTRIES, support: int = SUPPORT) -> list[str]:
@@ -92,17 +95,16 @@ def lexicon(rows: DataFrame, entries_most: int = ENTRIES, support: int = SUPPORT
 
 
 def _votes(names: list[str]):
-    at = {e: i for i, e in enumerate(names)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spots = Spots(names)
         for batch in batches:
             where, counts, marks, words = [], [], [], []
             for text in batch["text"].to_pylist():
-                i, n, total = spots(text, at)
+                i, n, own = spots(text)
                 where.append(i)
                 counts.append(n)
-                words.append(total)
-                marks.append([bool(p.search(text or "")) for p in PATTERNS.values()])
+                words.append(own.total())
+                marks.append([p(text or "", own) for p in PATTERNS.values()])
             yield pa.RecordBatch.from_arrays(
                 [batch["y"], pa.array(where, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.bool_())), pa.array(words, pa.int64())],
                 names=["y", "at", "n", "marks", "words"],
@@ -111,18 +113,29 @@ def _votes(names: list[str]):
     return run
 
 
-def spots(text: str | None, at: dict[str, int], known: dict[str, tuple] | None = None) -> tuple[list[int], list[int], int]:
-    """Places of the lexicon's entries that the text holds, how often it does, and its words. known: places by word, to be reused."""
-    found: dict[int, int] = {}
-    known = {} if known is None else known
-    words = Counter(WORD.findall((text or "").lower()))
-    for word, n in words.items():
-        places = known.get(word)
-        if places is None:
-            places = known[word] = tuple(at[e] for e in entries(word) if e in at)
-        for i in places:
-            found[i] = found.get(i, 0) + n
-    return list(found), list(found.values()), words.total()
+class Spots:
+    """Places of the lexicon's entries that a text holds, how often it does, and its words. Words once seen are remembered."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.at = {e: i for i, e in enumerate(names)}
+        self.seen: set[str] = set()
+        self.places: dict[str, list[int]] = {}
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[int], Counter]:
+        words = Counter(WORD.findall((text or "").lower()))
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+            self.places.clear()
+        for word in words.keys() - self.seen:
+            self.seen.add(word)
+            if places := [self.at[e] for e in entries(word) if e in self.at]:
+                self.places[word] = places
+        found: dict[int, int] = {}
+        for word in words.keys() & self.places.keys():
+            n = words[word]
+            for i in self.places[word]:
+                found[i] = found.get(i, 0) + n
+        return list(found), list(found.values()), words
 
 
 # ---- the label model and the classifier, on the votes of a bounded sample
@@ -281,18 +294,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scores(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, w = model["names"], np.array(model["weights"], np.float64)
-        at, n, known = {e: i for i, e in enumerate(names)}, len(names), {}
+        w, n = np.array(model["weights"], np.float64), len(model["names"])
+        spots = Spots(model["names"])
         for batch in batches:
             out = []
             for text in batch["text"].to_pylist():
-                where, counts, words = spots(text, at, known)
-                z = model["bias"] + w[-1] * np.log1p(words) / 10 + sum(w[n + i] for i, p in enumerate(PATTERNS.values()) if p.search(text or ""))
+                where, counts, words = spots(text)
+                z = model["bias"] + w[-1] * math.log1p(words.total()) / 10 + sum(w[n + i] for i, p in enumerate(PATTERNS.values()) if p(text or "", words))
                 if where:
                     z += float(w[where] @ np.log1p(counts))
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-                if len(known) > 500_000:
-                    known.clear()
+                out.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
             yield pa.RecordBatch.from_arrays([batch["id"], batch["rest"], batch["text"], pa.array(out, pa.float64())], names=["id", "rest", "text", "score"])
 
     return run
