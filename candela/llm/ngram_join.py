@@ -8,10 +8,17 @@ as 2-token combinations. Candidates are verified on whole shingle sets.
 
 Groups of copies would pair all with all. So sets are first linked to leaders: of the sets with an equal minimum hash the one
 whose minimum hashes are the most common, which in a group of altered copies is close to the original. Links are verified,
-and what hangs together by them is a cluster. The index joins only sets of different clusters, and a token is frequent if
-many clusters hold it. No link between clusters is lost, and inside a cluster none changes a component. Pairs that miss
-narrowly are ruled out in the join itself: a bit for the parity of the tokens of each of BITS classes bounds from below
-how far two sets differ.
+and what hangs together by them is a cluster, represented by the member with the most links. The index joins clusters, not
+their members: a token is one row for a cluster, and a token is frequent if many clusters hold it. No link between clusters is
+lost, and inside a cluster none changes a component. Pairs that miss narrowly are ruled out in the join itself: a bit for the
+parity of the tokens of each of BITS classes bounds from below how far two sets differ, and the members' largest distance from
+their representative how far members do.
+
+Representatives of joined clusters are verified first. Where they are not similar but members could be, each member is held
+against the other cluster's representative, which settles most pairs of clusters with work linear in their members. Of two
+members a and b of clusters with representatives P and Q, at most |b and P| + |(a - P) and Q| tokens are common beside those
+in both a - P and b - Q. Only members that share such tokens of their own, or whose bound is high enough without any, are
+compared with each other.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ LEADERS = 16
 BITS = 1024
 #: A token in more clusters than this is frequent, as long as there are at most MOST_FREQUENT of them; if not, the threshold rises.
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
+#: Numbers that the first half of a set's 128-bit identity can have.
+SIDS = 1 << 64
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -55,7 +64,7 @@ def misses(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-SETS = "id long, k1 long, k2 long, n long, sid long, keys array<long>, head array<long>, bits array<long>"
+SETS = "id long, k1 long, k2 long, n long, sid long, sid2 long, keys array<long>, head array<long>, bits array<long>"
 
 
 def _sets(k: int, percent: int):
@@ -64,17 +73,19 @@ def _sets(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, sid, keys, head, bits = [], [], [], [], []
+                n, sid, sid2, keys, head, bits = [], [], [], [], [], []
                 for text in batch["text"].to_pylist():
                     x = shingles(text, k)
                     n.append(len(x))
-                    sid.append(xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63)
+                    d = xxhash.xxh3_128_intdigest(x.tobytes())
+                    sid.append((d >> 64) % SIDS - 2**63)
+                    sid2.append(d % 2**64 - 2**63)
                     u = x.view(np.uint64)
                     keys.append(np.array([(u * s).min() for s in salts], np.uint64).view(np.int64) if len(x) else x)
                     bits.append(np.packbits(np.bincount((x & (BITS - 1)), minlength=BITS) & 1).view(np.int64))
                     head.append(x[: misses(len(x), percent) * 5 // 4 + 9])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"], batch["k1"], batch["k2"], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(c, pa.list_(pa.int64())) for c in (head, bits))],
+                    [batch["id"], batch["k1"], batch["k2"], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sid2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(c, pa.list_(pa.int64())) for c in (head, bits))],
                     names=[x.split()[0] for x in SETS.split(", ")],
                 )
 
@@ -128,7 +139,9 @@ def _long_prefixes(k: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def _verified(k: int, percent: int):
+def _overlaps(k: int):
+    """a, b, the sizes of their sets and of the intersection."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, kept = None, np.empty(0, np.int64)  # rows come sorted by b
         for batch in batches:
@@ -137,11 +150,47 @@ def _verified(k: int, percent: int):
                 if b != old:
                     old, kept = b, shingles(tb, k)
                 x = shingles(ta, k)
-                both = len(np.intersect1d(x, kept, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(kept) - both):
-                    out.append((a, b))
+                out.append((a, b, len(x), len(kept), len(np.intersect1d(x, kept, assume_unique=True))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "na", "nb", "both"])
+
+    return run
+
+
+def _own_tokens(k: int):
+    """Of each member of a cluster the tokens that the representative lacks, and how far it is from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, kept = None, np.empty(0, np.int64)  # rows come sorted by unit
+        for batch in batches:
+            n, own, far = [], [], []
+            for unit, text, first in zip(*(batch[c].to_pylist() for c in ("unit", "text", "first")), strict=True):
+                if unit != old:
+                    old, kept = unit, shingles(first, k)
+                x = shingles(text, k)
+                new = np.setdiff1d(x, kept, assume_unique=True)
+                n.append(len(x))
+                own.append(new)
+                far.append(2 * len(new) + len(kept) - len(x))
+            yield pa.RecordBatch.from_arrays([batch["sid"], batch["unit"], pa.array(n, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(far, pa.int64())], names=["sid", "unit", "n", "own", "far"])
+
+    return run
+
+
+def _beside(k: int):
+    """Of each member and another cluster's representative: the sizes, their intersection, and that of the member's own tokens with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, kept = None, np.empty(0, np.int64)  # rows come sorted by other
+        for batch in batches:
+            m, r, y = [], [], []
+            for other, text, first, own in zip(*(batch[c].to_pylist() for c in ("other", "text", "first", "own")), strict=True):
+                if other != old:
+                    old, kept = other, shingles(first, k)
+                m.append(len(kept))
+                r.append(len(np.intersect1d(shingles(text, k), kept, assume_unique=True)))
+                y.append(len(np.intersect1d(np.array(own, np.int64), kept, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("unit", "other", "sid", "n", "own")), *(pa.array(c, pa.int64()) for c in (m, r, y))], names=["unit", "other", "sid", "n", "own", "m", "r", "y"])
 
     return run
 
@@ -153,22 +202,46 @@ class Join:
         self.k, self.percent = k, percent
         k1, k2 = hash128(F.col("id"), F.col("text"))
         self.texts = rows.select("id", "text").withColumns({"k1": k1, "k2": k2})
-        self.sets = written(self.texts.mapInArrow(_sets(k, percent), SETS), "ngram-sets")
-        self.places = written(self.sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("n").alias("n")), "ngram-places")
+        sets, turn = written(self.texts.mapInArrow(_sets(k, percent), SETS), "ngram-sets"), 0
+        while True:
+            found = sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("n").alias("n"), F.min("sid2").alias("x"), F.max("sid2").alias("y"))
+            found = written(found, "ngram-places")
+            # sets are known by the first half of a 128-bit hash; where that is not enough, by a new hash of both halves
+            twice = found.filter("x <> y").select("sid", F.lit(True).alias("again"))
+            if twice.isEmpty():
+                break
+            turn += 1
+            moved = F.when(F.col("again"), F.xxhash64(F.lit(turn), "sid", "sid2")).otherwise(F.col("sid"))
+            sets = written(sets.join(twice, "sid", "left").withColumn("sid", moved).select(*(x.split()[0] for x in SETS.split(", "))), "ngram-sets")
+        self.sets, self.places = sets, found.select("sid", "one", "n")
 
     def text_of(self, sids: DataFrame) -> DataFrame:
         """sid, text and the other columns of sids."""
         wanted = written(self.places.select("sid", "one.*").join(sids, "sid"), "ngram-wanted")
         return self.texts.select("k1", "k2", "text").join(small(wanted), ["k1", "k2"]).drop("k1", "k2")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs a, b of sets that are similar."""
-        pairs = written(pairs, "ngram-pairs")
-        ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        texts = written(self.text_of(ids).dropDuplicates(["sid"]), "ngram-texts")
+    def _texts(self, sids: DataFrame) -> DataFrame:
+        return written(self.text_of(sids.distinct()).dropDuplicates(["sid"]), "ngram-texts")
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs a, b of sets with their sizes na, nb and intersection both, and whether they are linked."""
+        pairs = written(pairs.select("a", "b"), "ngram-pairs")
+        texts = self._texts(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))))
         ta, tb = (texts.select(F.col("sid").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = pairs.join(ta, "a").join(tb, "b").sortWithinPartitions("b").select("a", "b", "ta", "tb")
-        return written(both.mapInArrow(_verified(self.k, self.percent), "a long, b long"), "ngram-links")
+        found = both.mapInArrow(_overlaps(self.k), "a long, b long, na long, nb long, both long")
+        return written(found.withColumn("linked", self.linked("na", "nb", F.col("both"))), "ngram-overlaps")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs a, b of sets that are similar."""
+        return self.overlaps(pairs).filter("linked").select("a", "b")
+
+    def linked(self, n: str, m: str, both):
+        return 100 * both >= self.percent * (F.col(n) + F.col(m) - both)
+
+    def within(self, far, n, m):
+        """Sets of these sizes can be similar if they differ in so many tokens."""
+        return far * (100 + self.percent) <= (n + m) * (100 - self.percent)
 
     def fits(self, n1: str, n2: str):
         """Sets of these sizes can be similar."""
@@ -187,9 +260,24 @@ class Join:
         pairs = ranked.join(leads, ["i", "key"]).filter((F.col("sid") != F.col("b")) & self.fits("n", "m"))
         return pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
 
-    def candidates(self, clusters: DataFrame) -> DataFrame:
-        """Distinct pairs of sets of different clusters that the index cannot rule out."""
-        own = self.sets.filter("n > 0").select("sid", "n", "head").join(small(clusters), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
+    def members(self, near: DataFrame) -> DataFrame:
+        """sid, unit (its cluster's representative: the set with the most links), n, own (the tokens that unit lacks), far (from unit), for sets in clusters."""
+        clusters = connected(near.toDF("u", "v")).toDF("sid", "cluster")
+        degree = near.select(F.col("a").alias("sid")).union(near.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("links"))
+        ranked = written(clusters.join(degree, "sid"), "ngram-clusters")
+        first = written(ranked.groupBy("cluster").agg(F.max(F.struct("links", "sid")).getField("sid").alias("unit")), "ngram-units")
+        of = written(ranked.join(first, "cluster").select("sid", "unit"), "ngram-members")
+        texts = self._texts(of.select("sid"))
+        both = of.join(texts.select("sid", "text"), "sid").join(texts.select(F.col("sid").alias("unit"), F.col("text").alias("first")), "unit")
+        return written(both.sortWithinPartitions("unit").mapInArrow(_own_tokens(self.k), "sid long, unit long, n long, own array<long>, far long"), "ngram-own")
+
+    def candidates(self, members: DataFrame, units: DataFrame) -> DataFrame:
+        """Distinct pairs of units (sets outside of clusters, and clusters by their representatives) that the index cannot rule out.
+
+        lo, hi, far: least and largest size of a unit's sets, and the largest distance of one from the representative.
+        """
+        of = members.select("sid", F.col("unit").alias("cluster"))
+        own = self.sets.filter("n > 0").select("sid", "n", "head").join(small(of), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
         tokens = own.select("sid", "cluster", F.explode("head").alias("sig"))
         held = tokens.groupBy("sig").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count_if(F.col("sid") == F.col("cluster")).alias("clusters"))
         shared = written(held.filter("x <> y").select("sig", "clusters"), "ngram-shared")
@@ -208,26 +296,89 @@ class Join:
         # only tokens of more than one cluster can join
         several = rows.groupBy("sig").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).filter("x <> y").select("sig")
         rows = written(rows.join(small(written(several, "ngram-several")), "sig"), "ngram-index")
+        sized = rows.join(small(units), F.col("cluster") == F.col("unit"), "left")
+        one = sized.filter("unit IS NULL").select("sig", "sid", F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).cast("long").alias("far"), "p", "last")
+        many = sized.filter("unit IS NOT NULL").select("sig", F.col("unit").alias("sid"), "lo", "hi", "far", F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("last")).distinct()
+        rows = written(one.unionByName(many), "ngram-index")
         own_bits = self.sets.select("sid", "bits").join(small(written(rows.select("sid").distinct(), "ngram-candidates")), "sid").dropDuplicates(["sid"])
         rows = written(rows.join(own_bits, "sid"), "ngram-index-bits")
-        a, b = (rows.select("sig", *(F.col(c).alias(c + x) for c in ("sid", "cluster", "n", "p", "last", "bits"))) for x in "ab")
+        a, b = (rows.select("sig", *(F.col(c).alias(c + x) for c in ("sid", "lo", "hi", "far", "p", "last", "bits"))) for x in "ab")
         differ = sum((F.bit_count(F.get("bitsa", F.lit(i)).bitwiseXOR(F.get("bitsb", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-        close = differ * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)
-        pairs = a.join(b, "sig").filter((F.col("sida") < F.col("sidb")) & (F.col("clustera") != F.col("clusterb")) & self.fits("na", "nb") & close)
-        pairs = pairs.groupBy(F.col("sida").alias("a"), F.col("sidb").alias("b"), "na", "nb", "pa", "pb", "lasta", "lastb").agg(F.count("*").alias("c"))
+        close = self.within(differ - F.col("fara") - F.col("farb"), F.col("hia"), F.col("hib"))
+        fit = (F.col("hia") * 100 >= F.col("lob") * self.percent) & (F.col("hib") * 100 >= F.col("loa") * self.percent)
+        pairs = a.join(b, "sig").filter((F.col("sida") < F.col("sidb")) & fit & close)
+        keep = ["loa", "hia", "fara", "lob", "hib", "farb"]
+        pairs = pairs.groupBy(F.col("sida").alias("a"), F.col("sidb").alias("b"), *keep, "pa", "pb", "lasta", "lastb").agg(F.count("*").alias("c"))
         # of the prefix that ends first, all tokens of the other set are in the other prefix: what it lacks is known
-        overlap = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / (100 + self.percent) - 1e-9)
-        lacks = F.when(F.col("lasta") <= F.col("lastb"), F.col("pa") - F.col("c") <= F.col("na") - overlap).otherwise(F.col("pb") - F.col("c") <= F.col("nb") - overlap)
-        return pairs.filter(lacks | (F.col("pa") < 0) | (F.col("pb") < 0)).select("a", "b").distinct()
+        overlap = F.ceil(F.lit(self.percent) * (F.col("hia") + F.col("hib")) / (100 + self.percent) - 1e-9)
+        lacks = F.when(F.col("lasta") <= F.col("lastb"), F.col("pa") - F.col("c") <= F.col("hia") - overlap).otherwise(F.col("pb") - F.col("c") <= F.col("hib") - overlap)
+        return pairs.filter(lacks | (F.col("pa") < 0) | (F.col("pb") < 0)).select("a", "b", *keep).distinct()
+
+    def between(self, open_: DataFrame, members: DataFrame, units: DataFrame) -> DataFrame:
+        """Links u, v of the units of the pairs a, b whose representatives are not similar, by way of their members.
+
+        open_: a, b, differ (of the representatives). Units without members are single sets, which are their representatives.
+        """
+        sides = open_.select(F.col("a").alias("unit"), F.col("b").alias("other"), "differ").union(open_.select("b", "a", "differ"))
+        theirs = units.select(F.col("unit").alias("other"), F.col("hi"), F.col("far").alias("reach"))
+        sides = sides.join(theirs, "other", "left").join(members, "unit")
+        # what the triangle inequality leaves, the other representative standing for itself where it has no members
+        alone = F.col("hi").isNull()
+        left = self.within(F.col("differ") - F.col("far") - F.coalesce("reach", F.lit(0)), F.col("n"), F.when(alone, F.col("n") + F.col("far") + F.col("differ")).otherwise(F.col("hi")))
+        sides = written(sides.filter(left).select("unit", "other", "sid", "n", "own"), "ngram-sides")
+        texts = self._texts(sides.select("sid").union(sides.select("other")))
+        both = sides.join(texts.select("sid", "text"), "sid").join(texts.select(F.col("sid").alias("other"), F.col("text").alias("first")), "other")
+        stats = both.sortWithinPartitions("other").mapInArrow(_beside(self.k), "unit long, other long, sid long, n long, own array<long>, m long, r long, y long")
+        stats = written(stats, "ngram-beside")
+        pair = (F.least("unit", "other").alias("u"), F.greatest("unit", "other").alias("v"))
+        found = written(stats.filter(self.linked("n", "m", F.col("r"))).select(*pair).distinct(), "ngram-found")
+        rest = stats.select(*pair, (F.col("unit") < F.col("other")).alias("first"), "sid", "n", "own", "r", "y", F.size("own").alias("w")).join(found, ["u", "v"], "left_anti")
+        rest = written(rest, "ngram-rest")
+        # the best that the other side's members can give each member: with all, and without any, tokens of their own in common
+        best = rest.groupBy("u", "v", "first").agg(F.max("r").alias("r2"), F.max("y").alias("y2"), F.max("w").alias("w2"), F.min("n").alias("n2")).withColumn("first", ~F.col("first"))
+        rest = rest.join(written(best, "ngram-best"), ["u", "v", "first"])
+        needed = lambda n, m: F.ceil(F.lit(self.percent) * (n + m) / (100 + self.percent) - 1e-9)
+        without = F.least(F.col("r2") + F.col("y"), F.col("r") + F.col("y2"))
+        need = needed(F.col("n"), F.col("n2"))
+        rest = written(rest.withColumn("alone", without >= need).filter(without + F.least("w", "w2") >= need).drop("r2", "y2", "w2", "n2"), "ngram-open")
+        keep = ("sid", "n", "r", "y")
+        side = lambda df, first, x: df.filter(F.col("first") == first).select("u", "v", *(F.col(c).alias(c + x) for c in keep), *(c for c in df.columns if c == "token"))
+        bound = F.least(F.col("rb") + F.col("ya"), F.col("ra") + F.col("yb"))
+        ends = ["u", "v", *(c + x for x in "ab" for c in keep)]
+        plain = rest.filter("alone")
+        none = side(plain, True, "a").join(side(plain, False, "b"), ["u", "v"]).filter(bound >= needed(F.col("na"), F.col("nb")))
+        tokens = rest.select("u", "v", "first", *keep, F.explode("own").alias("token"))
+        shared = side(tokens, True, "a").join(side(tokens, False, "b"), ["u", "v", "token"]).groupBy(*ends).agg(F.count("*").alias("x")).filter(bound + F.col("x") >= needed(F.col("na"), F.col("nb")))
+        pairs = written(none.select(*ends).unionByName(shared.select(*ends)).filter(self.fits("na", "nb")).select("u", "v", F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct(), "ngram-members")
+        if pairs.isEmpty():
+            return found
+        inner = self.links(pairs.select("a", "b").distinct())
+        return written(found.union(pairs.join(inner, ["a", "b"]).select("u", "v")).distinct(), "ngram-found")
+
+    def joined(self, members: DataFrame) -> DataFrame:
+        """u, root: the units that links join, and what names them together."""
+        # the representative itself is a member, at distance 0
+        units = written(members.groupBy("unit").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("far").alias("far")), "ngram-units")
+        pairs = written(self.candidates(members, units), "ngram-candidates")
+        first = self.overlaps(pairs)
+        edges = first.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        differ = F.col("na") + F.col("nb") - 2 * F.col("both")
+        unsure = pairs.join(first.filter("NOT linked"), ["a", "b"]).withColumn("differ", differ)
+        # single sets have no other members; where members are too close to the representatives, none can be similar
+        unsure = unsure.join(units.select(F.col("unit").alias("a"), F.lit(True).alias("ma")), "a", "left").join(units.select(F.col("unit").alias("b"), F.lit(True).alias("mb")), "b", "left")
+        unsure = unsure.filter("ma OR mb").filter(self.within(F.col("differ") - F.col("fara") - F.col("farb"), F.col("hia"), F.col("hib")))
+        # pairs that other links join need no link of their own
+        of = connected(edges)
+        for c in "ab":
+            unsure = unsure.join(of.select(F.col("u").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+        unsure = written(unsure.filter("ra <> rb").select("a", "b", "differ"), "ngram-unsure")
+        return of if unsure.isEmpty() else connected(edges.union(self.between(unsure, members, units)))
 
     def components(self) -> DataFrame:
         """id, k1, k2, n, sid, root, component_id of each row; root names the component, and is null for rows without words."""
-        near = self.links(self.to_leaders())
-        clusters = connected(near.toDF("u", "v")).toDF("sid", "cluster")
-        far = self.links(self.candidates(clusters))
-        of = {c: clusters.select(F.col("sid").alias(c), F.col("cluster").alias(f"c{c}")) for c in "ab"}
-        edges = far.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
-        joined = connected(edges.filter("u <> v").distinct())
+        members = self.members(self.links(self.to_leaders()))
+        joined = self.joined(members)
+        clusters = members.select("sid", F.col("unit").alias("cluster"))
         ids = self.sets.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
         at = ids.join(clusters, "sid", "left").withColumn("u", F.coalesce("cluster", "sid")).join(joined, "u", "left").select("sid", "least", F.coalesce("root", "u").alias("root"))
         at = written(at, "ngram-roots")

@@ -153,6 +153,63 @@ def test_components(spark, monkeypatch, seed, k, percent, frequent):
     assert got == brute_components(t, k, percent)
 
 
+def altered(base, r, n, words_each=1, tag="z"):
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(words_each):
+            w[r.randrange(len(w))] = f"{tag}{i}_{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def below_threshold(seed=3, n=24, size=200):
+    """Two groups of altered copies of texts whose similarity is just below 0.85, a pair of members that alone links two groups, and groups that share a passage."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(size)]
+    other = [*base[: size - 15], *(f"v{i}" for i in range(15))]
+    t = altered(base, r, n) + altered(other, r, n, tag="y")
+    one, two = [f"a{i}" for i in range(size)], [*(f"a{i}" for i in range(size - 17)), *(f"b{i}" for i in range(17))]
+    t += altered(one, r, 6) + altered(two, r, 6, tag="y")
+    t += [" ".join([*one[: size - 6], *two[size - 6 :]]), " ".join([*two[: size - 9], *one[size - 9 :]])]
+    passage = [f"p{i}" for i in range(60)]
+    for g in range(3):
+        t += altered([*passage, *(f"g{g}_{i}" for i in range(120))], r, 8, tag=f"x{g}")
+    return dict(enumerate(t))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_clusters_just_below_the_threshold(spark, seed):
+    t = below_threshold(seed)
+    df = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(3)
+    got = {r.id: (r.n, r.component_id) for r in N.ngram_components(df, 4, 85).collect()}
+    assert got == brute_components(t, 4, 85)
+
+
+def test_join_of_clusters_is_linear(spark):
+    """Rows that the index join and the members' comparison make, for groups of twice the size: twice as many at most."""
+    made = []
+    for n in (40, 80):
+        t = below_threshold(5, n)
+        df = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(3)
+        join = N.Join(N.packed(df, "doc_id", "text"), 4, 85)
+        members = join.members(join.links(join.to_leaders()))
+        compared = []
+        inner = join.overlaps
+        join.overlaps = lambda pairs: compared.append(pairs.count()) or inner(pairs)  # noqa: B023
+        join.joined(members)
+        made.append(sum(compared))
+    assert made[1] <= 2 * made[0] + 20, made
+
+
+def test_equal_halves_of_identities(spark, monkeypatch):
+    monkeypatch.setattr(N, "SIDS", 8)
+    t = {**family(6), **texts(6)}
+    df = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(3)
+    got = {r.id: (r.n, r.component_id) for r in N.ngram_components(df, 4, 85).collect()}
+    assert got == brute_components(t, 4, 85)
+
+
 def test_components_odd(spark):
     assert N.ngram_components(empty(spark)).count() == 0
     kept = N.ngram_dedup(repeated(spark))
