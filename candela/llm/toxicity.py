@@ -61,7 +61,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
             words = set(WORD.findall((text or "").lower()))
-            for word in words - known.keys():
+            for word in words.difference(known):
                 known[word] = entries(word)
             found[y].update(set().union(*map(known.__getitem__, words)))
         if len(found[0]) + len(found[1]) > 500_000:
@@ -126,7 +126,7 @@ class Spots:
         if len(self.seen) > 500_000:
             self.seen.clear()
             self.places.clear()
-        for word in words.keys() - self.seen:
+        for word in set(words).difference(self.seen):
             self.seen.add(word)
             if places := [self.at[e] for e in entries(word) if e in self.at]:
                 self.places[word] = places
