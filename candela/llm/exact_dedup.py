@@ -218,6 +218,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
 
     Texts are equal when identical after lower-casing A-Z; null is empty. The largest id stays, of rows with the same id
     any one; a null id is below all others. No row of docs is lost, repeated rows included; empty tables give none.
+    Very long texts are compared whole; further columns are in `rest`.
     """
     rows = packed(docs, id_col, text_col)
     f = rows.schema

@@ -109,7 +109,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> Dat
 
     Of equal payloads of at least min_bytes bytes, the one with the smallest page_id is a response, the others are revisits
     of it. Null html is an empty payload, a null url an empty one. A null page_id comes after all others and is never
-    referred to; rows that repeat a page_id are of one type. Without rows there are no archives and an empty index.
+    referred to; rows that repeat a page_id are of one type. Without rows there are no archives and an empty index. Payloads
+    of any length are written whole; further columns of pages are left out.
     """
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)

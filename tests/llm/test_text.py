@@ -1,6 +1,7 @@
 """WARC archives, token counts, decontamination, secrets, mixing, toxicity and the pipeline."""
 
 import base64
+import collections
 import hashlib
 import random
 import re
@@ -21,7 +22,7 @@ from candela.llm import secret_scan as X
 from candela.llm import token_counts as T
 from candela.llm import toxicity as V
 from candela.llm import warc as A
-from candela.llm.common import new_path, written
+from candela.llm.common import discard, new_path, run_folder, written
 from candela.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +80,16 @@ def test_reading_tasks_follow_the_bytes(spark):
         A.SPAN = kept
 
 
+def test_warc_takes_further_columns_of_any_name(spark):
+    t = [(i, f"<p>{i % 3}</p>") for i in range(9)]
+    df = pages(spark, t).withColumns({c: F.lit("z") for c in ("first", "key", "file", "offset", "length", "payload", "payload_digest", "refers_to", "record_type", "n")})
+    folder, other = new_path(spark, "t"), new_path(spark, "t")
+    plain = {(r.page_id, r.record_type, r.refers_to) for r in A.read_warc(A.write_warc(pages(spark, t), other), other).collect()}
+    index = A.write_warc(df, folder)
+    assert index.columns == [c.split()[0] for c in A.INDEX.split(", ")]
+    assert {(r.page_id, r.record_type, r.refers_to) for r in A.read_warc(index, folder).collect()} == plain and len(plain) == 9
+
+
 def test_ranges():
     places = [(0, 10), (10, 5), (100, 10), (200, 10)]
     assert list(A.ranges(places, gap=50, span=1000)) == [(0, 15, [0, 1]), (100, 110, [2]), (200, 210, [3])]
@@ -325,7 +336,23 @@ def test_mixing(spark):
     assert sorted((x.id, x.copies) for x in got) == sorted((x.id, x.copies) for x in again)
     out = M.mix(df)
     assert out.columns == df.columns and out.count() == sum(x.copies for x in got)
-    assert M.mixed(empty(spark)).count() == 0 and M.mix(repeated(spark)).columns == docs(spark).columns
+    assert M.mixed(empty(spark)).count() == 0
+
+
+def test_mixing_odd_rows(spark):
+    own = repeated(spark)
+    got, out = M.mixed(own).collect(), M.mix(own)
+    assert len(got) == own.count() and out.columns == own.columns
+    copies = collections.Counter()
+    for x in got:
+        assert x.size == len(re.findall(r"[^\x20\x09-\x0D]+", x.text or "")) and 0 <= x.copies <= 2
+        copies[x.id, x.text] += x.copies
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == +copies and copies[44, texts()[44]] > 0
+    # a source of empty texts only has a target of 0 and takes part in nothing
+    t = [(i, "" if i % 3 else None, "blank") for i in range(6)] + [(10 + i, "some words here", "full") for i in range(6)]
+    mixed = M.mixed(spark.createDataFrame(t, "doc_id long, text string, source string")).collect()
+    assert all((x.target, x.copies, x.source_size) == (0, 0, 0) for x in mixed if x.source == "blank") and sum(x.copies for x in mixed) == 9
+    assert all(x.copies == 0 for x in M.mixed(spark.createDataFrame(t[:6], "doc_id long, text string, source string")).collect())
 
 
 # ---- toxicity
@@ -462,3 +489,56 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     mixed = sorted(x.doc_id for x in corpus_pipeline.STAGES[4][1](spark, docs_, str(tmp_path)).collect())
     assert mixed == sorted(i for i in t for _ in range(copies[i])) and set(copies) == set(t)
     assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == mixed
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, an empty and a very long text, repeated rows and columns with names that the operators use."""
+    def put(df, name, at=tmp_path):
+        df.write.parquet(f"{at}/{name}.parquet")
+
+    put(repeated(spark), "documents")
+    put(spark.createDataFrame([(i, int(i % 5 == 0), 1) for i in range(25)] + [(None, 1, 0), (6, None, 0), (44, 0, 1)], "doc_id long, toxic int, quality int"), "labels")
+    item = " ".join(texts()[44].split()[3100:3140])
+    put(spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string"), "benchmark")
+    docs_, labels, items = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels", "benchmark"))
+    rows_ = [(r.doc_id, r.text) for r in docs_.collect()]
+    last = 10**9  # stands for no id
+    scores = {(x.id, x.text): x.score for x in V.scored(docs_, V.train(docs_, labels)).collect()}
+    rows_ = [x for x in rows_ if scores[x] < 0.5]
+    kept = {}
+    for i, x in sorted(rows_, key=lambda p: -1 if p[0] is None else p[0]):
+        kept[lower(x)] = (i, x)
+    rows_ = list(kept.values())
+    t = {last + n if i is None else i: x for n, (i, x) in enumerate(rows_)}
+    found = brute_components(t, 5, 80)
+    rows_ = [(None if i >= last else i, x) for i, x in t.items() if found[i][1] == i]
+    gone = {(x.id, x.item_id) for x in D.found_items(docs_, items).collect()}
+    assert (44, 1) in gone
+    rows_ = [x for x in rows_ if x[0] not in {i for i, _ in gone}]
+    stages = docs_
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        stages = written(stage(spark, stages, str(tmp_path)), "test")
+    assert stages.columns == docs_.columns and collections.Counter((r.doc_id, r.text) for r in stages.collect()) == collections.Counter(rows_) and len(rows_) > 10
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    copies = {(x.id, x.text): x.copies for x in M.mixed(stages).collect()}
+    assert out.columns == docs_.columns and collections.Counter((r.doc_id, r.text) for r in out.collect()) == +collections.Counter(copies)
+    assert {r.cluster for r in out.collect()} == {"c"}
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == empty(spark).columns
+
+
+def test_run_folder_is_deleted(spark):
+    import pathlib
+
+    with run_folder(spark) as folder:
+        df = written(spark.range(3), "x")
+        assert df.count() == 3 and df.folder.startswith(folder)
+        discard(df)
+        assert written(spark.range(2), "y").count() == 2
+    assert not pathlib.Path(folder.removeprefix("file://")).exists()
