@@ -80,7 +80,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     after_sign = lambda i: word(i - 1).rlike("[:=]$") & word(i).rlike(VALUE)
     sizes = F.transform("words", lambda w, i: F.char_length(w) + F.coalesce(F.char_length(F.get("gaps", i)), F.lit(0)))
     hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(spot) | after_sign(i))
-    placed = _let(_running(sizes), lambda at: F.transform(hits, lambda i: F.struct(F.get(at, i).alias("offset"), *(word(i + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))))))
+    around = lambda at, i: F.struct(F.get(at, i).alias("offset"), *(word(i + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))))
+    # places are added up only where there is a hit
+    placed = _let(hits, lambda found: F.when(F.size(found) > 0, _let(_running(sizes), lambda at: F.transform(found, lambda i: around(at, i)))))
     # exploded as an expression: of a column, Spark would infer a filter that is pushed below and splits the text for each word
     found = spaced.select("id", "path", F.explode(placed).alias("hit")).select("id", "path", "hit.*")
     at_first = F.when(F.col("before").rlike("[:=]$"), _places(F.col("word"), VALUE)).otherwise(F.array().cast(PLACES))
