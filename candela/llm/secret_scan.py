@@ -74,27 +74,29 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = packed(docs, id_col, text_col)
     path = F.coalesce(F.col("rest").getField(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     spot = f"({LONG})|({ASSIGNED})"
-    rows = rows.select("id", "text", path.alias("path"))
-    spaced = rows.filter(F.col("text").rlike(f"({LONG})|[:=]({SPACE})?{VALUE[1:]}")).select("id", "path", F.split("text", SPACE).alias("words"), F.regexp_extract_all("text", F.lit(SPACE), F.lit(0)).alias("gaps"))
+    blocks = F.when(F.contains("text", F.lit("-----BEGIN ")), _places(F.col("text"), f"({ARMOUR})"))
+    rows = rows.select("id", "text", path.alias("path")).filter(F.col("text").rlike(f"({LONG})|[:=]({SPACE})?{VALUE[1:]}|-----BEGIN "))
+    spaced = rows.select("id", "path", F.split("text", SPACE).alias("words"), F.regexp_extract_all("text", F.lit(SPACE), F.lit(0)).alias("gaps"), blocks.alias("blocks"))
     word = lambda i: F.coalesce(F.when(i >= 0, F.get("words", i)), F.lit(""))
     after_sign = lambda i: word(i - 1).rlike("[:=]$") & word(i).rlike(VALUE)
     sizes = F.transform("words", lambda w, i: F.char_length(w) + F.coalesce(F.char_length(F.get("gaps", i)), F.lit(0)))
     hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(spot) | after_sign(i))
-    around = lambda at, i: F.struct(F.get(at, i).alias("offset"), *(word(i + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))))
+    none = F.lit("")
+    around = lambda at, i: F.struct(F.get(at, i).alias("offset"), *(word(i + j).alias(c) for j, c in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))), F.lit(None).cast("string").alias("block"))
+    # a block's first line stands for its word, so that its kind is seen
+    whole = lambda x: F.struct(x["place"].alias("offset"), F.regexp_extract(x["found"], "^-+BEGIN[^-]*-+", 0).alias("word"), *(none.alias(c) for c in ("before", "before2", "after")), x["found"].alias("block"))
     # places are added up only where there is a hit
     placed = _let(hits, lambda found: F.when(F.size(found) > 0, _let(_running(sizes), lambda at: F.transform(found, lambda i: around(at, i)))))
+    nothing = F.array().cast("array<struct<offset:int,word:string,before:string,before2:string,after:string,block:string>>")
+    placed = F.concat(F.coalesce(placed, nothing), F.coalesce(F.transform("blocks", whole), nothing))
     # exploded as an expression: of a column, Spark would infer a filter that is pushed below and splits the text for each word
     found = spaced.select("id", "path", F.explode(placed).alias("hit")).select("id", "path", "hit.*")
     at_first = F.when(F.col("before").rlike("[:=]$"), _places(F.col("word"), VALUE)).otherwise(F.array().cast(PLACES))
     # the three patterns never find one value at one place: short ones are not wholly long, and VALUE's have no sign before them
     short = F.filter(F.concat(_places(F.col("word"), ASSIGNED), at_first), lambda x: ~x["found"].rlike(f"^({LONG})$"))
-    every = found.withColumn("one", F.explode(F.concat(_places(F.col("word"), f"({LONG})"), short)))
-    single = every.select("id", (F.col("offset") + F.col("one.place")).cast("long").alias("start"), F.col("one.found").alias("candidate"), "word", "before", "before2", "after", "path")
-    # the block's first line stands for the word, so that its kind is seen
-    blocks = rows.filter(F.col("text").rlike(ARMOUR)).select("id", "path", F.explode(_places(F.col("text"), f"({ARMOUR})")).alias("one"))
-    none = F.lit("")
-    whole = blocks.select("id", F.col("one.place").cast("long").alias("start"), F.col("one.found").alias("candidate"), F.regexp_extract("one.found", "^-+BEGIN[^-]*-+", 0).alias("word"), none.alias("before"), none.alias("before2"), none.alias("after"), "path")
-    return single.unionByName(whole)
+    inside = F.concat(_places(F.col("word"), f"({LONG})"), short)
+    every = found.withColumn("one", F.explode(F.when(F.col("block").isNotNull(), F.array(F.struct(F.lit(0).alias("place"), F.col("block").alias("found")))).otherwise(inside)))
+    return every.select("id", (F.col("offset") + F.col("one.place")).cast("long").alias("start"), F.col("one.found").alias("candidate"), "word", "before", "before2", "after", "path")
 
 
 def _places(word: Column, pattern: str) -> Column:
