@@ -4,7 +4,8 @@ Voters are lexicon entries (words, and stems that match the start of words) and
 text or does not. A generative label model explains the votes alone: a text belongs to one of a few latent classes (clean
 writing, and kinds of toxic writing, such as the languages), in which each voter has its own rate of firing, given whether the
 voter with which it is most correlated within classes fires. Expectation maximisation estimates rates and correlations without
-labels; annotated rows only select the lexicon and the voters, and name each class toxic or clean. A linear classifier over the counts of the
+a given truth; the annotators are one more voter, whose rates are estimated like all others, and their rows select the
+lexicon and name each class toxic or clean. A linear classifier over the counts of the
 same entries is then trained on the posterior labels and scores every text.
 The lexicon is mined from the labelled training rows, so it follows the corpus and its languages.
 """
@@ -250,10 +251,10 @@ def linear(x: np.ndarray, p: np.ndarray, decay: float = 2e-4, steps: int = 400)
 
 
 def _voters(fires: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """The votes of the entries (the first n columns) that fire on toxic rows mostly, and of all patterns."""
+    """The votes of the entries (the first n columns) that fire on toxic rows mostly, of all patterns, and of the annotators."""
     pure = fires[y == 1].sum(axis=0) >= PURE * np.maximum(fires.sum(axis=0), 1)
     pure[n:] = True
-    return fires[:, pure].astype(np.uint8)
+    return np.concatenate([fires[:, pure], y[:, None] == 1], axis=1).astype(np.uint8)
 
 
 def _matrix(votes: pa.Table, n: int) -> np.ndarray:
