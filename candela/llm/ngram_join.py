@@ -14,11 +14,13 @@ lost, and inside a cluster none changes a component. Pairs that miss narrowly ar
 parity of the tokens of each of BITS classes bounds from below how far two sets differ, and the members' largest distance from
 their representative how far members do.
 
-Representatives of joined clusters are verified first. Where they are not similar but members could be, each member is held
-against the other cluster's representative, which settles most pairs of clusters with work linear in their members. Of two
-members a and b of clusters with representatives P and Q, at most |b and P| + |(a - P) and Q| tokens are common beside those
-in both a - P and b - Q. Only members that share such tokens of their own, or whose bound is high enough without any, are
-compared with each other.
+Representatives of joined clusters are verified first. Where they are not similar but members could be, only tokens decide,
+not texts. Let P and Q be the usual tokens of two clusters (the representative's, less those that most members lack, and those
+that most have instead), I what P and Q share, and let members a and b lack la and lb of them and have oa and ob others. With
+ya of the oa in Q - P, ea of the la in P - Q (yb, eb alike) and x tokens in both oa and ob, a and b share at most
+I + ya + yb + x - max(la - ea, lb - eb) tokens. So 100 shared - percent union is at most a sum of what a gives, what b gives
+and what x gives, less what P and Q miss the threshold by. A member that differs from P where Q does not gives less than
+nothing: only members that reach the sum with the other cluster's best are paired, and only pairs that reach it are verified.
 """
 
 from __future__ import annotations
@@ -158,39 +160,39 @@ def _overlaps(k: int):
 
 
 def _own_tokens(k: int):
-    """Of each member of a cluster the tokens that the representative lacks, and how far it is from it."""
+    """Of each member of a cluster the tokens that the representative lacks, those that it lacks itself, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, kept = None, np.empty(0, np.int64)  # rows come sorted by unit
         for batch in batches:
-            n, own, far = [], [], []
+            n, own, lost, far = [], [], [], []
             for unit, text, first in zip(*(batch[c].to_pylist() for c in ("unit", "text", "first")), strict=True):
                 if unit != old:
                     old, kept = unit, shingles(first, k)
                 x = shingles(text, k)
-                new = np.setdiff1d(x, kept, assume_unique=True)
                 n.append(len(x))
-                own.append(new)
-                far.append(2 * len(new) + len(kept) - len(x))
-            yield pa.RecordBatch.from_arrays([batch["sid"], batch["unit"], pa.array(n, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(far, pa.int64())], names=["sid", "unit", "n", "own", "far"])
+                own.append(np.setdiff1d(x, kept, assume_unique=True))
+                lost.append(np.setdiff1d(kept, x, assume_unique=True))
+                far.append(len(own[-1]) + len(lost[-1]))
+            lists = (pa.array(c, pa.list_(pa.int64())) for c in (own, lost))
+            yield pa.RecordBatch.from_arrays([batch["sid"], batch["unit"], pa.array(n, pa.int64()), *lists, pa.array(far, pa.int64())], names=["sid", "unit", "n", "own", "lost", "far"])
 
     return run
 
 
-def _beside(k: int):
-    """Of each member and another cluster's representative: the sizes, their intersection, and that of the member's own tokens with it."""
+def _differences(k: int, percent: int):
+    """Of the usual tokens P and Q of two clusters: P - Q, Q - P, and twice what they miss the threshold by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, kept = None, np.empty(0, np.int64)  # rows come sorted by other
         for batch in batches:
-            m, r, y = [], [], []
-            for other, text, first, own in zip(*(batch[c].to_pylist() for c in ("other", "text", "first", "own")), strict=True):
-                if other != old:
-                    old, kept = other, shingles(first, k)
-                m.append(len(kept))
-                r.append(len(np.intersect1d(shingles(text, k), kept, assume_unique=True)))
-                y.append(len(np.intersect1d(np.array(own, np.int64), kept, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("unit", "other", "sid", "n", "own")), *(pa.array(c, pa.int64()) for c in (m, r, y))], names=["unit", "other", "sid", "n", "own", "m", "r", "y"])
+            out: list[tuple] = []
+            for a, b, ta, tb, plus_a, minus_a, plus_b, minus_b in zip(*(batch[c].to_pylist() for c in ("a", "b", "ta", "tb", "plusa", "minusa", "plusb", "minusb")), strict=True):
+                x, y = (np.union1d(np.setdiff1d(shingles(t, k), np.array(minus or [], np.int64)), np.array(plus or [], np.int64)) for t, plus, minus in ((ta, plus_a, minus_a), (tb, plus_b, minus_b)))
+                p, q = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                out.append((a, b, p, q, 2 * (percent * (len(x) + len(y)) - (100 + percent) * (len(x) - len(p)))))
+            if out:
+                a, b, p, q, misses_ = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (a, b)), *(pa.array(c, pa.list_(pa.int64())) for c in (p, q)), pa.array(misses_, pa.int64())], names=["a", "b", "p", "q", "misses"])
 
     return run
 
@@ -261,7 +263,7 @@ class Join:
         return pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
 
     def members(self, near: DataFrame) -> DataFrame:
-        """sid, unit (its cluster's representative: the set with the most links), n, own (the tokens that unit lacks), far (from unit), for sets in clusters."""
+        """sid, unit (its cluster's representative: the set with the most links), n, own (the tokens that unit lacks), lost (those of unit that it lacks), far (how many both are), for sets in clusters."""
         clusters = connected(near.toDF("u", "v")).toDF("sid", "cluster")
         degree = near.select(F.col("a").alias("sid")).union(near.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("links"))
         ranked = written(clusters.join(degree, "sid"), "ngram-clusters")
@@ -269,7 +271,7 @@ class Join:
         of = written(ranked.join(first, "cluster").select("sid", "unit"), "ngram-members")
         texts = self._texts(of.select("sid"))
         both = of.join(texts.select("sid", "text"), "sid").join(texts.select(F.col("sid").alias("unit"), F.col("text").alias("first")), "unit")
-        return written(both.sortWithinPartitions("unit").mapInArrow(_own_tokens(self.k), "sid long, unit long, n long, own array<long>, far long"), "ngram-own")
+        return written(both.sortWithinPartitions("unit").mapInArrow(_own_tokens(self.k), "sid long, unit long, n long, own array<long>, lost array<long>, far long"), "ngram-own")
 
     def candidates(self, members: DataFrame, units: DataFrame) -> DataFrame:
         """Distinct pairs of units (sets outside of clusters, and clusters by their representatives) that the index cannot rule out.
@@ -314,46 +316,60 @@ class Join:
         lacks = F.when(F.col("lasta") <= F.col("lastb"), F.col("pa") - F.col("c") <= F.col("hia") - overlap).otherwise(F.col("pb") - F.col("c") <= F.col("hib") - overlap)
         return pairs.filter(lacks | (F.col("pa") < 0) | (F.col("pb") < 0)).select("a", "b", *keep).distinct()
 
-    def between(self, open_: DataFrame, members: DataFrame, units: DataFrame) -> DataFrame:
-        """Links u, v of the units of the pairs a, b whose representatives are not similar, by way of their members.
+    def between(self, unsure: DataFrame, members: DataFrame) -> DataFrame:
+        """Links u, v of the units of the pairs a, b whose representatives are not similar, by way of their members (see the top).
 
-        open_: a, b, differ (of the representatives). Units without members are single sets, which are their representatives.
+        A unit without members is a single set, which is its own member. All sums are doubled, so they are whole.
         """
-        sides = open_.select(F.col("a").alias("unit"), F.col("b").alias("other"), "differ").union(open_.select("b", "a", "differ"))
-        theirs = units.select(F.col("unit").alias("other"), F.col("hi"), F.col("far").alias("reach"))
-        sides = sides.join(theirs, "other", "left").join(members, "unit")
-        # what the triangle inequality leaves, the other representative standing for itself where it has no members
-        alone = F.col("hi").isNull()
-        left = self.within(F.col("differ") - F.col("far") - F.coalesce("reach", F.lit(0)), F.col("n"), F.when(alone, F.col("n") + F.col("far") + F.col("differ")).otherwise(F.col("hi")))
-        sides = written(sides.filter(left).select("unit", "other", "sid", "n", "own"), "ngram-sides")
-        texts = self._texts(sides.select("sid").union(sides.select("other")))
-        both = sides.join(texts.select("sid", "text"), "sid").join(texts.select(F.col("sid").alias("other"), F.col("text").alias("first")), "other")
-        stats = both.sortWithinPartitions("other").mapInArrow(_beside(self.k), "unit long, other long, sid long, n long, own array<long>, m long, r long, y long")
-        stats = written(stats, "ngram-beside")
-        pair = (F.least("unit", "other").alias("u"), F.greatest("unit", "other").alias("v"))
-        found = written(stats.filter(self.linked("n", "m", F.col("r"))).select(*pair).distinct(), "ngram-found")
-        rest = stats.select(*pair, (F.col("unit") < F.col("other")).alias("first"), "sid", "n", "own", "r", "y", F.size("own").alias("w")).join(found, ["u", "v"], "left_anti")
-        rest = written(rest, "ngram-rest")
-        # the best that the other side's members can give each member: with all, and without any, tokens of their own in common
-        best = rest.groupBy("u", "v", "first").agg(F.max("r").alias("r2"), F.max("y").alias("y2"), F.max("w").alias("w2"), F.min("n").alias("n2")).withColumn("first", ~F.col("first"))
-        rest = rest.join(written(best, "ngram-best"), ["u", "v", "first"])
-        needed = lambda n, m: F.ceil(F.lit(self.percent) * (n + m) / (100 + self.percent) - 1e-9)
-        without = F.least(F.col("r2") + F.col("y"), F.col("r") + F.col("y2"))
-        need = needed(F.col("n"), F.col("n2"))
-        rest = written(rest.withColumn("alone", without >= need).filter(without + F.least("w", "w2") >= need).drop("r2", "y2", "w2", "n2"), "ngram-open")
-        keep = ("sid", "n", "r", "y")
-        side = lambda df, first, x: df.filter(F.col("first") == first).select("u", "v", *(F.col(c).alias(c + x) for c in keep), *(c for c in df.columns if c == "token"))
-        bound = F.least(F.col("rb") + F.col("ya"), F.col("ra") + F.col("yb"))
-        ends = ["u", "v", *(c + x for x in "ab" for c in keep)]
-        plain = rest.filter("alone")
-        none = side(plain, True, "a").join(side(plain, False, "b"), ["u", "v"]).filter(bound >= needed(F.col("na"), F.col("nb")))
-        tokens = rest.select("u", "v", "first", *keep, F.explode("own").alias("token"))
-        shared = side(tokens, True, "a").join(side(tokens, False, "b"), ["u", "v", "token"]).groupBy(*ends).agg(F.count("*").alias("x")).filter(bound + F.col("x") >= needed(F.col("na"), F.col("nb")))
-        pairs = written(none.select(*ends).unionByName(shared.select(*ends)).filter(self.fits("na", "nb")).select("u", "v", F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct(), "ngram-members")
-        if pairs.isEmpty():
-            return found
-        inner = self.links(pairs.select("a", "b").distinct())
-        return written(found.union(pairs.join(inner, ["a", "b"]).select("u", "v")).distinct(), "ngram-found")
+        t, none = 100 + self.percent, F.array().cast("array<long>")
+        involved = written(unsure.select(F.col("a").alias("unit")).union(unsure.select("b")).distinct(), "ngram-involved")
+        own = written(involved.join(members.select("unit", "sid", "own", "lost"), "unit", "left").select("unit", F.coalesce("sid", "unit").alias("sid"), F.coalesce("own", none).alias("own"), F.coalesce("lost", none).alias("lost")), "ngram-own")
+        # the usual tokens: what more than half of the members have, or lack, unlike the representative
+        differ = own.select("unit", F.lit(True).alias("more"), F.explode("own").alias("token")).union(own.select("unit", F.lit(False), F.explode("lost")))
+        sizes = own.groupBy("unit").agg(F.count("*").alias("size"))
+        most = differ.groupBy("unit", "more", "token").agg(F.count("*").alias("n")).join(sizes, "unit").filter(2 * F.col("n") > F.col("size"))
+        usual = written(most.groupBy("unit").agg(F.collect_list(F.when(F.col("more"), F.col("token"))).alias("plus"), F.collect_list(F.when(~F.col("more"), F.col("token"))).alias("minus")), "ngram-usual")
+        own = own.join(usual, "unit", "left").withColumns({c: F.coalesce(c, none) for c in ("plus", "minus")})
+        own = own.select("unit", "sid", F.array_union(F.array_except("own", "plus"), F.array_except("minus", "lost")).alias("own"), F.array_union(F.array_except("lost", "minus"), F.array_except("plus", "own")).alias("lost"))
+        own = written(own.withColumn("h", (-2 * self.percent * F.size("own") - (100 - self.percent) * F.size("lost")).cast("long")), "ngram-own")
+
+        texts = self._texts(involved.select(F.col("unit").alias("sid")))
+        of = lambda x: texts.select(F.col("sid").alias(x), F.col("text").alias(f"t{x}")).join(usual.select(F.col("unit").alias(x), F.col("plus").alias(f"plus{x}"), F.col("minus").alias(f"minus{x}")), x, "left")
+        both = unsure.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+        pairs = written(both.mapInArrow(_differences(self.k, self.percent), "a long, b long, p array<long>, q array<long>, misses long"), "ngram-differences")
+        sides = written(pairs.select(F.col("a").alias("unit"), F.col("b").alias("other"), "misses").union(pairs.select("b", "a", "misses")), "ngram-sides")
+
+        # what members gain where they differ as the other cluster does
+        parts = [("a", "b", "q", "own"), ("b", "a", "p", "own"), ("a", "b", "p", "lost"), ("b", "a", "q", "lost")]
+        there = [pairs.select(F.col(u).alias("unit"), F.col(v).alias("other"), F.lit(kind).alias("kind"), F.explode(tokens).alias("token")) for u, v, tokens, kind in parts]
+        here = [own.select("unit", "sid", F.lit(kind).alias("kind"), F.explode(kind).alias("token")) for kind in ("own", "lost")]
+        at = there[0].union(there[1]).union(there[2]).union(there[3])
+        gains = here[0].union(here[1]).join(at, ["unit", "kind", "token"]).groupBy("unit", "other", "sid").agg(F.sum(F.when(F.col("kind") == "own", 2 * t).otherwise(t)).alias("gain"))
+        # own tokens that two clusters have in common
+        held = written(own.select("unit", F.explode("own").alias("token")).distinct(), "ngram-held")
+        common = held.select(F.col("unit").alias("a"), "token").join(held.select(F.col("unit").alias("b"), "token"), "token").filter("a < b").join(pairs.select("a", "b"), ["a", "b"])
+        common = written(common.select(F.col("a").alias("unit"), F.col("b").alias("other"), "token").union(common.select("b", "a", "token")), "ngram-common")
+        shared = written(here[0].select("unit", "sid", "token").join(common, ["unit", "token"]), "ngram-own-shared")
+        zero = F.lit(0).cast("long")
+        active = gains.select("unit", "other", "sid", "gain", zero.alias("xs")).union(shared.select("unit", "other", "sid", zero, F.lit(1).cast("long"))).groupBy("unit", "other", "sid").agg(F.sum("gain").alias("gain"), F.sum("xs").alias("xs"))
+        active = written(active.join(own.select("unit", "sid", "h"), ["unit", "sid"]).select("unit", "other", "sid", (F.col("h") + F.col("gain")).alias("h"), "xs"), "ngram-active")
+
+        # the best that the other cluster's members can give
+        best = own.groupBy(F.col("unit").alias("other")).agg(F.max("h").alias("plain"))
+        found = active.groupBy(F.col("unit").alias("other"), F.col("other").alias("unit")).agg(F.max("h").alias("gained"))
+        sides = written(sides.join(best, "other").join(found, ["unit", "other"], "left").select("unit", "other", "misses", (F.col("misses") - F.greatest("plain", F.coalesce("gained", "plain"))).alias("need")), "ngram-needs")
+        active = active.join(sides, ["unit", "other"]).filter(F.col("h") + 2 * t * F.col("xs") >= F.col("need")).select("unit", "other", "sid", "h", "misses")
+        passive = own.select("unit", "sid", "h").join(sides, "unit").filter(F.col("h") >= F.col("need")).select("unit", "other", "sid", "h", "misses")
+        open_ = written(active.union(passive).groupBy("unit", "other", "sid", "misses").agg(F.max("h").alias("h")), "ngram-open")
+        first = open_.filter("unit < other").select(F.col("unit").alias("u"), F.col("other").alias("v"), F.col("sid").alias("x"), F.col("h").alias("hx"), "misses")
+        second = open_.filter("unit > other").select(F.col("other").alias("u"), F.col("unit").alias("v"), F.col("sid").alias("y"), F.col("h").alias("hy"))
+        near = first.join(second, ["u", "v"]).filter(F.col("hx") + F.col("hy") >= F.col("misses")).select("u", "v", "x", "y")
+        tokens = shared.join(open_.select("unit", "other", "sid", "h", "misses"), ["unit", "other", "sid"])
+        one = tokens.filter("unit < other").select(F.col("unit").alias("u"), F.col("other").alias("v"), "token", F.col("sid").alias("x"), F.col("h").alias("hx"), "misses")
+        two = tokens.filter("unit > other").select(F.col("other").alias("u"), F.col("unit").alias("v"), "token", F.col("sid").alias("y"), F.col("h").alias("hy"))
+        alike = one.join(two, ["u", "v", "token"]).groupBy("u", "v", "x", "y", "hx", "hy", "misses").agg(F.count("*").alias("n")).filter(F.col("hx") + F.col("hy") + 2 * t * F.col("n") >= F.col("misses"))
+        chosen = written(near.union(alike.select("u", "v", "x", "y")).select("u", "v", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ngram-chosen")
+        return written(chosen.join(self.links(chosen.select("a", "b").distinct()), ["a", "b"]).select("u", "v").distinct(), "ngram-found")
 
     def joined(self, members: DataFrame) -> DataFrame:
         """u, root: the units that links join, and what names them together."""
@@ -371,8 +387,8 @@ class Join:
         of = connected(edges)
         for c in "ab":
             unsure = unsure.join(of.select(F.col("u").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-        unsure = written(unsure.filter("ra <> rb").select("a", "b", "differ"), "ngram-unsure")
-        return of if unsure.isEmpty() else connected(edges.union(self.between(unsure, members, units)))
+        unsure = written(unsure.filter("ra <> rb").select("a", "b"), "ngram-unsure")
+        return of if unsure.isEmpty() else connected(edges.union(self.between(unsure, members)))
 
     def components(self) -> DataFrame:
         """id, k1, k2, n, sid, root, component_id of each row; root names the component, and is null for rows without words."""
