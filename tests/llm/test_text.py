@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -190,6 +191,11 @@ def test_decontamination_of_short_items_and_items_without_id(spark):
 # ---- secrets
 
 
+@functools.cache
+def trained(spark):
+    return X.train(X.synthetic_findings(spark))
+
+
 def test_secrets(spark):
     hexes = "0123456789abcdef" * 3
     t = {
@@ -197,7 +203,7 @@ def test_secrets(spark):
         6: "id 123e4567-e89b-12d3-a456-426614174000 x", 7: None, 8: "", 9: "nothing here at all", 10: "a\n\tb\npassword=1234abcd5678efab90\n c",
     }
     df = spark.createDataFrame([(i, x, None) for i, x in t.items()], "doc_id long, text string, source string")
-    model = X.train(X.synthetic_findings(spark))
+    model = trained(spark)
     got = {(r.id, r.start, r.candidate) for r in X.secret_scan(df, model).collect()}
     assert {i for i, _, _ in got} == {1, 2, 3, 10}
     assert all(t[i][s : s + len(c)] == c for i, s, c in got)
@@ -209,7 +215,7 @@ def test_secrets(spark):
 
 def found_secrets(spark, t):
     df = spark.createDataFrame([(i, x, None) for i, x in enumerate(t)], "doc_id long, text string, source string")
-    return df, {(r.id, r.start, r.candidate) for r in X.candidates(df).collect()}, {(r.id, r.start, r.candidate) for r in X.secret_scan(df, X.train(X.synthetic_findings(spark))).collect()}
+    return df, {(r.id, r.start, r.candidate) for r in X.candidates(df).collect()}, {(r.id, r.start, r.candidate) for r in X.secret_scan(df, trained(spark)).collect()}
 
 
 def test_secrets_of_letters_only(spark):
@@ -260,7 +266,7 @@ def test_secrets_in_a_very_long_text(spark):
 
 def _clashing(spark):
     df = docs(spark, more=[(7, 'token = "' + "0123456789abcdef" * 2 + '"')]).withColumns({"word": F.lit(1), "offset": F.lit(2), "path": F.lit("p"), "start": F.lit(3)}).filter("doc_id IN (7, 38, 39)")
-    return {x.id for x in X.secret_scan(df, X.train(X.synthetic_findings(spark)), path_col="path").collect()}
+    return {x.id for x in X.secret_scan(df, trained(spark), path_col="path").collect()}
 
 
 def other_findings(seed, n):
