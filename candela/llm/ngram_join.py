@@ -331,7 +331,7 @@ class Join:
         usual = written(most.groupBy("unit").agg(F.collect_list(F.when(F.col("more"), F.col("token"))).alias("plus"), F.collect_list(F.when(~F.col("more"), F.col("token"))).alias("minus")), "ngram-usual")
         own = own.join(usual, "unit", "left").withColumns({c: F.coalesce(c, none) for c in ("plus", "minus")})
         own = own.select("unit", "sid", F.array_union(F.array_except("own", "plus"), F.array_except("minus", "lost")).alias("own"), F.array_union(F.array_except("lost", "minus"), F.array_except("plus", "own")).alias("lost"))
-        own = written(own.withColumn("h", (-2 * self.percent * F.size("own") - (100 - self.percent) * F.size("lost")).cast("long")), "ngram-own")
+        own = written(own.withColumn("h", (-2 * self.percent * F.size("own") - (100 - self.percent) * F.size("lost")).cast("long")).withColumn("top", F.col("h") + t * F.size("lost")), "ngram-own")
 
         texts = self._texts(involved.select(F.col("unit").alias("sid")))
         of = lambda x: texts.select(F.col("sid").alias(x), F.col("text").alias(f"t{x}")).join(usual.select(F.col("unit").alias(x), F.col("plus").alias(f"plus{x}"), F.col("minus").alias(f"minus{x}")), x, "left")
@@ -339,34 +339,39 @@ class Join:
         pairs = written(both.mapInArrow(_differences(self.k, self.percent), "a long, b long, p array<long>, q array<long>, misses long"), "ngram-differences")
         sides = written(pairs.select(F.col("a").alias("unit"), F.col("b").alias("other"), "misses").union(pairs.select("b", "a", "misses")), "ngram-sides")
 
-        # what members gain where they differ as the other cluster does
-        parts = [("a", "b", "q", "own"), ("b", "a", "p", "own"), ("a", "b", "p", "lost"), ("b", "a", "q", "lost")]
-        there = [pairs.select(F.col(u).alias("unit"), F.col(v).alias("other"), F.lit(kind).alias("kind"), F.explode(tokens).alias("token")) for u, v, tokens, kind in parts]
-        here = [own.select("unit", "sid", F.lit(kind).alias("kind"), F.explode(kind).alias("token")) for kind in ("own", "lost")]
-        at = there[0].union(there[1]).union(there[2]).union(there[3])
-        gains = here[0].union(here[1]).join(at, ["unit", "kind", "token"]).groupBy("unit", "other", "sid").agg(F.sum(F.when(F.col("kind") == "own", 2 * t).otherwise(t)).alias("gain"))
+        # what members gain by own tokens that the other cluster has
+        there = pairs.select(F.col("a").alias("unit"), F.col("b").alias("other"), F.col("q").alias("theirs"), F.col("p").alias("ours")).union(pairs.select("b", "a", "p", "q"))
+        theirs = there.select("unit", "other", F.explode("theirs").alias("token"))
+        tokens = own.select("unit", "sid", F.explode("own").alias("token"))
+        gains = tokens.join(theirs, ["unit", "token"]).groupBy("unit", "other", "sid").agg((2 * t * F.count("*")).alias("gain"))
         # own tokens that two clusters have in common
         held = written(own.select("unit", F.explode("own").alias("token")).distinct(), "ngram-held")
         common = held.select(F.col("unit").alias("a"), "token").join(held.select(F.col("unit").alias("b"), "token"), "token").filter("a < b").join(pairs.select("a", "b"), ["a", "b"])
         common = written(common.select(F.col("a").alias("unit"), F.col("b").alias("other"), "token").union(common.select("b", "a", "token")), "ngram-common")
-        shared = written(here[0].select("unit", "sid", "token").join(common, ["unit", "token"]), "ngram-own-shared")
+        shared = written(tokens.join(common, ["unit", "token"]), "ngram-own-shared")
         zero = F.lit(0).cast("long")
         active = gains.select("unit", "other", "sid", "gain", zero.alias("xs")).union(shared.select("unit", "other", "sid", zero, F.lit(1).cast("long"))).groupBy("unit", "other", "sid").agg(F.sum("gain").alias("gain"), F.sum("xs").alias("xs"))
-        active = written(active.join(own.select("unit", "sid", "h"), ["unit", "sid"]).select("unit", "other", "sid", (F.col("h") + F.col("gain")).alias("h"), "xs"), "ngram-active")
+        active = written(active.join(own.select("unit", "sid", "top"), ["unit", "sid"]), "ngram-active")
 
-        # the best that the other cluster's members can give
-        best = own.groupBy(F.col("unit").alias("other")).agg(F.max("h").alias("plain"))
-        found = active.groupBy(F.col("unit").alias("other"), F.col("other").alias("unit")).agg(F.max("h").alias("gained"))
+        # members that reach the sum with the best that the other cluster's can give, if all that they lack were a gain
+        best = own.groupBy(F.col("unit").alias("other")).agg(F.max("top").alias("plain"))
+        found = active.groupBy(F.col("unit").alias("other"), F.col("other").alias("unit")).agg(F.max(F.col("top") + F.col("gain")).alias("gained"))
         sides = written(sides.join(best, "other").join(found, ["unit", "other"], "left").select("unit", "other", "misses", (F.col("misses") - F.greatest("plain", F.coalesce("gained", "plain"))).alias("need")), "ngram-needs")
-        active = active.join(sides, ["unit", "other"]).filter(F.col("h") + 2 * t * F.col("xs") >= F.col("need")).select("unit", "other", "sid", "h", "misses")
-        passive = own.select("unit", "sid", "h").join(sides, "unit").filter(F.col("h") >= F.col("need")).select("unit", "other", "sid", "h", "misses")
-        open_ = written(active.union(passive).groupBy("unit", "other", "sid", "misses").agg(F.max("h").alias("h")), "ngram-open")
+        reach = active.join(sides, ["unit", "other"]).filter(F.col("top") + F.col("gain") + 2 * t * F.col("xs") >= F.col("need")).select("unit", "other", "sid", "gain", "xs")
+        plain = own.select("unit", "sid", "top").join(sides, "unit").filter(F.col("top") >= F.col("need")).select("unit", "other", "sid", zero.alias("gain"), zero.alias("xs"))
+        reach = written(reach.union(plain).groupBy("unit", "other", "sid").agg(F.max("gain").alias("gain"), F.max("xs").alias("xs")), "ngram-reach")
+        # of those, what they lack and the other cluster lacks too
+        ours = there.select("unit", "other", F.explode("ours").alias("token"))
+        lacking = reach.select("unit", "other", "sid").join(own.select("unit", "sid", F.explode("lost").alias("token")), ["unit", "sid"]).join(ours, ["unit", "other", "token"]).groupBy("unit", "other", "sid").agg((t * F.count("*")).alias("more"))
+        open_ = reach.join(own.select("unit", "sid", "h"), ["unit", "sid"]).join(lacking, ["unit", "other", "sid"], "left").join(sides, ["unit", "other"])
+        open_ = open_.withColumn("h", F.col("h") + F.col("gain") + F.coalesce("more", zero)).filter(F.col("h") + 2 * t * F.col("xs") >= F.col("need"))
+        open_ = written(open_.select("unit", "other", "sid", "h", "misses"), "ngram-open")
         first = open_.filter("unit < other").select(F.col("unit").alias("u"), F.col("other").alias("v"), F.col("sid").alias("x"), F.col("h").alias("hx"), "misses")
         second = open_.filter("unit > other").select(F.col("other").alias("u"), F.col("unit").alias("v"), F.col("sid").alias("y"), F.col("h").alias("hy"))
         near = first.join(second, ["u", "v"]).filter(F.col("hx") + F.col("hy") >= F.col("misses")).select("u", "v", "x", "y")
-        tokens = shared.join(open_.select("unit", "other", "sid", "h", "misses"), ["unit", "other", "sid"])
-        one = tokens.filter("unit < other").select(F.col("unit").alias("u"), F.col("other").alias("v"), "token", F.col("sid").alias("x"), F.col("h").alias("hx"), "misses")
-        two = tokens.filter("unit > other").select(F.col("other").alias("u"), F.col("unit").alias("v"), "token", F.col("sid").alias("y"), F.col("h").alias("hy"))
+        own_shared = shared.join(open_.select("unit", "other", "sid", "h", "misses"), ["unit", "other", "sid"])
+        one = own_shared.filter("unit < other").select(F.col("unit").alias("u"), F.col("other").alias("v"), "token", F.col("sid").alias("x"), F.col("h").alias("hx"), "misses")
+        two = own_shared.filter("unit > other").select(F.col("other").alias("u"), F.col("unit").alias("v"), "token", F.col("sid").alias("y"), F.col("h").alias("hy"))
         alike = one.join(two, ["u", "v", "token"]).groupBy("u", "v", "x", "y", "hx", "hy", "misses").agg(F.count("*").alias("n")).filter(F.col("hx") + F.col("hy") + 2 * t * F.col("n") >= F.col("misses"))
         chosen = written(near.union(alike.select("u", "v", "x", "y")).select("u", "v", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ngram-chosen")
         return written(chosen.join(self.links(chosen.select("a", "b").distinct()), ["a", "b"]).select("u", "v").distinct(), "ngram-found")

@@ -33,7 +33,7 @@ PASSAGE = 256
 #: The depth in bytes to which multikey quicksort goes before blind tries take over, and the bytes it compares at once.
 SHALLOW, STEP = 64, 8
 #: Slices that are sorted together at most; larger groups are split.
-GROUP = 256
+GROUP = 2048
 
 
 # ---- anchors
