@@ -357,15 +357,14 @@ class Join:
         best = own.groupBy(F.col("unit").alias("other")).agg(F.max("top").alias("plain"))
         found = active.groupBy(F.col("unit").alias("other"), F.col("other").alias("unit")).agg(F.max(F.col("top") + F.col("gain")).alias("gained"))
         sides = written(sides.join(best, "other").join(found, ["unit", "other"], "left").select("unit", "other", "misses", (F.col("misses") - F.greatest("plain", F.coalesce("gained", "plain"))).alias("need")), "ngram-needs")
-        reach = active.join(sides, ["unit", "other"]).filter(F.col("top") + F.col("gain") + 2 * t * F.col("xs") >= F.col("need")).select("unit", "other", "sid", "gain", "xs")
-        plain = own.select("unit", "sid", "top").join(sides, "unit").filter(F.col("top") >= F.col("need")).select("unit", "other", "sid", zero.alias("gain"), zero.alias("xs"))
-        reach = written(reach.union(plain).groupBy("unit", "other", "sid").agg(F.max("gain").alias("gain"), F.max("xs").alias("xs")), "ngram-reach")
+        keep = ("unit", "other", "sid", "h", "misses", "need", "lost")
+        reach = active.join(sides, ["unit", "other"]).filter(F.col("top") + F.col("gain") + 2 * t * F.col("xs") >= F.col("need")).join(own.select("unit", "sid", "h", "lost"), ["unit", "sid"]).select(*keep, "gain", "xs")
+        plain = own.join(sides, "unit").filter(F.col("top") >= F.col("need")).join(active.select("unit", "other", "sid"), ["unit", "other", "sid"], "left_anti").select(*keep, zero.alias("gain"), zero.alias("xs"))
+        reach = written(reach.union(plain), "ngram-reach")
         # of those, what they lack and the other cluster lacks too
-        ours = there.select("unit", "other", F.explode("ours").alias("token"))
-        lacking = reach.select("unit", "other", "sid").join(own.select("unit", "sid", F.explode("lost").alias("token")), ["unit", "sid"]).join(ours, ["unit", "other", "token"]).groupBy("unit", "other", "sid").agg((t * F.count("*")).alias("more"))
-        open_ = reach.join(own.select("unit", "sid", "h"), ["unit", "sid"]).join(lacking, ["unit", "other", "sid"], "left").join(sides, ["unit", "other"])
-        open_ = open_.withColumn("h", F.col("h") + F.col("gain") + F.coalesce("more", zero)).filter(F.col("h") + 2 * t * F.col("xs") >= F.col("need"))
-        open_ = written(open_.select("unit", "other", "sid", "h", "misses"), "ngram-open")
+        more = t * F.size(F.array_intersect("lost", "ours"))
+        open_ = reach.join(there.select("unit", "other", "ours"), ["unit", "other"]).withColumn("h", F.col("h") + F.col("gain") + more)
+        open_ = written(open_.filter(F.col("h") + 2 * t * F.col("xs") >= F.col("need")).select("unit", "other", "sid", "h", "misses"), "ngram-open")
         first = open_.filter("unit < other").select(F.col("unit").alias("u"), F.col("other").alias("v"), F.col("sid").alias("x"), F.col("h").alias("hx"), "misses")
         second = open_.filter("unit > other").select(F.col("other").alias("u"), F.col("unit").alias("v"), F.col("sid").alias("y"), F.col("h").alias("hy"))
         near = first.join(second, ["u", "v"]).filter(F.col("hx") + F.col("hy") >= F.col("misses")).select("u", "v", "x", "y")
