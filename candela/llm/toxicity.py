@@ -172,12 +172,12 @@ def _start(votes: np.ndarray, classes: int, seed: int) -> np.ndarray:
 
 
 def correlations(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Of each two voters, the correlation that is left within the classes."""
+    """Of each two voters, the correlation that is left within the classes; variances are a row's more, so that classes which explain a voter leave none."""
     total = q.sum(axis=0)
     both = sum((v.T @ v for v in (votes[b].astype(np.float32) for b in _blocks(len(votes)))), np.float32(0)).astype(np.float64) / len(votes)
     mean = sum(q[b].T @ votes[b] for b in _blocks(len(votes))) / np.maximum(total, 1e-9)[:, None]
     left = both - (mean * (total / len(votes))[:, None]).T @ mean
-    scale = np.sqrt(np.maximum(np.diag(left), 1e-9))
+    scale = np.sqrt(np.maximum(np.diag(left), 0) + 1 / len(votes))
     out = left / np.outer(scale, scale)
     np.fill_diagonal(out, 0)
     return out
