@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 SMALL = 100_000
 
 
+def few(df: DataFrame, most: int = SMALL) -> bool:
+    """Whether df has at most `most` rows; no more than that are counted."""
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df, broadcast if it has at most `most` rows; beyond that Spark chooses the join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if few(df, most) else df
 
 
 def rounded(x: Column, n: int) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candela.operators.scans import day_slice, previous
+
 
 def to_decimal(text: Column, kind: str = "decimal(20,8)") -> Column:
     """A number from text; null for null, nan, inf, None and whatever is not a number or does not fit."""
@@ -61,12 +63,16 @@ def reload(rows: DataFrame, order: list[str], id_col: str) -> DataFrame:
 
 
 def gaps(bars: DataFrame, key: str = "asset_id", day: str = "date", start: date | None = None, end: date | None = None) -> DataFrame:
-    """The calendar days between a key's first and last bar without a bar; of them those from start to end, where given."""
-    first, last = F.min(day), F.max(day)
+    """The calendar days between a key's first and last bar without a bar; of them those from start to end, where given.
+
+    A gap lies between two neighbouring bars, and only gaps are spread over their days: rows follow the gaps, not the calendar.
+    """
+    next_to = previous(bars.select(key, day).distinct(), [key], day, day_slice(day), {"_before": F.col(day)})
+    first, last = F.date_add("_before", 1), F.date_sub(day, 1)
     first = first if start is None else F.greatest(first, F.lit(start))
     last = last if end is None else F.least(last, F.lit(end))
-    span = bars.groupBy(key).agg(first.alias("a"), last.alias("b")).filter("a <= b")
-    return span.select(key, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day)).join(bars.select(key, day), [key, day], "left_anti")
+    between = next_to.filter(F.datediff(day, "_before") > 1).select(key, first.alias("a"), last.alias("b")).filter("a <= b")
+    return between.select(key, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day))
 
 
 def null_report(metrics: DataFrame, expected: dict[str, int], key: str = "asset_id") -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Days of a slice by time, and rows of a slice by number.
 SLICE_DAYS, SLICE_ROWS = 1024, 1024
@@ -25,6 +26,14 @@ def day_slice(day: str, days: int = SLICE_DAYS) -> Column:
     return F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / F.lit(days))
 
 
+def slice_of(df: DataFrame, order: str) -> Column:
+    """Slices for a column: of dates by day_slice(), of numbers SLICE_ROWS wide; anything else is one slice."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, T.DateType):
+        return day_slice(order)
+    return F.floor(F.col(order) / F.lit(SLICE_ROWS)) if isinstance(kind, T.NumericType) else F.lit(0)
+
+
 def _merge(kind: str, before: Column, own: Column) -> Column:
     if kind in ("max", "min"):
         return (F.greatest if kind == "max" else F.least)(before, own)  # skip nulls
@@ -96,3 +105,30 @@ def sliding(df: DataFrame, keys: list[str], rn: str, frames: dict[str, tuple[str
     both = reduce(DataFrame.union, moved, at).groupBy(*keys, rn).agg(F.max("row").alias("row"), *(F.max(f"_from_{n}").alias(f"_from_{n}") for n in frames)).filter("row IS NOT NULL")
     best = lambda name, kind: (F.greatest if kind == "max" else F.least)(F.col(f"row._to_{name}"), F.col(f"_from_{name}"))
     return both.select(*(F.col(c) if c in (*keys, rn) else F.col(f"row.{c}").alias(c) for c in kept), *(best(n, k).alias(n) for n, (k, _, _) in frames.items()))
+
+
+def ranked(df: DataFrame, by: list[str], value: str, ties: list[str] | None = None, width: float = 1.0) -> DataFrame:
+    """df with rank, dense_rank and n (rows of the group), largest value first; given ties also row_number, by value and then ties.
+
+    Equal values are counted first, so what is scanned is a row for each value of a group, in slices of values `width` wide: a group may
+    have any number of rows. Equal values are numbered in slices by the beginning of the first of ties, a text. Nulls come last.
+    """
+    rows = df.withColumns({"_value": F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))), "_null": F.col(value).isNull()})
+    key = [*by, "_value", "_null"]
+    values = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    values = values.withColumn("_slice", F.when(F.col("_null"), F.lit(-(2**62))).otherwise(F.floor(F.col("_value") / F.lit(width))))
+    values = values.withColumn("_order", F.struct("_slice", "_value"))
+    counted = running(values, by, "_order", F.col("_slice"), {"_to": ("sum", F.col("_n")), "dense_rank": ("count", F.lit(1))}, descending=True)
+    counted = counted.select(*key, (F.col("_to") - F.col("_n") + 1).alias("rank"), "dense_rank")
+    found = rows.join(counted, key).join(df.groupBy(*by).agg(F.count("*").alias("n")), by)
+    if ties:
+        place = numbered(found.withColumn("_tie", F.struct(*ties)), key, "_tie", F.substring(ties[0], 1, 2), "_place")
+        found = place.withColumn("row_number", F.col("rank") + F.col("_place")).drop("_place", "_tie")
+    return found.drop("_value", "_null")
+
+
+def tile(k: int, row: str = "row_number", n: str = "n") -> Column:
+    """NTILE(k) from a row's number within its group and the group's size: the first tiles get what is left over."""
+    size, more = F.floor(F.col(n) / k), F.col(n) % k
+    first = more * (size + 1)
+    return F.when(F.col(row) <= first, F.ceil(F.col(row) / (size + 1))).otherwise(more + F.ceil((F.col(row) - first) / size)).cast("long")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.functions.core import classify, nulls_first, nulls_last, rounded, safe_corr, small
-from candela.operators.timeseries import affects, drawdown, event_window, forward_sum, islands, pair_corr, pairs, rolling_corr, share, spread_days
+from candela.functions.core import classify, nulls_first, nulls_last, rounded, safe_corr
+from candela.operators.scans import day_slice, previous, ranked, tile
+from candela.operators.timeseries import affects, event_window, forward_sums, islands, pair_corr, pairs, rolling_corr, rolling_drawdown, share, with_drawdown
 
 REGIMES = [(2.0, "LOW"), (4.0, "MEDIUM"), (6.0, "HIGH")]
 YEAR = 365.0
@@ -50,7 +51,7 @@ def top_streaks_per_asset(m, k: int = 5) -> DataFrame:
 
 
 def streaks_by_month(m, least: int = 3) -> DataFrame:
-    found = streaks(m).filter(F.col("streak_length") >= least).join(F.broadcast(m.date_dim.select(F.col("date_id").alias("streak_start"), "month")), "streak_start")
+    found = streaks(m).filter(F.col("streak_length") >= least).join(m.calendar.select(F.col("date_id").alias("streak_start"), "month"), "streak_start")
     return found.groupBy(long(F.col("month")).alias("month")).agg(
         F.count("*").alias("streak_count"), rounded(F.avg("streak_length"), 1).alias("avg_streak_length"), F.max("streak_length").alias("max_streak_length"),
     ).orderBy(F.desc("streak_count"), "month")
@@ -72,8 +73,8 @@ def daily_regimes(m) -> DataFrame:
 
 
 def regime_periods(m) -> DataFrame:
-    before = F.lag("vol_regime").over(W.partitionBy("asset_id").orderBy("date"))
-    runs = islands(with_regime(m).withColumn("before", before), ["asset_id"], "date", ~F.col("vol_regime").eqNullSafe(F.col("before")))
+    days = previous(with_regime(m), ["asset_id"], "date", day_slice("date"), {"before": F.col("vol_regime")})
+    runs = islands(days, ["asset_id"], "date", ~F.col("vol_regime").eqNullSafe(F.col("before")))
     return runs.groupBy("asset_id", "symbol", "island", "vol_regime").agg(
         F.min("date").alias("regime_start"), F.max("date").alias("regime_end"), long(F.datediff(F.max("date"), F.min("date")) + 1).alias("duration_days"),
         rounded(F.avg("vol_30d"), 4).alias("avg_vol_30d"), rounded(F.avg("vol_30d") * F.sqrt(F.lit(YEAR)), 2).alias("avg_vol_annualized"),
@@ -87,7 +88,7 @@ def regime_shares(m) -> DataFrame:
 
 
 def regimes_around_events(m, symbol: str = "BTC", days: int = 7) -> DataFrame:
-    near = event_window(m.market_events, with_regime(m).filter(F.col("symbol") == symbol), -days, days)
+    near = event_window(m.market_events, with_regime(m).filter(F.col("symbol") == symbol), -days, days, few=m.few_events)
     return near.select("event_date", "title", "event_type", F.col("date").alias("observation_date"), long(F.col("offset")).alias("days_from_event"), rounded(F.col("vol_30d"), 4).alias("vol_30d"), "vol_regime", "event_id").orderBy("event_date", "observation_date", "event_id").drop("event_id")
 
 
@@ -120,7 +121,7 @@ def rolling_correlation(m, a: str = "BTC", b: str = "ETH", days: int = 30, least
 
 
 def quarterly_correlation(m, symbol: str = "BTC", least: int = 30) -> DataFrame:
-    d = beside_benchmark(m, symbol).join(F.broadcast(m.date_dim.select(F.col("date_id").alias("date"), "year", "quarter")), "date")
+    d = beside_benchmark(m, symbol).join(m.calendar.select(F.col("date_id").alias("date"), "year", "quarter"), "date")
     found = pair_corr(d, ["year", "quarter", "symbol"], "daily_return_pct", "base", least)
     return found.select(long(F.col("year")).alias("year"), long(F.col("quarter")).alias("quarter"), F.col("symbol").alias("asset"), "days", rounded(F.col("corr"), 4).alias("corr_with_btc")).orderBy("year", "quarter", "asset")
 
@@ -135,8 +136,7 @@ def stress_correlation(m, symbol: str = "BTC", stress: float = 4.0, least: int =
 
 
 def drawdowns(m) -> DataFrame:
-    peak, down = drawdown(m.dp, ["asset_id"], "date", "close")
-    return m.dp.select("asset_id", "symbol", "date", "close", peak.alias("peak_close"), down.alias("down"))
+    return with_drawdown(m.dp.select("asset_id", "symbol", "date", "close"), ["asset_id"], "date", "close").withColumnRenamed("peak", "peak_close")
 
 
 def drawdown_series(m) -> DataFrame:
@@ -145,13 +145,13 @@ def drawdown_series(m) -> DataFrame:
 
 def max_drawdowns(m) -> DataFrame:
     d = drawdowns(m).withColumn("max_drawdown_pct", rounded(F.col("down"), 2))
-    first = d.withColumn("n", F.row_number().over(W.partitionBy("symbol").orderBy("max_drawdown_pct", "date"))).filter("n = 1")
-    return first.select("symbol", "max_drawdown_pct", F.col("peak_close").alias("peak_price"), F.col("close").alias("trough_price"), F.col("date").alias("trough_date")).orderBy("max_drawdown_pct", "symbol")
+    first = d.groupBy("symbol").agg(F.min(F.struct("max_drawdown_pct", "date", "peak_close", "close")).alias("t"))
+    return first.select("symbol", "t.max_drawdown_pct", F.col("t.peak_close").alias("peak_price"), F.col("t.close").alias("trough_price"), F.col("t.date").alias("trough_date")).orderBy("max_drawdown_pct", "symbol")
 
 
 def rolling_drawdowns(m, rows: tuple[int, ...] = (30, 90, 365)) -> DataFrame:
     names = ("max_dd_30d", "max_dd_90d", "max_dd_1y")
-    d = m.dp.select("symbol", *(drawdown(m.dp, ["asset_id"], "date", "close", n)[1].alias(c) for c, n in zip(names, rows, strict=True)))
+    d = rolling_drawdown(m.dp.select("asset_id", "symbol", "date", "close"), ["asset_id"], "date", "close", dict(zip(names, rows, strict=True)))
     return d.groupBy("symbol").agg(*(rounded(F.min(c), 2).alias(c) for c in names)).orderBy("max_dd_30d", "symbol")
 
 
@@ -167,8 +167,7 @@ def underwater_periods(m, least: int = 7) -> DataFrame:
 
 def volume_spikes(m, above: float = 2.0, days: int = 2, exact: bool = False) -> DataFrame:
     spikes = m.dm.filter(F.col("volume_ratio_30d") > above).join(m.daily_prices.select("asset_id", "date", F.col("volume_usd").cast("double").alias("volume_usd")), ["asset_id", "date"])
-    spread = small(spread_days(m.market_events, -days, days, "near"))
-    hit = spikes.alias("s").join(spread.alias("e"), (F.col("s.date") == F.col("e.near")) & affects("e.affected_assets", "s.symbol", exact), "left")
+    hit = event_window(m.market_events, spikes, -days, days, few=m.few_events, how="left", also=affects("e.affected_assets", "f.symbol", exact))
     return hit.orderBy(nulls_first("volume_ratio_30d"), "symbol", "date", "event_id").select(
         "symbol", "date", rounded(F.col("volume_ratio_30d"), 2).alias("vol_ratio"), "volume_usd", rounded(F.col("daily_return_pct"), 2).alias("return_pct"), rounded(F.col("daily_range_pct"), 2).alias("range_pct"),
         F.col("title").alias("nearby_event"), "event_type", long(F.col("offset")).alias("days_from_event"),
@@ -189,7 +188,7 @@ def spike_directions(m, above: float = 2.0) -> DataFrame:
 
 
 def spike_months(m) -> DataFrame:
-    d = m.dm.filter("volume_ratio_30d IS NOT NULL").join(F.broadcast(m.date_dim.select(F.col("date_id").alias("date"), "year", "month")), "date")
+    d = m.dm.filter("volume_ratio_30d IS NOT NULL").join(m.calendar.select(F.col("date_id").alias("date"), "year", "month"), "date")
     v = F.col("volume_ratio_30d")
     found = d.groupBy(long(F.col("year")).alias("year"), long(F.col("month")).alias("month")).agg(F.count_if(v > 2.0).alias("spikes_2x"), F.count_if(v > 3.0).alias("spikes_3x"), rounded(F.avg(F.when(v > 2.0, v)), 2).alias("avg_spike_ratio"))
     return found.filter("spikes_2x > 0").orderBy("year", "month")
@@ -198,7 +197,7 @@ def spike_months(m) -> DataFrame:
 def forward_returns(m, above: float = 2.0, ahead: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """What followed spikes. The windows run over all days with a return; spikes are picked after them."""
     d = m.dm.filter("daily_return_pct IS NOT NULL")
-    d = d.select("daily_return_pct", "volume_ratio_30d", *(forward_sum(["asset_id"], "date", "daily_return_pct", k).alias(f"f{k}") for k in ahead)).filter(F.col("volume_ratio_30d") > above)
+    d = forward_sums(d.select("asset_id", "date", "daily_return_pct", "volume_ratio_30d"), ["asset_id"], "date", "daily_return_pct", {f"f{k}": k for k in ahead}).filter(F.col("volume_ratio_30d") > above)
     side = F.when(F.col("daily_return_pct") > 0, "UP_SPIKE").otherwise("DOWN_SPIKE").alias("spike_direction")
     return d.groupBy(side).agg(F.count("*").alias("events"), *(rounded(F.avg(f"f{k}"), 2).alias(f"avg_{k}d_fwd") for k in ahead)).orderBy("spike_direction")
 
@@ -208,24 +207,23 @@ def forward_returns(m, above: float = 2.0, ahead: tuple[int, ...] = (1, 3, 5)) -
 
 def weekly(m, by: tuple[str, ...] = (), least: int = 3, iso_year: bool = False) -> DataFrame:
     """Returns added per asset and week (ISO week with the calendar year, or with the ISO year)."""
-    dim = m.date_dim.select(F.col("date_id").alias("date"), "month", F.col("week").alias("iso_week"), (F.extract(F.lit("YEAROFWEEK"), "date_id") if iso_year else F.col("year")).alias("year"))
-    d = m.dm.filter("daily_return_pct IS NOT NULL").join(F.broadcast(dim), "date")
+    dim = m.calendar.select(F.col("date_id").alias("date"), "month", F.col("week").alias("iso_week"), (F.extract(F.lit("YEAROFWEEK"), "date_id") if iso_year else F.col("year")).alias("year"))
+    d = m.dm.filter("daily_return_pct IS NOT NULL").join(dim, "date")
     sums = d.groupBy("asset_id", "symbol", long(F.col("year")).alias("year"), long(F.col("iso_week")).alias("iso_week"), *(long(F.col(c)).alias(c) for c in by))
     return sums.agg(F.count("*").alias("days"), F.min("date").alias("week_start"), F.max("date").alias("week_end"), rounded(F.sum("daily_return_pct"), 6).alias("weekly_return")).filter(F.col("days") >= least)
 
 
 def weekly_ranking(m, iso_year: bool = False) -> DataFrame:
     d = weekly(m, iso_year=iso_year).withColumn("weekly_return_pct", rounded(F.col("weekly_return"), 2))
-    part = W.partitionBy("year", "iso_week")
-    w, tied = part.orderBy(F.desc("weekly_return_pct")), part.orderBy(F.desc("weekly_return_pct"), "symbol")
-    return d.select(
-        "year", "iso_week", "week_start", "week_end", "symbol", "weekly_return_pct", long(F.rank().over(w)).alias("rank_by_return"), long(F.dense_rank().over(w)).alias("dense_rank_by_return"),
-        long(F.ntile(4).over(tied)).alias("performance_quartile"), long(F.row_number().over(tied)).alias("row_num"),
+    found = ranked(d, ["year", "iso_week"], "weekly_return_pct", ["symbol"])
+    return found.select(
+        "year", "iso_week", "week_start", "week_end", "symbol", "weekly_return_pct", F.col("rank").alias("rank_by_return"), F.col("dense_rank").alias("dense_rank_by_return"),
+        tile(4).alias("performance_quartile"), F.col("row_number").alias("row_num"),
     ).orderBy("year", "iso_week", "rank_by_return", "symbol")
 
 
 def quartile_distribution(m) -> DataFrame:
-    q = weekly(m).withColumn("q", F.ntile(4).over(W.partitionBy("year", "iso_week").orderBy(F.desc("weekly_return"), "symbol")))
+    q = ranked(weekly(m), ["year", "iso_week"], "weekly_return", ["symbol"]).withColumn("q", tile(4))
     n = {i: F.count_if(F.col("q") == i) for i in (1, 2, 3, 4)}
     found = q.groupBy("symbol").agg(*(n[i].alias(f"weeks_in_q{i}") for i in n), F.count("*").alias("total_weeks"))
     for name, i in (("pct_top_quartile", 1), ("pct_bottom_quartile", 4)):
@@ -234,7 +232,7 @@ def quartile_distribution(m) -> DataFrame:
 
 
 def rank_summary(m) -> DataFrame:
-    d = weekly(m).withColumn("r", F.rank().over(W.partitionBy("year", "iso_week").orderBy(F.desc("weekly_return"))))
+    d = ranked(weekly(m), ["year", "iso_week"], "weekly_return").withColumnRenamed("rank", "r")
     found = d.rollup("symbol", "year").agg(
         F.grouping("symbol").alias("g1"), F.grouping("year").alias("g2"), F.count("*").alias("weeks"), rounded(F.avg("r"), 2).alias("avg_rank"),
         rounded(F.avg("weekly_return"), 2).alias("avg_weekly_return"), long(F.min("r")).alias("best_rank"), long(F.max("r")).alias("worst_rank"),
@@ -247,7 +245,7 @@ def btc_regime(m, symbol: str = "BTC", among_all: bool = False) -> DataFrame:
     """Months by a symbol's weekly rank. By default it is ranked alone, as the source query does; among_all ranks all assets."""
     d = weekly(m, ("month",))
     d = d if among_all else d.filter(F.col("symbol") == symbol)
-    d = d.withColumn("r", F.rank().over(W.partitionBy("year", "iso_week", *(("month",) if among_all else ())).orderBy(F.desc("weekly_return")))).filter(F.col("symbol") == symbol)
+    d = ranked(d, ["year", "iso_week", *(["month"] if among_all else [])], "weekly_return").withColumnRenamed("rank", "r").filter(F.col("symbol") == symbol)
     n = F.count("*")
     regime = F.when(F.count_if(F.col("r") <= 2) / n > 0.5, "BTC_DOMINANCE").when(F.count_if(F.col("r") >= 5) / n > 0.5, "ALT_SEASON").otherwise("MIXED")
     return d.groupBy("year", "month").agg(n.alias("total_weeks"), F.count_if(F.col("r") == 1).alias("btc_rank_1_weeks"), F.count_if(F.col("r") <= 3).alias("btc_top_3_weeks"), F.count_if(F.col("r") >= 5).alias("btc_bottom_half_weeks"), regime.alias("regime")).orderBy("year", "month")
@@ -263,7 +261,7 @@ def inside(lo: int, hi: int) -> Column:
 
 
 def event_study(m, days: int = 30, exact: bool = False) -> DataFrame:
-    d = event_window(m.market_events, m.dm, -days, days).filter(affects(exact=exact))
+    d = event_window(m.market_events, m.dm, -days, days, few=m.few_events).filter(affects(exact=exact))
     day = {"event_day_return": ("daily_return_pct", 2), "event_day_vol": ("vol_30d", 4), "event_day_volratio": ("volume_ratio_30d", 2)}
     means = lambda side, lo, hi: [rounded(F.avg(when(inside(lo, hi), c)), 4).alias(f"avg_{k}_{side}_{days}d") for k, c in MEASURES.items()]
     found = d.groupBy("event_id", "event_date", "event_type", "title", "symbol").agg(*means("pre", -days, -1), *(rounded(F.max(when(inside(0, 0), c)), n).alias(k) for k, (c, n) in day.items()), *means("post", 1, days))
@@ -271,7 +269,7 @@ def event_study(m, days: int = 30, exact: bool = False) -> DataFrame:
 
 
 def crash_damage(m, kind: str = "crash") -> DataFrame:
-    d = event_window(m.market_events.filter(F.col("event_type") == kind), m.dm, 0, 30)
+    d = event_window(m.market_events.filter(F.col("event_type") == kind), m.dm, 0, 30, few=m.few_events)
     r = "daily_return_pct"
     found = d.groupBy("event_id", "event_date", F.col("title").alias("event_title"), "symbol").agg(
         *(rounded(F.sum(when(inside(0, n), r)), 2).alias(f"cum_return_{n}d") for n in (7, 14, 30)), rounded(F.min(when(inside(0, 7), r)), 2).alias("worst_day_7d"), rounded(F.max(when(inside(0, 2), "volume_ratio_30d")), 2).alias("peak_vol_ratio_3d"),
@@ -281,7 +279,7 @@ def crash_damage(m, kind: str = "crash") -> DataFrame:
 
 def halving(m, symbol: str = "BTC") -> DataFrame:
     first = m.market_events.filter(F.col("event_type") == "halving").orderBy("event_date", "event_id").limit(1)
-    d = event_window(first, m.dm.filter(F.col("symbol") == symbol), -90, 180)
+    d = event_window(first, m.dm.filter(F.col("symbol") == symbol), -90, 180, few=m.few_events)
     period = F.when(inside(-90, -1), "90d_before").when(inside(1, 90), "90d_after").when(inside(91, 180), "180d_after")
     found = d.withColumn("period", period).filter("period IS NOT NULL").groupBy("period").agg(
         F.count("*").alias("trading_days"), rounded(F.sum("daily_return_pct"), 2).alias("cum_return"), rounded(F.avg("daily_return_pct"), 4).alias("avg_daily_return"),
@@ -291,7 +289,7 @@ def halving(m, symbol: str = "BTC") -> DataFrame:
 
 
 def upgrades(m, symbol: str = "ETH", kind: str = "protocol_upgrade", days: int = 30) -> DataFrame:
-    d = event_window(m.market_events.filter(F.col("event_type") == kind), m.dm.filter(F.col("symbol") == symbol), -days, days)
+    d = event_window(m.market_events.filter(F.col("event_type") == kind), m.dm.filter(F.col("symbol") == symbol), -days, days, few=m.few_events)
     means = lambda side, lo, hi: [rounded(F.avg(when(inside(lo, hi), c)), 2 if k == "volratio" else 4).alias(f"avg_{k}_{side}") for k, c in MEASURES.items()]
     found = d.groupBy("event_id", F.col("title").alias("upgrade"), "event_date").agg(*means("before", -days, -1), *means("after", 1, days), rounded(F.max(when(inside(0, 0), "daily_return_pct")), 2).alias("event_day_return"))
     return found.orderBy("event_date").drop("event_id")
@@ -299,14 +297,14 @@ def upgrades(m, symbol: str = "ETH", kind: str = "protocol_upgrade", days: int =
 
 def impact_by_type(m, days: int = 14) -> DataFrame:
     """The column's name says event day, but as in the source query it averages all days of the window."""
-    d = event_window(m.market_events, m.dm, -days, days).filter(affects())
+    d = event_window(m.market_events, m.dm, -days, days, few=m.few_events).filter(affects())
     change = F.avg(when(F.col("offset") > 0, "vol_30d")) - F.avg(when(F.col("offset") < 0, "vol_30d"))
     found = d.groupBy("event_type").agg(F.count_distinct("event_id").alias("num_events"), rounded(F.avg("daily_return_pct"), 2).alias("avg_event_day_return"), rounded(F.avg(when(inside(0, 2), "volume_ratio_30d")), 2).alias("avg_vol_ratio_3d"), rounded(change, 4).alias("vol_change_post_minus_pre"))
     return found.orderBy(nulls_last("avg_event_day_return"), "event_type")
 
 
 def crash_correlation(m, symbol: str = "BTC", kind: str = "crash", days: int = 30) -> DataFrame:
-    d = event_window(m.market_events.filter(F.col("event_type") == kind), beside_benchmark(m, symbol), -days, days)
+    d = event_window(m.market_events.filter(F.col("event_type") == kind), beside_benchmark(m, symbol), -days, days, few=m.few_events)
     corr = lambda p: safe_corr(F.when(p, F.col("base")), F.when(p, F.col("daily_return_pct")))
     found = d.groupBy("event_id", "event_date", "title", F.col("symbol").alias("alt_symbol")).agg(corr(F.col("offset") < 0).alias("a"), corr(F.col("offset") >= 0).alias("b"))
     found = found.select("event_date", "title", "alt_symbol", rounded(F.col("a"), 3).alias("corr_before_crash"), rounded(F.col("b"), 3).alias("corr_during_crash"), rounded(F.col("b") - F.col("a"), 3).alias("corr_change"))

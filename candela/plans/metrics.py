@@ -1,4 +1,4 @@
-"""The derived metrics: all windows of one asset share one shuffle and one sort."""
+"""The derived metrics: all windows of one slice of an asset share one shuffle and one sort."""
 
 from __future__ import annotations
 
@@ -7,29 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions.core import ratio, rounded, small
+from candela.operators.scans import SLICE_ROWS, day_slice, numbered, with_halo
 
 #: Nulls per asset on a series without gaps in its columns.
 WATERFALL = {"daily_return_pct": 1, "daily_range_pct": 0, "vol_7d": 7, "vol_30d": 30, "sma_7": 6, "sma_30": 29, "volume_ratio_30d": 30}
 
 
 def full(x: str, agg, lo: int, hi: int, n: int) -> Column:
-    """agg of x over the rows lo..hi around each of an asset's, null unless n of them have x."""
-    w = W.partitionBy("asset_id").orderBy("date").rowsBetween(lo, hi)
+    """agg of x over the rows lo..hi around each of a slice's, null unless n of them have x."""
+    w = W.partitionBy("asset_id", "_slice").orderBy("date").rowsBetween(lo, hi)
     return F.when(F.count(x).over(w) == n, agg(F.col(x)).over(w))
 
 
-def metrics(prices: DataFrame, assets: DataFrame, short: int = 7, long: int = 30) -> DataFrame:
+def metrics(prices: DataFrame, assets: DataFrame, short: int = 7, long: int = 30, size: int = SLICE_ROWS) -> DataFrame:
     """(asset_id, date) with returns and ranges in percent, volatilities, moving averages and the volume ratio.
 
     Active assets only. Windows count rows, so they skip gaps; a window that is not full gives null; today's volume is not
-    in its own average. Volatility comes from unrounded returns; each metric is rounded once, to its column's scale.
+    in its own average. Volatility comes from unrounded returns; each metric is rounded once, to its column's scale. An asset's
+    rows are numbered and cut into slices of `size`, each with copies of the long + 1 rows before it: frames end within them.
     """
     active = prices.join(small(assets.filter("is_active").select("asset_id")), "asset_id")
     d = active.select("asset_id", "date", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume_usd")))
-    before = F.lag("close").over(W.partitionBy("asset_id").orderBy("date"))
+    return _of(numbered(d, ["asset_id"], "date", day_slice("date")), short, long, size)
+
+
+def _of(d: DataFrame, short: int, long: int, size: int) -> DataFrame:
+    """The metrics of numbered rows (rn)."""
+    d = with_halo(d, F.col("rn"), size, long + 1, "_slice")
+    before = F.lag("close").over(W.partitionBy("asset_id", "_slice").orderBy("date"))
     d = d.withColumn("ret", ratio(F.col("close") - before, before) * 100)
-    return d.select(
-        "asset_id", "date",
+    found = d.select(
+        "asset_id", "date", "own",
         rounded(F.col("ret"), 6).cast("decimal(10,6)").alias("daily_return_pct"),
         rounded(ratio(F.col("high") - F.col("low"), F.col("low")) * 100, 6).cast("decimal(10,6)").alias("daily_range_pct"),
         rounded(full("ret", F.stddev_pop, 1 - short, 0, short), 6).cast("decimal(10,6)").alias(f"vol_{short}d"),
@@ -38,3 +46,4 @@ def metrics(prices: DataFrame, assets: DataFrame, short: int = 7, long: int = 30
         rounded(full("close", F.avg, 1 - long, 0, long), 8).cast("decimal(20,8)").alias(f"sma_{long}"),
         rounded(ratio(F.col("volume_usd"), full("volume_usd", F.avg, -long, -1, long)), 4).cast("decimal(10,4)").alias(f"volume_ratio_{long}d"),
     )
+    return found.filter("own").drop("own")

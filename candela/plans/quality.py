@@ -6,11 +6,11 @@ from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions.core import nulls_last, ratio, rounded
 from candela.operators.loading import null_report
+from candela.operators.scans import day_slice, numbered, previous, sliding
 from candela.plans.metrics import WATERFALL
 from candela.sources.market import shifted
 
@@ -50,7 +50,7 @@ def off_waterfall(m) -> DataFrame:
 
 
 def misplaced_nulls(m) -> DataFrame:
-    d = m.dm.withColumn("day_num", F.row_number().over(W.partitionBy("asset_id").orderBy("date")).cast("long"))
+    d = numbered(m.dm, ["asset_id"], "date", day_slice("date")).withColumn("day_num", F.col("rn") + 1)
     bad = F.lit(False)
     for c, n in WATERFALL.items():
         if n:
@@ -120,12 +120,9 @@ def vol_means(m) -> DataFrame:
 
 
 def averages_out_of_bounds(m) -> DataFrame:
-    p = m.daily_prices
-    bounds = []
-    for n in (7, 30):
-        w = W.partitionBy("asset_id").orderBy("date").rowsBetween(1 - n, 0)
-        bounds += [F.min("close").over(w).cast("double").alias(f"min_close_{n}"), F.max("close").over(w).cast("double").alias(f"max_close_{n}")]
-    d = m.dm.join(p.select("asset_id", "date", *bounds), ["asset_id", "date"])
+    rows = numbered(m.daily_prices.select("asset_id", "date", F.col("close").cast("double").alias("close")), ["asset_id"], "date", day_slice("date"))
+    bounds = sliding(rows, ["asset_id"], "rn", {f"{k}_close_{n}": (k, "close", n) for n in (7, 30) for k in ("min", "max")})
+    d = m.dm.join(bounds.drop("close", "rn"), ["asset_id", "date"])
     bad = ~F.col("sma_7").between(F.col("min_close_7"), F.col("max_close_7")) | ~F.col("sma_30").between(F.col("min_close_30"), F.col("max_close_30"))
     return d.filter(bad).select(*KEYS, "sma_7", "min_close_7", "max_close_7", "sma_30", "min_close_30", "max_close_30").orderBy("asset_id", "date")
 
@@ -171,8 +168,8 @@ def week_of(m, symbol: str = "BTC", start: str = "2022-11-06", end: str = "2022-
 
 
 def with_previous(m) -> DataFrame:
-    before = F.lag("close").over(W.partitionBy("asset_id").orderBy("date"))
-    return m.dm.join(m.dp.select("asset_id", "date", "close", before.alias("prev_close")), ["asset_id", "date"])
+    closes = previous(m.dp.select("asset_id", "date", "close"), ["asset_id"], "date", day_slice("date"), {"prev_close": F.col("close")})
+    return m.dm.join(closes, ["asset_id", "date"])
 
 
 def wrong_signs(m, k: int = 50) -> DataFrame:

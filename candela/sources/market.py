@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.functions.core import small
+from candela.functions.core import few, small
 from candela.operators.constraints import with_defaults
 from candela.operators.loading import calendar
 from candela.plans.metrics import metrics
@@ -118,6 +118,16 @@ class Market:
     def date_dim(self) -> DataFrame:
         return calendar(self.daily_prices.agg(F.min("date").alias("start"), F.max("date").alias("end")))
 
+    @cached_property
+    def few_events(self) -> bool:
+        """Whether events can be broadcast, counted once; their windows are two rows each at most."""
+        return few(self.market_events)
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        """date_dim for joins: a day is a row, which are counted from the bars' span before they are broadcast."""
+        return small(self.date_dim)
+
     @cached_property
     def symbols(self) -> DataFrame:
         return small(self.assets.select("asset_id", "symbol"))
