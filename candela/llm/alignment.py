@@ -13,6 +13,7 @@ ships each distinct group once, and a document is a list of numbers into its blo
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -26,10 +27,16 @@ from pyspark.sql import functions as F
 from candela.llm.common import packed, small, table, written
 
 #: Characters of text after which a block is closed, and segments that a task remembers, with the longest such segment.
-BLOCK, SEGMENTS, SEGMENT_CHARS = 1 << 24, 300_000, 64
+BLOCK, SEGMENTS, SEGMENT_CHARS = 1 << 24, 400_000, 64
+#: Characters of text whose new segments are encoded at once.
+STEP = 1 << 20
+#: What byte-level vocabularies split text by before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space by any definition and what engines differ about; a segment must not begin after one of these.
 ODD = r"\s\u180e\u200b-\u200f\u2060\ufeff"
-CUT, RARE = re.compile(f"(?<=[^{ODD}])(?= )"), re.compile(f"[{ODD}] ")
+CUT, RARE = re.compile(f"(?<=[^{ODD}])(?= [\\s\\S])"), re.compile(f"[{ODD}] ")
+#: Characters beyond the Latin ones.
+WIDE = re.compile("[^\x00-\u024f]")
 
 
 def byte_level() -> dict[str, int]:
@@ -39,17 +46,33 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def ranks(a: str) -> dict[bytes, int] | None:
+    """Bytes of a byte-level BPE's tokens and their ids, where ids follow its merges and it splits by its usual pattern alone; else None."""
+    d, decode = json.loads(a), byte_level()
+    pre, model = d.get("pre_tokenizer") or {}, d["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    plain = not d.get("normalizer") and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not plain or not usual or any(model["vocab"].get(x + y) != 256 + n for n, (x, y) in enumerate(merges)) or any(model["vocab"].get(c, 256) > 255 for c in decode):
+        return None
+    return {bytes(decode[c] for c in t): i for t, i in model["vocab"].items() if all(c in decode for c in t) and i < 256 + len(merges)}
+
+
 class Pair:
     """Both tokenizers, and the bytes of their tokens by id."""
 
     def __init__(self, a: str, b: bytes) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        # the same merges by a faster library, for characters whose classes no version of Unicode has changed
+        known = ranks(a)
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}) if known else None
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         decode, vocab = byte_level(), self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
@@ -63,7 +86,11 @@ class Pair:
     def encode(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of space + text by A and of text by B, which adds the space itself; None where their bytes are not those of space + text."""
         want = f" {text}".encode()
-        a, b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
+        if self.fast and not WIDE.search(text):
+            a = self.fast.encode_ordinary(f" {text}")
+        else:
+            a = self.a.encode(f" {text}", add_special_tokens=False).ids
+        b = self.b.encode(text, num_threads=1)
         same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
         return (a, b) if same else None
 
@@ -88,22 +115,35 @@ def links(len_a: list[int], len_b: list[int]) -> list[tuple[int, int]]:
             end_b += len_b[j]
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self) -> None:
+        self.held, self.n = np.empty(1 << 12, np.int64), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.held):
+            self.held = np.concatenate((self.held[: self.n], np.empty(self.n + len(x) + (1 << 12), np.int64)))
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class Segments:
-    """The segments that a task knows: each as a list of groups, and its part of a document's text of groups."""
+    """What a task knows: the groups by number, and segments as lists of groups."""
 
     def __init__(self, pair: Pair) -> None:
         self.pair = pair
+        self.packs = max(len(pair.len_a), len(pair.len_b)) <= 1 << 16
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.line: list[str] = []
-        self.of: list[list[int]] = []
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
+        self.ends = Grown()  # of each segment, where its groups end in `flat`
+        self.flat = Grown()
         self.groups: dict[str, int] = {}
+        self.packed: dict[int, int] = {}
         self.keys: list[str] = []
-        self.n_links: list[int] = []
+        self.n_a, self.n_b = Grown(), Grown()  # tokens of each group
         self.size = 0
 
     def _group(self, a: list[int], b: list[int]) -> int:
@@ -112,50 +152,76 @@ class Segments:
         if g is None:
             g = self.groups[key] = len(self.keys)
             self.keys.append(key)
-            self.n_links.append(len(a) + len(b) - 1)  # each further link begins at the end of one token of either
-            self.size += len(key)
+            self.n_a.add(np.array([len(a)]))
+            self.n_b.add(np.array([len(b)]))
+            self.size += len(key) + 200
         return g
 
-    def _put(self, segment: str, a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> None:
-        i, j, gs = 0, 0, []
-        for x, y in zip(at_a, at_b, strict=True):
-            gs.append(self._group(a[i:x], b[j:y]))
-            i, j = x, y
-        self.number[segment] = len(self.of)
-        self.of.append(gs)
-        self.line.append(";".join(map(self.keys.__getitem__, gs)))
-        self.n_a.append(i)
-        self.n_b.append(j)
-
-    def _one(self, segment: str) -> bool:
-        found = self.pair.encode(segment)
-        if found:
-            _, at_a, at_b = self.pair.cuts(*found)
-            self._put(segment, *found, at_a.tolist(), at_b.tolist())
-        return found is not None
+    def _intern(self, a: list[int], b: list[int], at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+        """The numbers of the groups that end at these numbers of A and B tokens. Groups of three tokens or fewer are told apart as one number each."""
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        i, j = np.concatenate(([0], at_a[:-1])), np.concatenate(([0], at_b[:-1]))
+        n_a, n_b = at_a - i, at_b - j
+        short = (n_a + n_b <= 3) & self.packs
+        out = np.empty(len(at_a), np.int64)
+        if short.any():
+            p, q, two_a, two_b = i[short], j[short], n_a[short] == 2, n_b[short] == 2
+            first_b, none = y[q] + (1 << 16), (1 << 17) - 1
+            second = np.where(two_a, x[np.minimum(p + 1, len(x) - 1)], first_b)
+            third = np.where(two_b, y[np.minimum(q + 1, len(y) - 1)] + (1 << 16), np.where(two_a, first_b, none))
+            codes, one, place = np.unique((x[p] << 34) | (second << 17) | third, return_index=True, return_inverse=True)
+            where = np.flatnonzero(short)
+            found = []
+            for code, k in zip(codes.tolist(), where[one].tolist(), strict=True):
+                g = self.packed.get(code)
+                if g is None:
+                    g = self.packed[code] = self._group(a[i[k] : at_a[k]], b[j[k] : at_b[k]])
+                found.append(g)
+            out[short] = np.array(found, np.int64)[place]
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = self._group(a[i[k] : at_a[k]], b[j[k] : at_b[k]])
+        return out
+
+    def _put(self, segments: list[str], groups: np.ndarray, ends: np.ndarray) -> None:
+        """Segments whose groups end at `ends` of groups."""
+        n = self.ends.n
+        self.ends.add(self.flat.n + ends)
+        self.flat.add(groups)
+        self.number.update(zip(segments, range(n, n + len(segments)), strict=True))
+
+    def _all(self, segments: list[str]) -> bool:
+        """Encodes segments as one text; whether that could be done."""
+        found = self.pair.encode(" ".join(segments))
+        if found is None:
+            return False
+        ends, at_a, at_b = self.pair.cuts(*found)
+        at = np.searchsorted(ends, np.cumsum([len(s.encode()) + 1 for s in segments])) + 1
+        self._put(segments, self._intern(*found, at_a, at_b), at)
+        return True
 
     def learn(self, new: list[str]) -> set[str]:
         """Encodes segments, as one text where that is the same; returns those whose bytes a tokenizer changes."""
-        plain = [s for s in new if s and not s[-1].isspace() and not RARE.search(s[-1] + " ")]
-        found = self.pair.encode(" ".join(plain)) if plain else None
-        if found is None:
-            return {s for s in new if not self._one(s)}
-        a, b = found
-        ends, at_a, at_b = self.pair.cuts(a, b)
-        last = np.searchsorted(ends, np.cumsum([len(s.encode()) + 1 for s in plain]))
-        x, y, g = 0, 0, 0
-        at_a, at_b = at_a.tolist(), at_b.tolist()
-        for s, e in zip(plain, (last + 1).tolist(), strict=True):
-            end_x, end_y = at_a[e - 1], at_b[e - 1]
-            self._put(s, a[x:end_x], b[y:end_y], [i - x for i in at_a[g:e]], [j - y for j in at_b[g:e]])
-            x, y, g = end_x, end_y, e
-        known = set(plain)
-        return {s for s in new if s not in known and not self._one(s)}
+        plain, wide, alone = [], [], []
+        for s in new:
+            (alone if not s or RARE.search(s[-1] + " ") else wide if WIDE.search(s) else plain).append(s)
+        for some in (plain, wide):
+            if some and not self._all(some):
+                alone += some
+        return {s for s in alone if not self._all([s])}
+
+    def of(self, segments: list[str]) -> np.ndarray:
+        """The groups of segments, in order."""
+        at = np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
+        ends = self.ends.held
+        first = np.where(at > 0, ends[at - 1], 0)
+        sizes = ends[at] - first
+        before = np.cumsum(sizes) - sizes
+        return self.flat.held[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 def parts(text: str) -> list[str]:
-    """The segments of space + text, each without the space that it begins with."""
-    if "  " not in text and text[0] != " " and (not RARE.search(text) if not text.isascii() else not any(x in text for x in ("\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f "))):
+    """The segments of space + text, each without the space that it begins with; none is empty, since B adds its space to some text only."""
+    if "  " not in text and text[0] != " " and text[-1] != " " and (not RARE.search(text) if not text.isascii() else not any(x in text for x in ("\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f "))):
         return text.split(" ")
     return [s[1:] for s in CUT.split(f" {text}")]
 
@@ -191,41 +257,43 @@ def _blocks(a: str, b: bytes):
                 cols = dict(zip(NAMES[4:], zip(*(d + x for d, x in zip(some, lists, strict=True)), strict=True), strict=True)) | {"block": [block] * len(some)}
                 yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(len(some), t) for c, t in zip(NAMES, KINDS, strict=True)], names=NAMES)
 
-        for batch in batches:
-            for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                chars += len(text or "") + 100
-                none = (i, 0, 0, 0, 0, "")
-                nothing = (np.empty(0, np.int64), np.empty(0, np.int64))
-                if not text:
-                    docs.append(none)
-                    held.append(nothing)
+        def put(some: list[tuple], cut: list[list[str]]) -> None:
+            """Documents (id, text) and their segments into the block; what is new is learnt at once."""
+            new = set().union(*cut) - known.number.keys()
+            bad = known.learn(list(new)) if new else set()
+            for (i, text), segments in zip(some, cut, strict=True):
+                if not text or (bad and not bad.isdisjoint(segments)):
+                    docs.append((i, 0, 0, 0, 0, ""))
+                    held.append((np.empty(0, np.int64), np.empty(0, np.int64)))
                     continue
-                segments = parts(text)
-                new = set(segments) - known.number.keys()
-                if new and known.learn(list(new)):
-                    docs.append(none)
-                    held.append(nothing)
+                groups = known.of(segments)
+                n_a, n_b = int(known.n_a.held[groups].sum()), int(known.n_b.held[groups].sum())
+                sha = hashlib.sha256(";".join(map(known.keys.__getitem__, groups.tolist())).encode()).hexdigest()
+                # each link but a group's first begins where a token of either ends
+                docs.append((i, n_a, n_b, len(groups), n_a + n_b - len(groups), sha))
+                held.append(np.unique(groups, return_counts=True))
+            for s in new:
+                if len(s) > SEGMENT_CHARS:
+                    known.number.pop(s, None)
+
+        for batch in batches:
+            some, cut, size = [], [], 0
+            rows = list(zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True))
+            for n, (i, text) in enumerate(rows):
+                some.append((i, text))
+                cut.append(parts(text) if text else [])
+                size += len(text or "") + 100
+                if size < STEP and n + 1 < len(rows):
                     continue
-                at = list(map(known.number.__getitem__, segments))
-                which, n = np.unique(np.array(at), return_counts=True)
-                of = [known.of[x] for x in which.tolist()]
-                sizes = np.fromiter(map(len, of), np.int64, len(of))
-                flat = np.fromiter((g for gs in of for g in gs), np.int64, int(sizes.sum()))
-                groups, places = np.unique(flat, return_inverse=True)
-                times = np.bincount(places, np.repeat(n, sizes)).astype(np.int64)
-                counts = [int(sum(map(x.__getitem__, at))) for x in (known.n_a, known.n_b)]
-                n_links = int((times * np.array([known.n_links[g] for g in groups.tolist()])).sum())
-                sha = hashlib.sha256(";".join(map(known.line.__getitem__, at)).encode()).hexdigest()
-                docs.append((i, *counts, int(times.sum()), n_links, sha))
-                held.append((groups, times))
-                for s in new:
-                    if len(s) > SEGMENT_CHARS:
-                        del known.number[s]
-                if chars >= BLOCK or len(known.of) > SEGMENTS or known.size > 64 << 20:
+                put(some, cut)
+                chars += size
+                some, cut, size = [], [], 0
+                full = known.ends.n > SEGMENTS or known.size > 64 << 20
+                if chars >= BLOCK or full:
                     yield from close()
                     block, docs, held, chars = block + 1, [], [], 0
-                    if len(known.of) > SEGMENTS or known.size > 64 << 20:
-                        known.clear()
+                if full:
+                    known.clear()
         if docs:
             yield from close()
 
