@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.operators.scans import day_slice, previous
+from candela.operators.scans import day_slice, dense_ids, previous
 
 
 def to_decimal(text: Column, kind: str = "decimal(20,8)") -> Column:
@@ -44,12 +44,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFra
 
 def upsert_attributes(old: DataFrame, new: DataFrame, key: str, id_col: str, attributes: list[str]) -> DataFrame:
     """Dimension upsert: known keys keep their id and get new attributes, others get the next ids in the order of their key."""
-    top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
     fresh = latest(new, [key], F.struct(*attributes))
     known = old.join(fresh.select(key, *(F.col(a).alias(f"_{a}") for a in attributes), F.lit(True).alias("_new")), key, "left")
     kept = known.select(*(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in attributes else F.col(c) for c in old.columns))
-    added = fresh.join(old.select(key), key, "left_anti").crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("_top") + F.row_number().over(W.orderBy(key))).cast(old.schema[id_col].dataType))
-    return kept.unionByName(added.select(id_col, key, *attributes), allowMissingColumns=True)
+    top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
+    added = dense_ids(fresh.join(old.select(key), key, "left_anti").select(key, *attributes), [key], id_col, after=top)
+    return kept.unionByName(added.withColumn(id_col, F.col(id_col).cast(old.schema[id_col].dataType)), allowMissingColumns=True)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def reload(rows: DataFrame, order: list[str], id_col: str) -> DataFrame:
     """Full reload of a curated table: ids restart at 1 in the given order."""
-    return rows.withColumn(id_col, F.row_number().over(W.orderBy(*order)))
+    return dense_ids(rows, order, id_col)
 
 
 def gaps(bars: DataFrame, key: str = "asset_id", day: str = "date", start: date | None = None, end: date | None = None) -> DataFrame:

@@ -27,10 +27,12 @@ def day_slice(day: str, days: int = SLICE_DAYS) -> Column:
 
 
 def slice_of(df: DataFrame, order: str) -> Column:
-    """Slices for a column: of dates by day_slice(), of numbers SLICE_ROWS wide; anything else is one slice."""
+    """Slices for a column: of dates by day_slice(), of numbers SLICE_ROWS wide, of texts by their first two characters; anything else is one slice."""
     kind = df.schema[order].dataType
     if isinstance(kind, T.DateType):
         return day_slice(order)
+    if isinstance(kind, T.StringType):
+        return F.substring(order, 1, 2)
     return F.floor(F.col(order) / F.lit(SLICE_ROWS)) if isinstance(kind, T.NumericType) else F.lit(0)
 
 
@@ -75,6 +77,20 @@ def numbered(df: DataFrame, keys: list[str], order: str, part: Column, name: str
     return running(df, keys, order, part, {name: ("count", F.lit(1))}).withColumn(name, F.col(name) - 1)
 
 
+def dense_ids(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
+    """df with ids after + 1, after + 2, ... in the given order, which is total; the first column is its main one.
+
+    The rows of each value of the first column are counted, the counts scanned in slices, and rows numbered within their value:
+    no task gets all rows, and the same rows get the same ids in every run.
+    """
+    first, *rest = order
+    counts = df.groupBy(first).agg(F.count("*").alias("_n"))
+    before = running(counts, [], first, slice_of(df, first), {"_to": ("sum", F.col("_n"))}).select(first, (F.col("_to") - F.col("_n")).alias("_before"))
+    rows = df.withColumn("_rest", F.struct(*rest) if rest else F.lit(0))
+    placed = numbered(rows, [first], "_rest", slice_of(df, rest[0]) if rest else F.lit(0), "_at").join(before, first)
+    return placed.select(*(c for c in df.columns if c != name), (F.lit(after) + F.col("_before") + F.col("_at") + 1).cast("long").alias(name))
+
+
 def with_halo(df: DataFrame, position: Column, size: int, before: int, name: str = "slice") -> DataFrame:
     """Each row in its slice of `size` positions, and once more in each later slice that begins at most `before` positions after it.
 

@@ -28,6 +28,15 @@ def stats() -> str:
 
 BOTH = "FROM dm WHERE vol_7d IS NOT NULL AND vol_30d IS NOT NULL"
 
+#: Bars as a broken feed gives them, with what each violates.
+BROKEN = '''broken AS (
+  SELECT a AS asset_id, d AS date, list_filter([
+    CASE WHEN n = 4 THEN 'not null (close)' END, CASE WHEN n = 3 THEN 'check (close)' END, CASE WHEN n = 9 THEN 'check (volume)' END, CASE WHEN n = 8 THEN 'domain (volume_usd)' END,
+    CASE WHEN n = 6 THEN 'reference (asset_id)' END, CASE WHEN n = 7 THEN 'reference (date)' END, CASE WHEN count(*) OVER (PARTITION BY a, d) > 1 THEN 'key (asset_id, date)' END], lambda x: x IS NOT NULL) AS violations
+  FROM (
+    SELECT CASE WHEN day(date) = 6 THEN 99 ELSE asset_id END::INT AS a, CASE WHEN day(date) = 7 THEN date + 40000 ELSE date END AS d, day(date) AS n FROM daily_prices
+    UNION ALL SELECT asset_id::INT, date, 5 FROM daily_prices WHERE day(date) = 5))'''
+
 QUERIES: dict[str, tuple[str, str]] = {
     "c1_1": ("", "SELECT 'daily_prices' AS table_name, count(*) AS row_count FROM daily_prices UNION ALL SELECT 'daily_metrics', count(*) FROM daily_metrics"),
     "c1_2": ("", "SELECT asset_id::INT AS asset_id, symbol, a.n AS price_rows, b.n AS metric_rows, a.n - b.n AS row_difference FROM (SELECT asset_id, symbol, count(*) AS n FROM dp GROUP BY ALL) a JOIN (SELECT asset_id, count(*) AS n FROM dm GROUP BY ALL) b USING (asset_id)"),
@@ -68,17 +77,23 @@ QUERIES: dict[str, tuple[str, str]] = {
     "l_insert_absent": ("", "SELECT asset_id::INT AS asset_id, date, close::DOUBLE AS close FROM daily_prices UNION ALL SELECT 9, date, close::DOUBLE FROM daily_prices WHERE asset_id = 1"),
     "l_gaps": ("", "SELECT s.asset_id::INT AS asset_id, date_id AS date FROM (SELECT asset_id, min(date) AS a, max(date) AS b FROM daily_prices GROUP BY 1) s JOIN date_dim ON date_id BETWEEN a AND b WHERE NOT EXISTS (FROM daily_prices p WHERE p.asset_id = s.asset_id AND p.date = date_id)"),
     "l_gaps_range": ("", "SELECT s.asset_id::INT AS asset_id, date_id AS date FROM (SELECT asset_id, min(date) AS a, max(date) AS b FROM daily_prices GROUP BY 1) s JOIN date_dim ON date_id BETWEEN a AND b AND date_id BETWEEN DATE '1996-01-01' AND DATE '1999-06-30' WHERE NOT EXISTS (FROM daily_prices p WHERE p.asset_id = s.asset_id AND p.date = date_id)"),
-    "l_recompute": ("", "SELECT asset_id::INT AS asset_id, date, daily_return_pct::DOUBLE AS daily_return_pct, sma_30::DOUBLE AS sma_30 FROM daily_metrics"),
+    "l_recompute": ("", "SELECT asset_id::INT AS asset_id, date, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in NULLS) + ", row_number() OVER (ORDER BY asset_id, date) AS metric_id FROM daily_metrics"),
+    "l_refused": (BROKEN, "SELECT violated, count(*) AS n, true AS table_kept FROM (SELECT unnest(violations) AS violated FROM broken) GROUP BY violated"),
+    "l_diverted": (
+        BROKEN,
+        "SELECT row_number() OVER (ORDER BY asset_id, date) AS price_id, asset_id, date, '' AS violations FROM broken WHERE len(violations) = 0 "
+        "UNION ALL SELECT NULL, asset_id, date, array_to_string(list_sort(violations), '; ') FROM broken WHERE len(violations) > 0",
+    ),
     "l_active": ("", "SELECT asset_id::INT AS asset_id, date, sma_7::DOUBLE AS sma_7 FROM daily_metrics WHERE asset_id % 3 <> 0"),
-    "k_enum": ("", "SELECT event_id::BIGINT AS event_id, t AS event_type FROM (SELECT event_id, CASE event_type WHEN 'crash' THEN 'rally' ELSE event_type END AS t FROM market_events) WHERE t NOT IN ('halving', 'crash', 'regulatory', 'protocol_upgrade', 'market_milestone', 'exchange_event', 'macro_event')"),
+    "k_enum": ("", "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')"),
     "k_default": ("", "SELECT asset_id::INT AS asset_id, date, (CASE WHEN day(date) > 1 THEN volume_usd ELSE 0 END)::DOUBLE AS volume_usd, true AS created FROM daily_prices"),
-    "k_length": ("", "SELECT title AS text FROM market_events WHERE length(title) > 70"),
+    "k_length": ("", "SELECT c_custkey, regexp_replace(c_name, '#0+', '#') AS name FROM customer WHERE length(c_mktsegment) > 9 OR length(regexp_replace(c_name, '#0+', '#')) > 11"),
     "k_numeric": ("", "SELECT asset_id::INT AS asset_id, date, close::DOUBLE AS close FROM daily_prices WHERE round(close, 4) >= 1000"),
     "l_clean": ("", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, CASE WHEN l_quantity > 40 THEN NULL ELSE l_extendedprice::DECIMAL(20,8)::DOUBLE END AS cleaned FROM lineitem"),
     "l_reject": ("", "SELECT asset_id::INT AS asset_id, date, (close - 1000)::DOUBLE AS close, close > 1000 AS good FROM daily_prices"),
     "l_null_waterfall": ("", "SELECT asset_id::INT AS asset_id, count(*) AS total_rows, " + ", ".join(f"count(*) - count({c}) AS null_{c}" for c in NULLS) + ", CASE WHEN " + " AND ".join(f"count(*) - count({c}) = {n}" for c, n in zip(NULLS, WANT, strict=True)) + " THEN 'PASS' ELSE 'WARN' END AS status FROM daily_metrics GROUP BY asset_id"),
-    "l_reload": ("", "SELECT row_number() OVER (ORDER BY event_date, title) AS event_id, event_date, event_type, title FROM market_events"),
-    "l_upsert_assets": ("", "SELECT asset_id::INT AS asset_id, symbol, CASE WHEN symbol = 'BTC' THEN 'Bitcoin (BTC)' ELSE name END AS name, category FROM assets UNION ALL SELECT 9, 'XRP', 'XRP', 'payments'"),
+    "l_reload": ("", "SELECT row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS row_id, c_mktsegment, c_custkey FROM customer"),
+    "l_upsert_assets": ("", "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_name), s_name, 'supply' FROM supplier"),
     # constraints, each on rows that violate it
     "k_unique": ("", "SELECT asset_id::INT AS asset_id, month(date)::INT AS month, count(*) AS n FROM daily_prices GROUP BY 1, 2 HAVING count(*) > 1"),
     "k_not_null": ("", "SELECT asset_id::INT AS asset_id, date FROM daily_metrics WHERE vol_30d IS NULL OR sma_30 IS NULL"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from candela.plans.analyses import ANALYSES
 from candela.plans.metrics import WATERFALL, metrics
 from candela.plans.quality import CHECKS
 from candela.sinks import tables as S
-from candela.sources.market import EVENT_TYPES, LENGTHS, Market, market
+from candela.sources.market import Market, market
 
 METRICS = dict(zip(("return", "range", "vol_7d", "vol_30d", "sma_7", "sma_30", "volume_ratio"), WATERFALL, strict=True))
 
@@ -48,26 +49,79 @@ def _reject(m: Market) -> DataFrame:
     return _double(good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False))), "close")
 
 
-def _upsert_assets(m: Market) -> DataFrame:
-    new = m.assets.filter("symbol = 'BTC'").select("symbol", F.lit("Bitcoin (BTC)").alias("name"), "category").unionByName(m.assets.limit(1).select(F.lit("XRP").alias("symbol"), F.lit("XRP").alias("name"), F.lit("payments").alias("category")))
-    return L.upsert_attributes(m.assets, new, "symbol", "asset_id", ["name", "category"]).select("asset_id", "symbol", "name", "category")
+def _upsert_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a dimension: every third gets another segment, and suppliers come in as new ones."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    old = read("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    changed = old.filter("id % 3 = 0").select("name", F.lower("segment").alias("segment"))
+    return L.upsert_attributes(old, changed.unionByName(read("supplier").select(F.col("s_name").alias("name"), F.lit("supply").alias("segment"))), "name", "id", ["segment"])
 
 
-def _reload(m: Market) -> DataFrame:
-    rows = L.reload(m.market_events.select("event_date", "event_type", "title"), ["event_date", "title"], "event_id")
-    return rows.withColumn("event_id", F.col("event_id").cast("long"))
+def _reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, numbered anew by segment and key."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_custkey")
+    return L.reload(rows, ["c_mktsegment", "c_custkey"], "row_id")
 
 
-def _recompute(m: Market) -> DataFrame:
-    """The tables written, the metrics twice: the second rewrite takes the place of the first."""
+@contextmanager
+def _database(m: Market) -> Iterator[tuple[SparkSession, str, str]]:
+    """A database of its own with assets, calendar, bars and events loaded, dropped at the end; files stay for the frames that read them."""
     spark, schema = m.bars.sparkSession, f"candela_{uuid.uuid4().hex}"
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{schema}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = f"{base.rstrip('/')}/{schema}"
     S.create(spark, folder, schema)
-    for name in ("assets", "date_dim", "daily_prices", "market_events"):
-        S.save(getattr(m, name), name, folder, schema)
-    prices, known = (spark.table(f"{schema}.{x}") for x in ("daily_prices", "assets"))
-    S.save(metrics(prices.filter("asset_id < 3"), known), "daily_metrics", folder, schema)
-    return _double(S.save(metrics(prices, known), "daily_metrics", folder, schema).select("asset_id", "date", "daily_return_pct", "sma_30"), "daily_return_pct", "sma_30")
+    try:
+        for name in ("assets", "date_dim", "daily_prices", "market_events"):
+            S.load(getattr(m, name), name, folder, schema)
+        yield spark, folder, schema
+    finally:
+        S.drop(spark, schema)
+
+
+def _recompute(m: Market) -> DataFrame:
+    """The tables loaded, the metrics twice: the second rewrite takes the place of the first."""
+    with _database(m) as (spark, folder, schema):
+        prices, known = (spark.table(f"{schema}.{x}") for x in ("daily_prices", "assets"))
+        S.load(metrics(prices.filter("asset_id < 3"), known), "daily_metrics", folder, schema)
+        found = S.load(metrics(prices, known), "daily_metrics", folder, schema)
+        return _double(found, *WATERFALL)
+
+
+def _bad_bars(m: Market) -> DataFrame:
+    """Bars as a broken feed gives them: closes that are not positive or missing, days that come twice, unknown assets, days beyond the calendar, numbers that are too long."""
+    day, p = F.dayofmonth("date"), m.daily_prices
+    bars = p.withColumns({
+        "close": F.when(day == 3, -F.col("close")).when(day == 4, None).otherwise(F.col("close")),
+        "asset_id": F.when(day == 6, F.lit(99)).otherwise(F.col("asset_id")),
+        "date": F.when(day == 7, F.date_add("date", 40_000)).otherwise(F.col("date")),
+        "volume_usd": F.when(day == 8, F.lit("1e40")).when(day == 9, F.lit("-1")).otherwise(F.col("volume_usd").cast("string")),
+    })
+    return bars.unionByName(bars.filter(day == 5))
+
+
+def _refused(m: Market) -> DataFrame:
+    """What a load of broken bars is refused for, by constraint, and that the table is as before."""
+    with _database(m) as (spark, folder, schema):
+        before = spark.table(f"{schema}.daily_prices").count()
+        try:
+            S.load(_bad_bars(m), "daily_prices", folder, schema)
+            counts = {}
+        except S.Refused as e:
+            counts = e.counts
+        kept = spark.table(f"{schema}.daily_prices").count() == before
+        return spark.createDataFrame([(k, n, kept) for k, n in counts.items()], "violated string, n long, table_kept boolean")
+
+
+def _diverted(m: Market) -> DataFrame:
+    """The same bars with violations diverted: what is loaded, with ids, and what is not, with its violations."""
+    with _database(m) as (spark, folder, schema):
+        found = S.load(_bad_bars(m), "daily_prices", folder, schema, rejected=f"{folder}/rejected")
+        bad = spark.read.parquet(f"{folder}/rejected").select(F.lit(None).cast("long").alias("price_id"), "asset_id", "date", F.array_join(F.array_sort("violations"), "; ").alias("violations"))
+        return found.select("price_id", "asset_id", "date", F.lit("").alias("violations")).unionByName(bad)
 
 
 def _defaults(m: Market) -> DataFrame:
@@ -77,15 +131,16 @@ def _defaults(m: Market) -> DataFrame:
     return _double(full.withColumn("created", F.col("created_at") <= F.current_timestamp()).drop("created_at"), "volume_usd")
 
 
-def _enumeration(m: Market) -> DataFrame:
-    changed = m.market_events.withColumn("event_type", F.when(F.col("event_type") == "crash", "rally").otherwise(F.col("event_type")))
-    return C.outside(changed, "event_type", EVENT_TYPES).select(F.col("event_id").cast("long").alias("event_id"), "event_type")
+def _enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose type is not one of those that a shop knows."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    return C.outside(events, "event_type", ["view", "click", "purchase"])
 
 
-def _lengths(m: Market) -> DataFrame:
-    """The tables' own limits, and a title of 70 at most."""
-    found = C.too_long(m.market_events, {**LENGTHS["market_events"], "title": 70}).select(F.col("title").alias("text"))
-    return found.unionByName(C.too_long(m.assets, LENGTHS["assets"]).select(F.col("name").alias("text")))
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose segment, or name without its zeros, is too long."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment", F.regexp_replace("c_name", "#0+", "#").alias("name"))
+    return C.too_long(rows, {"c_mktsegment": 9, "name": 11}).select("c_custkey", "name")
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,26 +154,28 @@ LOADERS: dict[str, Callable[[Market], DataFrame]] = {
     "l_prices": lambda m: _double(m.daily_prices.drop("market_cap_usd"), "open", "high", "low", "close", "volume_usd"),
     "l_calendar": lambda m: m.date_dim.withColumns({c: F.col(c).cast("long") for c in ("year", "quarter", "month", "week", "day_of_week")}),
     "l_upsert": _upsert,
-    "l_upsert_assets": _upsert_assets,
     "l_insert_absent": _insert_absent,
     "l_gaps": lambda m: L.gaps(m.daily_prices),
     "l_reject": _reject,
-    "l_reload": _reload,
     "l_gaps_range": lambda m: L.gaps(m.daily_prices, start=date(1996, 1, 1), end=date(1999, 6, 30)),
     "l_recompute": _recompute,
+    "l_refused": _refused,
+    "l_diverted": _diverted,
     "l_active": lambda m: _double(metrics(m.daily_prices, m.assets.withColumn("is_active", F.col("asset_id") % 3 != 0)).select("asset_id", "date", "sma_7"), "sma_7"),
     "l_null_waterfall": lambda m: L.null_report(m.daily_metrics, WATERFALL),
     "k_unique": lambda m: C.duplicates(m.daily_prices.select("asset_id", F.month("date").alias("month")), ["asset_id", "month"]),
     "k_not_null": lambda m: C.nulls(m.daily_metrics, ["vol_30d", "sma_30"]).select("asset_id", "date"),
     "k_foreign_key": lambda m: C.orphans(m.daily_prices, m.assets.filter("asset_id <= 6"), {"asset_id": "asset_id"}).select("asset_id", "date"),
-    "k_enum": _enumeration,
     "k_default": _defaults,
-    "k_length": _lengths,
     "k_numeric": lambda m: _double(C.unfit(m.daily_prices, {"close": "decimal(7,4)"}).select("asset_id", "date", "close"), "close"),
     "k_check": lambda m: _double(C.failing(m.daily_metrics, F.col("vol_30d") < 6).select("asset_id", "date", "vol_30d"), "vol_30d"),
 }
 
 
+#: Queries over other given tables than the market's.
+ON_TABLES = {"l_clean": _clean, "l_upsert_assets": _upsert_assets, "l_reload": _reload, "k_enum": _enumeration, "k_length": _lengths}
+
+
 def _on_market(build: Callable[[Market], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: build(market(spark, sf_dir))
 
@@ -126,7 +183,7 @@ def _on_market(build: Callable[[Market], DataFrame]) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     metric = lambda c: lambda m: _double(m.daily_metrics.select("asset_id", "date", c), c)
     builds = {**ANALYSES, **{k: c.build for k, c in CHECKS.items()}, **{f"m_{n}": metric(c) for n, c in METRICS.items()}, **LOADERS}
-    return {**{k: _on_market(b) for k, b in builds.items()}, "l_clean": _clean}
+    return {**{k: _on_market(b) for k, b in builds.items()}, **ON_TABLES}
 
 
 def sql() -> dict[str, str]:

@@ -209,3 +209,71 @@ def test_market_is_built_anew_when_its_file_changes(spark, tmp_path):
     assert two is not one and two.daily_prices.count() <= 10
     forget(spark, str(tmp_path))
     assert "daily_prices" not in two.__dict__
+
+
+def loaded(spark, tmp_path):
+    """A database with assets, a calendar of 1996 and forty bars."""
+    schema, folder = f"t_{uuid.uuid4().hex}", str(tmp_path)
+    S.create(spark, folder, schema)
+    S.load(assets(spark), "assets", folder, schema)
+    S.load(L.calendar(spark.createDataFrame([(D0, date(1996, 12, 31))], "start date, end date")), "date_dim", folder, schema)
+    S.load(market_events(spark), "market_events", folder, schema)
+    S.load(bars(spark, range(1, 41)), "daily_prices", folder, schema)
+    return schema, folder
+
+
+def test_loads_are_refused_or_diverted(spark, tmp_path):
+    schema, folder = loaded(spark, tmp_path)
+    good = bars(spark, range(1, 41))
+    faults = {
+        "not null (close)": good.withColumn("close", F.lit(None)),
+        "not null (date)": good.withColumn("date", F.lit(None)),
+        "check (close)": good.withColumn("close", F.lit(0)),
+        "check (volume)": good.withColumn("volume_usd", F.lit(-1)),
+        "domain (open)": good.withColumn("open", F.lit(1e15)),
+        "key (asset_id, date)": good.union(good.limit(1)),
+        "reference (asset_id)": good.withColumn("asset_id", F.lit(99)),
+        "reference (date)": good.withColumn("date", F.date_add("date", 4000)),
+    }
+    before = spark.table(f"{schema}.daily_prices").collect()
+    for name, rows in faults.items():
+        with pytest.raises(S.Refused) as e:
+            S.load(rows, "daily_prices", folder, schema)
+        assert list(e.value.counts) == [name], (name, e.value.counts)
+    events = market_events(spark)
+    others = {
+        ("market_events", "enumeration (event_type)"): events.withColumn("event_type", F.lit("rally")), ("market_events", "length (title)"): events.withColumn("title", F.repeat(F.lit("x"), 201)),
+        ("assets", "key (symbol)"): assets(spark).withColumn("symbol", F.lit("BTC")), ("date_dim", "check (month)"): spark.table(f"{schema}.date_dim").withColumn("month", F.lit(13)),
+    }
+    for (table, name), rows in others.items():
+        with pytest.raises(S.Refused, match="left as it was") as e:
+            S.load(rows, table, folder, schema)
+        assert list(e.value.counts) == [name]
+    assert spark.table(f"{schema}.daily_prices").collect() == before
+    # one row of each fault among good ones: they are diverted with all that they violate, the rest is loaded and numbered
+    mixed = good.filter("close > 2").union(faults["check (close)"].limit(1).withColumn("volume_usd", F.lit(-1).cast("decimal(30,2)")))
+    S.load(mixed, "daily_prices", folder, schema, rejected=f"{folder}/bad")
+    assert sorted(r.price_id for r in spark.table(f"{schema}.daily_prices").collect()) == list(range(1, 39))
+    assert [sorted(r.violations) for r in spark.read.parquet(f"{folder}/bad").collect()] == [["check (close)", "check (volume)"]]
+    S.drop(spark, schema)
+
+
+def test_a_writer_that_comes_late_is_refused(spark, tmp_path):
+    schema, folder = loaded(spark, tmp_path)
+    seen = S.shown(spark, "daily_prices", schema)
+    S.load(bars(spark, range(1, 11)), "daily_prices", folder, schema)
+    with pytest.raises(S.Conflict):
+        S.load(bars(spark, range(1, 31)), "daily_prices", folder, schema, seen=seen)
+    assert spark.table(f"{schema}.daily_prices").count() == 10
+    with S._locked(spark, f"{folder}/daily_prices.lock"), pytest.raises(S.Conflict):
+        S.load(bars(spark, range(1, 31)), "daily_prices", folder, schema)
+    S.load(bars(spark, range(1, 31)), "daily_prices", folder, schema)
+    assert spark.table(f"{schema}.daily_prices").count() == 30
+    S.drop(spark, schema)
+
+
+def test_dense_ids(spark):
+    df = spark.createDataFrame([(f"{'abc'[i % 3]}{i % 10}", i) for i in range(300)], "s string, i int").repartition(4)
+    got = L.reload(df, ["s", "i"], "id").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, 301)) and [(r.s, r.i) for r in got] == sorted((r.s, r.i) for r in got)
+    assert "SinglePartition" not in L.reload(df, ["i"], "id")._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[0]

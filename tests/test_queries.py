@@ -13,7 +13,8 @@ QUERIES, SQL = registry.queries(), registry.sql()
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW lineitem AS FROM '{SF}/lineitem.parquet'")
+    for t in ("lineitem", "customer", "supplier", "events"):
+        c.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     return c
 
 
