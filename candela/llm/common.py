@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,21 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
-_runs: list[str] = []
+class _Runs(threading.local):
+    """The folders of the run_folder() blocks that a thread is in."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+
+_runs = _Runs()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{(_runs[-1] if _runs else shared_dir(spark)).rstrip('/')}/candela-{label}-{uuid.uuid4().hex}"
+    folder = _runs.folders[-1] if _runs.folders else shared_dir(spark)
+    return f"{folder.rstrip('/')}/candela-{label}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def run_folder(spark: SparkSession) -> Iterator[str]:
     """What operators write in this block goes to one folder, which is deleted at its end: consume their results before."""
-    _runs.append(new_path(spark, "run"))
+    _runs.folders.append(new_path(spark, "run"))
     try:
-        yield _runs[-1]
+        yield _runs.folders[-1]
     finally:
-        _delete(spark, _runs.pop())
+        _delete(spark, _runs.folders.pop())
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -86,13 +95,18 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """A column of df by its name, which may hold dots and back-ticks."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, and the other columns as one struct `rest`, so that no column of docs can clash with an operator's own."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     return docs.select(
-        docs[id_col].cast("long").alias("id"),
-        docs[text_col].cast("string").alias("text"),
-        (F.struct(*(docs[c] for c in rest)) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"),
+        column(docs, id_col).cast("long").alias("id"),
+        column(docs, text_col).cast("string").alias("text"),
+        (F.struct(*(column(docs, c) for c in rest)) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"),
     )
 
 

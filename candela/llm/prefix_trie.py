@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.llm.common import table, written
+from candela.llm.common import column, table, written
 from candela.operators.scans import running
 
 #: Turns of a conversation that one task scans at once.
@@ -146,7 +146,7 @@ def ordered_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     key is a SHA-256 of role and text, null ones empty; n_bytes are the UTF-8 bytes of the text. Rows without a conversation belong to
     none and are left out; repeated rows are turns of their own. Very long texts are read whole; further columns are left out.
     """
-    c = {x: conversations[f"`{x}`"] for x in (conv_col, turn_col, role_col, text_col)}
+    c = {x: column(conversations, x) for x in (conv_col, turn_col, role_col, text_col)}
     rows = conversations.select(
         c[conv_col].cast("long").alias("conv"), c[turn_col].cast("long").alias("turn"),
         *(F.coalesce(c[x].cast("string"), F.lit("")).alias(n) for x, n in ((role_col, "role"), (text_col, "text"))),

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, rest string, k1 string, n int, row string, size int, spans int, cluster string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, rest string, k1 string, n int, row string, size int, spans int, cluster string, `meta.url` string, `tick``ed` int, `text.raw` string"
 WORDS = ["the", "and", "Ünder", "ñandú", "of", "thing", "Sun", "moon"] + [f"w{i}" for i in range(60)]
 
 
@@ -29,7 +29,7 @@ def texts(seed=1):
 
 def docs(spark, seed=1, more=()):
     t = list(texts(seed).items()) + list(more)
-    rows = [(i, x, "en" if (i or 0) % 3 else None, None if (i or 0) % 11 == 0 else f"s{(i or 0) % 4}", None if x is None else len(x), -7, "r", None, 1, "z", 5, 2, "c") for i, x in t]
+    rows = [(i, x, "en" if (i or 0) % 3 else None, None if (i or 0) % 11 == 0 else f"s{(i or 0) % 4}", None if x is None else len(x), -7, "r", None, 1, "z", 5, 2, "c", "u", 3, "t") for i, x in t]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
