@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions.core import classify, nulls_first, nulls_last, rounded, safe_corr
+from candela.operators.blocks import pair_correlations
 from candela.operators.scans import day_slice, previous, ranked, tile
-from candela.operators.timeseries import affects, event_window, forward_sums, islands, pair_corr, pairs, rolling_corr, rolling_drawdown, share, with_drawdown
+from candela.operators.timeseries import affects, event_window, forward_sums, islands, pair_corr, rolling_corr, rolling_drawdown, share, with_drawdown
 
 REGIMES = [(2.0, "LOW"), (4.0, "MEDIUM"), (6.0, "HIGH")]
 YEAR = 365.0
@@ -96,9 +97,11 @@ def regimes_around_events(m, symbol: str = "BTC", days: int = 7) -> DataFrame:
 
 
 def correlation_matrix(m) -> DataFrame:
-    r = m.dm.filter("daily_return_pct IS NOT NULL")
-    found = pair_corr(pairs(r, ["date"], "asset_id", ["asset_id", "symbol", "daily_return_pct"]), ["symbol1", "symbol2"], "daily_return_pct1", "daily_return_pct2", n="overlapping_days")
-    return found.select(F.col("symbol1").alias("asset_1"), F.col("symbol2").alias("asset_2"), "overlapping_days", rounded(F.col("corr"), 4).alias("correlation")).orderBy(nulls_first("correlation"), "asset_1", "asset_2")
+    """Of all pairs of assets, the one with the smaller id first."""
+    found = pair_correlations(m.dm, "asset_id", "date", "daily_return_pct")
+    names = lambda n: m.assets.select(F.col("asset_id").alias(f"asset_id_{n}"), F.col("symbol").alias(f"asset_{n}"))
+    found = found.join(names(1), "asset_id_1").join(names(2), "asset_id_2")
+    return found.select("asset_1", "asset_2", F.col("n").alias("overlapping_days"), rounded(F.col("corr"), 4).alias("correlation")).orderBy(nulls_first("correlation"), "asset_1", "asset_2")
 
 
 def beside_benchmark(m, symbol: str, more: tuple[str, ...] = ()) -> DataFrame:

@@ -47,3 +47,24 @@ def _of(d: DataFrame, short: int, long: int, size: int) -> DataFrame:
         rounded(ratio(F.col("volume_usd"), full("volume_usd", F.avg, -long, -1, long)), 4).cast("decimal(10,4)").alias(f"volume_ratio_{long}d"),
     )
     return found.filter("own").drop("own")
+
+
+def refreshed(prices: DataFrame, assets: DataFrame, old: DataFrame, changed: DataFrame, short: int = 7, long: int = 30, size: int = SLICE_ROWS) -> DataFrame:
+    """The metrics of prices, given the metrics `old` from before rows of prices were added, replaced or removed on the days `changed` (asset_id, date).
+
+    A row's metrics depend on the `long` rows before it. So those from an asset's first changed day to `long` rows after its last one are
+    computed, from prices that begin long + 1 rows earlier, and all others are taken over. Equal to metrics(prices, assets).
+    """
+    active = small(assets.filter("is_active").select("asset_id"))
+    d = prices.join(active, "asset_id").select("asset_id", "date", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume_usd")))
+    span = changed.groupBy("asset_id").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    rows = numbered(d, ["asset_id"], "date", day_slice("date")).join(span, "asset_id")
+    # the numbers of the first row that is computed and of the last that a change can reach
+    inside = rows.groupBy("asset_id").agg(F.min(F.when(F.col("date") >= F.col("_first"), F.col("rn"))).alias("_lo"), F.max(F.when(F.col("date") <= F.col("_last"), F.col("rn"))).alias("_hi"))
+    inside = inside.select("asset_id", "_lo", F.greatest(F.coalesce("_hi", F.lit(-1)), F.col("_lo") - 1).alias("_hi"))
+    lead = rows.join(inside, "asset_id").filter(F.col("rn").between(F.col("_lo") - long - 1, F.col("_hi") + long)).drop("_first", "_last")
+    reach = lead.filter(F.col("rn") >= F.col("_lo")).groupBy("asset_id").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    fresh = _of(lead.drop("_lo", "_hi"), short, long, size).join(reach, "asset_id").filter(F.col("date") >= F.col("_from")).drop("_from", "_to")
+    last = span.join(reach, "asset_id", "left").select("asset_id", "_first", F.greatest("_last", F.coalesce("_to", "_last")).alias("_to"))
+    kept = old.join(last, "asset_id", "left").join(active, "asset_id").filter(F.col("_first").isNull() | (F.col("date") < F.col("_first")) | (F.col("date") > F.col("_to"))).select(*fresh.columns)
+    return kept.unionByName(fresh)

@@ -78,6 +78,12 @@ QUERIES: dict[str, tuple[str, str]] = {
     "l_gaps": ("", "SELECT s.asset_id::INT AS asset_id, date_id AS date FROM (SELECT asset_id, min(date) AS a, max(date) AS b FROM daily_prices GROUP BY 1) s JOIN date_dim ON date_id BETWEEN a AND b WHERE NOT EXISTS (FROM daily_prices p WHERE p.asset_id = s.asset_id AND p.date = date_id)"),
     "l_gaps_range": ("", "SELECT s.asset_id::INT AS asset_id, date_id AS date FROM (SELECT asset_id, min(date) AS a, max(date) AS b FROM daily_prices GROUP BY 1) s JOIN date_dim ON date_id BETWEEN a AND b AND date_id BETWEEN DATE '1996-01-01' AND DATE '1999-06-30' WHERE NOT EXISTS (FROM daily_prices p WHERE p.asset_id = s.asset_id AND p.date = date_id)"),
     "l_recompute": ("", "SELECT asset_id::INT AS asset_id, date, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in NULLS) + ", row_number() OVER (ORDER BY asset_id, date) AS metric_id FROM daily_metrics"),
+    "l_recompute_tail": ("", "SELECT asset_id::INT AS asset_id, date, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in NULLS) + " FROM daily_metrics"),
+    "l_upsert_months": (
+        "q AS (SELECT * FROM daily_prices WHERE year(date) = 1995 AND quarter(date) = 1)",
+        "SELECT asset_id::INT AS asset_id, date, (CASE WHEN year(date) = 1995 AND quarter(date) = 1 THEN (close * 2)::DECIMAL(20,8) ELSE close END)::DOUBLE AS close FROM daily_prices "
+        "UNION ALL SELECT 9, date, close::DOUBLE FROM q WHERE asset_id = 1",
+    ),
     "l_refused": (BROKEN, "SELECT violated, count(*) AS n, true AS table_kept FROM (SELECT unnest(violations) AS violated FROM broken) GROUP BY violated"),
     "l_diverted": (
         BROKEN,
@@ -102,6 +108,13 @@ QUERIES: dict[str, tuple[str, str]] = {
 }
 
 
+#: The tables with the bars of l_recompute_tail: closes doubled on some days, other days gone.
+CHANGED = BASE.replace("daily_prices AS (", "old_prices AS (", 1).replace("date_dim AS (", """daily_prices AS (
+  SELECT * REPLACE ((CASE WHEN asset_id <= 3 AND date BETWEEN DATE '1996-03-05' AND DATE '1996-03-20' THEN close * 2 ELSE close END)::DECIMAL(20,8) AS close)
+  FROM old_prices WHERE NOT (asset_id = 2 AND date BETWEEN DATE '1997-05-02' AND DATE '1997-05-09')),
+date_dim AS (""", 1)
+
+
 def sql(name: str) -> str:
     more, query = QUERIES[name]
-    return f"WITH {BASE}{', ' + more if more else ''} {query}"
+    return f"WITH {CHANGED if name == 'l_recompute_tail' else BASE}{', ' + more if more else ''} {query}"

@@ -15,8 +15,9 @@ from candela.operators import constraints as C
 from candela.operators import loading as L
 from candela.plans import oracle, quality_oracle
 from candela.plans.analyses import ANALYSES
-from candela.plans.metrics import WATERFALL, metrics
+from candela.plans.metrics import WATERFALL, metrics, refreshed
 from candela.plans.quality import CHECKS
+from candela.sinks import months as by_month
 from candela.sinks import tables as S
 from candela.sources.market import Market, market
 
@@ -64,22 +65,30 @@ def _reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @contextmanager
-def _database(m: Market) -> Iterator[tuple[SparkSession, str, str]]:
-    """A database of its own with assets, calendar, bars and events loaded, dropped at the end; files stay for the frames that read them."""
-    spark, schema = m.bars.sparkSession, f"candela_{uuid.uuid4().hex}"
+def _folder(m: Market) -> Iterator[str]:
+    """A new folder that driver and executors share; its files stay for the frames that read them."""
+    spark = m.bars.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{base.rstrip('/')}/{schema}"
-    S.create(spark, folder, schema)
-    try:
-        for name in ("assets", "date_dim", "daily_prices", "market_events"):
-            S.load(getattr(m, name), name, folder, schema)
-        yield spark, folder, schema
-    finally:
-        S.drop(spark, schema)
+    yield f"{base.rstrip('/')}/candela_{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _database(m: Market) -> Iterator[tuple[SparkSession, str, str]]:
+    """A database of its own with assets, calendar, bars and events loaded, dropped at the end."""
+    spark = m.bars.sparkSession
+    with _folder(m) as folder:
+        schema = folder.rpartition("/")[2]
+        S.create(spark, folder, schema)
+        try:
+            for name in ("assets", "date_dim", "daily_prices", "market_events"):
+                S.load(getattr(m, name), name, folder, schema)
+            yield spark, folder, schema
+        finally:
+            S.drop(spark, schema)
 
 
 def _recompute(m: Market) -> DataFrame:
@@ -124,6 +133,30 @@ def _diverted(m: Market) -> DataFrame:
         return found.select("price_id", "asset_id", "date", F.lit("").alias("violations")).unionByName(bad)
 
 
+def _upsert_months(m: Market) -> DataFrame:
+    """Closes by month on disk: those of 1995's first quarter come again, twice, and a new asset's; then a day that is there is not inserted again."""
+    with _folder(m) as path:
+        by_month.store(_closes(m), path)
+        again = _closes(m).filter((F.year("date") == 1995) & (F.quarter("date") == 1))
+        new = again.withColumn("seq", F.lit(1)).unionByName(again.withColumns({"close": (F.col("close") * 2).cast("decimal(20,8)"), "seq": F.lit(2)}))
+        by_month.upsert_into(path, new.unionByName(again.filter("asset_id = 1").withColumns({"asset_id": F.lit(9), "seq": F.lit(1)})), ["asset_id", "date"], "seq")
+        by_month.upsert_into(path, again.withColumn("close", F.lit(1).cast("decimal(20,8)")), ["asset_id", "date"])
+        return _double(by_month.read(m.bars.sparkSession, path), "close")
+
+
+def _changed_prices(m: Market) -> tuple[DataFrame, DataFrame]:
+    """Bars with closes doubled in March 1996 (assets 1 to 3) and removed on days of May 1997 (asset 2), and the days that changed."""
+    march = (F.col("asset_id") <= 3) & F.col("date").between("1996-03-05", "1996-03-20")
+    gone = (F.col("asset_id") == 2) & F.col("date").between("1997-05-02", "1997-05-09")
+    p = m.daily_prices
+    return p.filter(~gone).withColumn("close", F.when(march, F.col("close") * 2).otherwise(F.col("close")).cast("decimal(20,8)")), p.filter(march | gone).select("asset_id", "date")
+
+
+def _tail(m: Market) -> DataFrame:
+    prices, days = _changed_prices(m)
+    return _double(refreshed(prices, m.assets, m.daily_metrics, days), *WATERFALL)
+
+
 def _defaults(m: Market) -> DataFrame:
     """Bars of each month's first day lack their volume, all lack the time of loading."""
     bars = m.daily_prices.select("asset_id", "date", F.when(F.dayofmonth("date") > 1, F.col("volume_usd")).alias("volume_usd"))
@@ -159,6 +192,8 @@ LOADERS: dict[str, Callable[[Market], DataFrame]] = {
     "l_reject": _reject,
     "l_gaps_range": lambda m: L.gaps(m.daily_prices, start=date(1996, 1, 1), end=date(1999, 6, 30)),
     "l_recompute": _recompute,
+    "l_recompute_tail": _tail,
+    "l_upsert_months": _upsert_months,
     "l_refused": _refused,
     "l_diverted": _diverted,
     "l_active": lambda m: _double(metrics(m.daily_prices, m.assets.withColumn("is_active", F.col("asset_id") % 3 != 0)).select("asset_id", "date", "sma_7"), "sma_7"),

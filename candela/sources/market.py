@@ -147,6 +147,30 @@ class Market:
         return self._named(self.daily_prices)
 
 
+#: By default Spark shuffles a join by asset and day although both sides lie by asset; where no asset has more rows than a task
+#: can take, this setting lets such joins read the tables as they lie.
+LAYOUT = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+class Stored(Market):
+    """The market of tables on disk (candela.sinks.tables): facts are read as they lie there, bucketed by asset and sorted by day, and not kept."""
+
+    @cached_property
+    def daily_prices(self) -> DataFrame:
+        return self.bars
+
+    @cached_property
+    def daily_metrics(self) -> DataFrame:
+        return self.bars.sparkSession.table(f"{self.__dict__['schema']}.daily_metrics")
+
+
+def stored(spark: SparkSession, schema: str) -> Stored:
+    """The market of a database, for all analyses and checks."""
+    m = Stored(*(spark.table(f"{schema}.{t}") for t in ("assets", "market_events", "daily_prices")))
+    m.__dict__["schema"] = schema
+    return m
+
+
 _markets: dict[tuple[str, str], tuple[int, Market]] = {}
 
 
