@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import hash128, new_path, packed, table, written
+from candela.llm.common import discard, hash128, new_path, packed, table, written
 
 LIMIT = 2048
 COUNTS = "text_digest binary, n_tokens long"
-STORED = COUNTS + ", tokenizer_digest string, shard string"
+STORED = COUNTS + ", tokenizer_digest string, level int, shard string"
+#: Hex digits of a shard at first; with more than about SHARD_ROWS rows in a shard, new counts go to shards of a digit more.
+LEVEL, SHARD_ROWS = 2, 100_000
+#: Shards of a level that a call names; a call that needs more reads the level.
+NAMED = 4096
 #: Words whose counts a task remembers, and the longest such word.
 WORDS, WORD_CHARS = 200_000, 64
 
@@ -93,18 +97,70 @@ def _encode(vocabulary: str):
     return run
 
 
-def _shard():
-    return F.lower(F.hex(F.substring("text_digest", 1, 1))).alias("shard")
+def _shard(level: int):
+    return F.lower(F.substring(F.hex("text_digest"), 1, level)).alias("shard")
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """The values in the names of a folder's subfolders `column=value`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(x.partition("=")[2] for x in found if "=" in x)
+
+
+def _levels(spark: SparkSession, cache: str, version: str) -> list[int]:
+    return sorted(map(int, _names(spark, f"{cache}/tokenizer_digest={version}")))
+
+
+def _level(spark: SparkSession, cache: str, version: str, more: int) -> int:
+    """The level to which `more` rows go. Digests are even, so one shard tells how full a level is; a level's shards hold 16 times SHARD_ROWS at most."""
+    top = max(_levels(spark, cache, version), default=LEVEL)
+    shards = _names(spark, f"{cache}/tokenizer_digest={version}/level={top}")
+    held = spark.read.schema(COUNTS).parquet(f"{cache}/tokenizer_digest={version}/level={top}/shard={shards[0]}").count() * len(shards) if shards else 0
+    while (held + more) >> (4 * top) > SHARD_ROWS:
+        top, held = top + 1, 0
+    return top
 
 
 def _stored(spark: SparkSession, cache: str, version: str, digests: DataFrame) -> DataFrame:
-    """The cache's counts of the digests. Its folders are tokenizer and shard, so a call reads only the shards that it needs."""
-    spark.createDataFrame([], STORED).write.mode("append").partitionBy("tokenizer_digest", "shard").parquet(cache)
-    shards = [x["shard"] for x in digests.select(_shard()).distinct().collect()]  # 256 at most
-    of = spark.read.schema(STORED).parquet(cache).filter((F.col("tokenizer_digest") == version) & F.col("shard").isin(shards))
+    """The cache's counts of the digests. Its folders are tokenizer, level and shard, so a call reads only the shards that it needs."""
+    spark.createDataFrame([], STORED).write.mode("append").partitionBy("tokenizer_digest", "level", "shard").parquet(cache)
+    needed = F.lit(False)
+    for level in _levels(spark, cache, version):
+        shards = [x["shard"] for x in digests.select(_shard(level)).distinct().limit(NAMED + 1).collect()]
+        needed = needed | ((F.col("level") == level) & (F.col("shard").isin(shards) if len(shards) <= NAMED else F.lit(True)))
+    of = spark.read.schema(STORED).parquet(cache).filter((F.col("tokenizer_digest") == version) & needed)
     return of.select("text_digest", "n_tokens").join(digests, "text_digest", "left_semi").groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _append(new: DataFrame, cache: str, version: str) -> None:
+    """Stores counts, a file a shard, sorted by digest."""
+    level = _level(new.sparkSession, cache, version, new.count())
+    rows = new.select("text_digest", "n_tokens", F.lit(version).alias("tokenizer_digest"), F.lit(level).alias("level"), _shard(level))
+    rows.repartition("shard").sortWithinPartitions("shard", "text_digest").write.mode("append").partitionBy("tokenizer_digest", "level", "shard").parquet(cache)
+
+
+def compact(spark: SparkSession, cache: str, most: int = 16) -> int:
+    """Merges the files of shards that have more than `most` of them, and drops what they hold twice; the number of such shards.
+
+    Calls append a file to each shard that they add to, so a cache that many small calls share wants this now and then. Other shards
+    are not read or written. No call may append meanwhile; a run that fails on the way can be repeated.
+    """
+    keys = ("tokenizer_digest", "level", "shard")
+    files = spark.read.schema(STORED).parquet(cache).select(*keys, F.input_file_name().alias("file")).groupBy(*keys).agg(F.count_distinct("file").alias("files"))
+    many = files.filter(F.col("files") > most).collect()  # names of folders
+    if many:
+        these = F.lit(False)
+        for version, level in sorted({x[:2] for x in many}):
+            these = these | ((F.col("tokenizer_digest") == version) & (F.col("level") == level) & F.col("shard").isin([x["shard"] for x in many if x[:2] == (version, level)]))
+        merged = written(spark.read.schema(STORED).parquet(cache).filter(these).groupBy(*keys, "text_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-merged")
+        put = merged.repartition(*keys).sortWithinPartitions(*keys, "text_digest")
+        put.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(cache)
+        discard(merged)
+    return len(many)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens and over_limit per row of docs, each row once; null is an empty text with no tokens. An empty table gives an empty one.
 
@@ -126,8 +182,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     misses = rows.select("k1", "k2", "text").join(chosen, ["k1", "k2"])
     counted = misses.select("text_digest", "text").mapInArrow(_encode(vocabulary.decode()), COUNTS)
     new = written(counted.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-new")
-    to_store = new.select("text_digest", "n_tokens", F.lit(version).alias("tokenizer_digest"), _shard())
-    to_store.repartition("shard").write.mode("append").partitionBy("tokenizer_digest", "shard").parquet(cache)
+    _append(new, cache, version)
     return thin.join(hits.unionByName(new), "text_digest").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -151,6 +151,33 @@ def test_token_cache_is_read_and_written_by_need(spark):
     assert "tokenizer_digest" in filters and "shard" in filters and set(re.findall(r"\b[0-9a-f]{2}\b", filters)) == shards
 
 
+def test_token_cache_grows_by_levels_and_is_compacted(spark, monkeypatch):
+    """A full level passes new counts on to shards of a digit more; all levels are read. Shards of many files are merged, others are left."""
+    import public_tokenizers
+
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "cache")
+    monkeypatch.setattr(T, "SHARD_ROWS", 0)
+    version = T.tokenizer_digest(open(path, "rb").read())
+    df = spark.createDataFrame([(i, f"text number {i} of many") for i in range(300)], "doc_id long, text string")
+    T.token_counts(df.filter("doc_id < 10"), path, cache)
+    got = {r.id: r.n_tokens for r in T.token_counts(df, path, cache).collect()}
+    assert T._levels(spark, cache, version) == [2, 3] and len(got) == 300 and spark.read.parquet(cache).count() == 300
+    # what a call of few texts reads is the shards of its digests, one a level
+    digest = df.filter("doc_id = 7").select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_digest"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = T._stored(spark, cache, version, digest)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    hex_ = digest.first().text_digest.hex()
+    assert f"= {hex_[:2]})" in plan and f"= {hex_[:3]})" in plan and T._stored(spark, cache, version, digest).count() == 1
+    before = set(spark.read.parquet(cache).inputFiles())
+    for i in range(3):  # the same count stored again and again, as by calls at the same time
+        again = spark.createDataFrame([(digest.first().text_digest, got[7])], "text_digest binary, n_tokens long")
+        T._append(again, cache, version)
+    assert T.compact(spark, cache, most=2) == 1 and T.compact(spark, cache, most=2) == 0
+    assert before <= set(spark.read.parquet(cache).inputFiles()) and spark.read.parquet(cache).count() <= 301
+    assert {r.id: r.n_tokens for r in T.token_counts(df, path, cache).collect()} == got
+
+
 # ---- decontamination
 
 
