@@ -108,6 +108,8 @@ QUERIES: dict[str, tuple[str, str]] = {
 }
 
 
+QUERIES["l_load_report"] = QUERIES["l_null_waterfall"]
+
 #: The tables with the bars of l_recompute_tail: closes doubled on some days, other days gone.
 CHANGED = BASE.replace("daily_prices AS (", "old_prices AS (", 1).replace("date_dim AS (", """daily_prices AS (
   SELECT * REPLACE ((CASE WHEN asset_id <= 3 AND date BETWEEN DATE '1996-03-05' AND DATE '1996-03-20' THEN close * 2 ELSE close END)::DECIMAL(20,8) AS close)

@@ -96,8 +96,18 @@ def _recompute(m: Market) -> DataFrame:
     with _database(m) as (spark, folder, schema):
         prices, known = (spark.table(f"{schema}.{x}") for x in ("daily_prices", "assets"))
         S.load(metrics(prices.filter("asset_id < 3"), known), "daily_metrics", folder, schema)
-        found = S.load(metrics(prices, known), "daily_metrics", folder, schema)
-        return _double(found, *WATERFALL)
+        return _double(recompute(spark, folder, schema)[0], *WATERFALL)
+
+
+def recompute(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The metrics of a database's bars, all computed anew and loaded, and the report on what was loaded: null counts of each asset, PASS or WARN."""
+    found = S.load(metrics(spark.table(f"{schema}.daily_prices"), spark.table(f"{schema}.assets")), "daily_metrics", folder, schema)
+    return found, L.null_report(found, WATERFALL)
+
+
+def _load_report(m: Market) -> DataFrame:
+    with _database(m) as (spark, folder, schema):
+        return recompute(spark, folder, schema)[1]
 
 
 def _bad_bars(m: Market) -> DataFrame:
@@ -192,6 +202,7 @@ LOADERS: dict[str, Callable[[Market], DataFrame]] = {
     "l_reject": _reject,
     "l_gaps_range": lambda m: L.gaps(m.daily_prices, start=date(1996, 1, 1), end=date(1999, 6, 30)),
     "l_recompute": _recompute,
+    "l_load_report": _load_report,
     "l_recompute_tail": _tail,
     "l_upsert_months": _upsert_months,
     "l_refused": _refused,
