@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters \x20 and \x09-\x0D, which separate words and are stripped from lines.
@@ -110,6 +111,11 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def with_rest(df: DataFrame, columns: str) -> T.StructType:
+    """A schema of id, the `rest` of df, which is in the form of packed(), and further columns: names in it need no quoting, as they would in DDL."""
+    return T.StructType([T.StructField("id", T.LongType()), df.schema["rest"], *T.StructType.fromDDL(columns).fields])
+
+
 def unpacked(df: DataFrame, like: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of `like` from a frame in the form of packed()."""
     own = {id_col: F.col("id"), text_col: F.col("text")}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import discard, hash128, packed, table, unpacked, written
+from candela.llm.common import discard, hash128, packed, table, unpacked, with_rest, written
 
 LENGTH, CONTEXT = 400, 32
 #: Repeated strings from this length on are reported too, but not removed: passages of 50 words or so.
@@ -435,8 +435,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut(found: DataFrame) -> DataFrame:
     """The rows of repeats() with what is left of their texts, and figures and hash of it."""
-    rest = found.schema["rest"].dataType.simpleString()
-    return found.mapInArrow(_cut, f"id long, rest {rest}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
+    return found.mapInArrow(_cut, with_rest(found, "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import packed, small, table, unpacked, written
+from candela.llm.common import packed, small, table, unpacked, with_rest, written
 
 #: About so many labelled rows at most are used for fitting, chosen by a hash of their ids; the lexicon is counted on all.
 SAMPLE = 20_000
@@ -318,7 +318,7 @@ def _scores(model: dict):
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs in the form of packed() with score, from 0 to 1; null is an empty text. Each row gives a row, repeated rows too; an empty table gives none."""
     rows = packed(docs, id_col, text_col)
-    return rows.mapInArrow(_scores(model), f"id long, rest {rows.schema['rest'].dataType.simpleString()}, text string, score double")
+    return rows.mapInArrow(_scores(model), with_rest(rows, "text string, score double"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
