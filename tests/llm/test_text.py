@@ -33,7 +33,7 @@ SF = "/root/testdata/sf0.001"
 def test_matches_sql(spark, name):
     df = QUERIES[name](spark, SF)
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     found = c.execute(SQL[name])
     assert rows(df.columns, df.collect()) == rows([x[0] for x in found.description], found.fetchall())
