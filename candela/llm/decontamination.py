@@ -57,8 +57,9 @@ def found_items(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PE
     """k1, k2 (a hash of id and text), id, item_id, n, shared: the pairs with 100 * shared >= percent * n.
 
     n are the item's distinct k-word shingles, shared those that the document has too. An item with fewer than k
-    words is one shingle, of all its words; an item without words is never found; null texts are empty. Each pair is there once, for repeated rows and repeated items too. Empty tables on
-    either side give none.
+    words is one shingle, of all its words; an item without words is never found; null texts are empty. Each pair is there
+    once, for repeated rows and repeated items too. Empty tables on either side give none. Very long texts are searched whole;
+    further columns on either side are left out.
     """
     sketch = written(sketches(items, k, percent, item_col, item_text_col), "bench-sketches")
     # size classes by powers of two: at most 32 cutoffs, each of the items that the class's largest documents can contain

@@ -21,7 +21,7 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     A line's key is the line without spaces at its ends, A-Z lower-cased. Keys of at least min_chars characters found in
     at least min_docs documents lose all their lines, but for the document with the smallest id. Null or empty text is one
     empty line. A null id is one document, below all others; rows with the same id are one document; repeated rows
-    lose the same lines. An empty table gives an empty one.
+    lose the same lines. An empty table gives an empty one. Very long texts are split whole; further columns are in `rest`.
     """
     k1, k2 = hash128(F.col("id"), F.col("text"))
     rows = packed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"k1": k1, "k2": k2})

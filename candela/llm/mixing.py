@@ -54,7 +54,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Null texts have size 0. A null source is a source of its own, the last. Reruns agree: the order is by source, size and
     id, the offset a hash of seed and source; sums are exact. Rows with equal id and size may swap their copies. If all
     sizes of a source are 0 its target is 0 and it gives no copies. An empty table gives an empty one. with_text=False
-    leaves the texts out once their words are counted.
+    leaves the texts out once their words are counted. Very long texts are counted whole; further columns are in `rest`.
     """
     rows = packed(docs, id_col, text_col).withColumn("source", F.col("rest").getField(source_col).cast("string")).withColumn("size", words(F.col("text")))
     if not with_text:

@@ -435,12 +435,16 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles; component_id is the smallest
     id reachable by links. Rows without words (null, empty, spaces) link with nothing. Repeated rows are copies of each
     other. A null id is in its component but never its smallest, unless all are null. An empty table gives an empty one.
+    Very long texts are compared whole; further columns are left out.
     """
     return Join(packed(docs, id_col, text_col), k, percent).components()
 
 
 def ngram_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, the one with the least id (null last) and then hash; rows without words all stay."""
+    """docs with one row of each component, the one with the least id (null last) and then hash; rows without words all stay.
+
+    Further columns stay as they are, texts of any length whole; see ngram_components().
+    """
     found = ngram_components(docs, k, percent, id_col, text_col)
     first = found.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "k1", "k2", "n")).alias("first")).select("first.k1", "first.k2", "first.n")
     stays = first.union(found.filter("n = 0").select("k1", "k2", "n").distinct())

@@ -316,7 +316,10 @@ def _scores(model: dict):
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs in the form of packed() with score, from 0 to 1; null is an empty text. Each row gives a row, repeated rows too; an empty table gives none."""
+    """Rows of docs in the form of packed() with score, from 0 to 1; null is an empty text.
+
+    Each row gives a row, repeated rows too; an empty table gives none. Very long texts are scored whole; further columns are in `rest`.
+    """
     rows = packed(docs, id_col, text_col)
     return rows.mapInArrow(_scores(model), with_rest(rows, "text string, score double"))
 

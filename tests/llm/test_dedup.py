@@ -80,6 +80,16 @@ def test_exact_keeps_columns_and_one_of_repeated_rows(spark):
     assert E.exact_dedup(empty(spark)).count() == 0
 
 
+def test_an_id_with_different_texts(spark):
+    """Rows of one id are one document for lines, and rows of their own for whole texts."""
+    t = [(1, "a line of its own\nshared by rows of one id"), (1, "shared by rows of one id"), (2, "a line of its own"), (3, "Other text"), (3, "another text"), (4, "OTHER text")]
+    df = spark.createDataFrame(t, "doc_id long, text string").repartition(3)
+    lines = sorted((r.doc_id, r.text) for r in L.line_dedup(df).collect())
+    assert lines == sorted([t[0], t[1], (2, ""), t[3], t[4], (4, "")])  # the smallest id keeps its lines
+    kept = sorted((r.doc_id, r.text) for r in E.exact_dedup(df).collect())
+    assert kept == sorted([t[0], t[1], t[2], t[4], t[5]])
+
+
 def test_equal_digests_compare_contents():
     t = E.Table()
     for i, c in enumerate([b"a", b"b", b"a"]):
