@@ -3,11 +3,13 @@
 A suffix array of a corpus is one object; this is its work cut into pieces that Spark can deal out. The anchor of a string of
 `length` bytes is the place in it whose hash of the next CONTEXT bytes is smallest. Equal strings have the same anchor, so
 suffixes need to be sorted only at anchors, and only among anchors with equal contexts. An anchor's slice is the bytes of the
-strings that it is the anchor of. Per context, deep-shallow sorting orders the texts after the anchors: multikey quicksort to
+strings that it is the anchor of. Short contexts recur by chance, the more so the larger the corpus. So a string's anchor lies in
+the one or the other half of its possible places, and for each half there is a piece of bytes around the anchor that all strings
+of that half hold: only anchors with an equal piece are sorted together. Per piece, deep-shallow sorting orders the texts after the anchors: multikey quicksort to
 a shallow depth, then a blind trie for each group whose common prefix goes deeper. The texts before the anchors are sorted the
 same way, reversed. The two orders and their common prefixes tell which strings occur elsewhere.
 
-A context with very many different slices is split by further bytes. All its slices are compared with one of them, the
+A piece with very many different slices is split by further bytes. All its slices are compared with one of them, the
 leader. Two slices that agree further with each other than with the leader, on one side of the anchor, part from the leader at
 the same byte there and go on alike; so the slices are dealt out twice, by the byte at which they part before the anchor and by
 that after it, and such groups are sorted, or split again. What two slices share without either is no more than each shares
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.llm.common import discard, hash128, packed, table, unpacked, with_rest, written
@@ -84,6 +87,14 @@ def _window_min(keys: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(right[: n - window + 1], left[window - 1 : n])
 
 
+def pieces(length: int, context: int) -> list[tuple[int, int]]:
+    """Bytes before an anchor and from it on that two anchors have in common if a string of `length` bytes around them is the
+    same: one piece for the strings that start close before the anchor, one for those that start further before it."""
+    most = length - context
+    half = most // 2 + 1
+    return [(0, length - half + 1), (half, context)]
+
+
 # ---- deep-shallow sorting
 
 
@@ -155,7 +166,7 @@ def blind_trie(strings: list[bytes], group: list[int]) -> list[int]:
     return out
 
 
-# ---- what repeats around the anchors of one context
+# ---- what repeats around the anchors of one piece
 
 
 def covered(slices: list[tuple[bytes, bytes, int]], length: int = LENGTH, passage: int = LENGTH) -> list[tuple[int, int, int, int]]:
@@ -206,8 +217,9 @@ def covered(slices: list[tuple[bytes, bytes, int]], length: int = LENGTH, passag
 # ---- the tasks
 
 
-ANCHORS = "k1 long, k2 long, pos long, ctx long, s1 long, s2 long, lb long, la long"
-SLICE = ["ctx", "s1", "s2"]
+ANCHORS = "k1 long, k2 long, pos long, more array<long>, ctx long, s1 long, s2 long, lb long, la long, p1 long, p2 long"
+#: A slice is known by the first place where it is.
+SLICE = ["k1", "k2", "pos"]
 
 
 def _fields(schema: str) -> list[str]:
@@ -220,36 +232,59 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _anchors(lengths: tuple[int, ...], context: int):
-    """Each anchor with a 128-bit hash of its slice and of its place in it."""
+    """Each slice of a text with its anchor, the further places where the text has it (null: none), a 128-bit hash of it and of the
+    anchor's place in it, and hashes of its pieces (null: not in the slice)."""
+    around = pieces(lengths[0], context)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(10)]
+            missing: list[list] = [[], []]
+            further: list = []
             for k1, k2, text in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "text")), strict=True):
                 data = (text or "").encode()
                 at, ctx, start, end = anchors(data, lengths, context)
                 view = memoryview(data)
-                digests = b"".join([xxhash.xxh3_128_digest(view[a:b], x) for a, b, x in zip(start.tolist(), end.tolist(), (at - start).tolist(), strict=True)])
-                s = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                for col, x in zip(cols, (np.full(len(at), k1), np.full(len(at), k2), at, ctx, s[:, 0], s[:, 1], at - start, end - at), strict=True):
+                digests = [xxhash.xxh3_128_digest(view[a:b], x) for a, b, x in zip(start.tolist(), end.tolist(), (at - start).tolist(), strict=True)]
+                more: list = [None] * len(at)
+                if len(set(digests)) < len(at):
+                    places: dict[bytes, list[int]] = {}
+                    for i, x in enumerate(digests):
+                        places.setdefault(x, []).append(i)
+                    own = [x[0] for x in places.values()]
+                    more = [at[x[1:]].tolist() if len(x) > 1 else None for x in places.values()]
+                    at, ctx, start, end = (x[own] for x in (at, ctx, start, end))
+                    digests = list(places)
+                s = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                hashes = []
+                for side, (before, after) in enumerate(around):
+                    first, last = at - before, at + after
+                    inside = (start <= first) & (last <= end)
+                    missing[side].append(~inside)
+                    hashes.append(np.zeros(len(at), np.int64))
+                    hashes[-1][inside] = np.frombuffer(b"".join([xxhash.xxh3_64_digest(view[a:b], side) for a, b in zip(first[inside].tolist(), last[inside].tolist(), strict=True)]), "<i8")
+                for col, x in zip(cols, (np.full(len(at), k1), np.full(len(at), k2), at, ctx, s[:, 0], s[:, 1], at - start, end - at, *hashes), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], names=_fields(ANCHORS))
+                further += more
+            masks = [None] * 8 + [np.concatenate(x) if x else None for x in missing]
+            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64(), mask=m) for c, m in zip(cols, masks, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays[:3], pa.array(further, pa.list_(pa.int64())), *arrays[3:]], names=_fields(ANCHORS))
 
     return run
 
 
 #: g1, g2: slices with equal ones are sorted together.
-SLICES = "g1 long, g2 long, ctx long, s1 long, s2 long, n long, before binary, after binary"
+SLICES = "g1 long, g2 long, k1 long, k2 long, pos long, n long, before binary, after binary"
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for text, found in zip(*(batch[c].to_pylist() for c in ("text", "found")), strict=True):
+        for k1, k2, text, found in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "text", "found")), strict=True):
             data = text.encode()
             for x in found:
                 at = x["pos"]
-                rows.append((x["ctx"], 0, x["ctx"], x["s1"], x["s2"], x["n"], data[at - x["lb"] : at], data[at : at + x["la"]]))
+                rows.append((x["piece"], 0, k1, k2, at, x["n"], data[at - x["lb"] : at], data[at : at + x["la"]]))
             if len(rows) >= 8192:
                 yield _rows(rows, SLICES)
                 rows = []
@@ -257,7 +292,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(rows, SLICES)
 
 
-COVER = "ctx long, s1 long, s2 long, lo long, hi long, low long, high long"
+COVER = "k1 long, k2 long, pos long, lo long, hi long, low long, high long"
 
 
 def _cover(length: int, passage: int):
@@ -293,7 +328,7 @@ SPLIT = SLICES + ", side long, lo long, hi long, low long, high long"
 
 
 def _against_leader(length: int, passage: int):
-    """Rows with a slice and its group's leader (l1, l2, ln, l_before, l_after).
+    """Rows with a slice and its group's leader (l1, l2, l3, ln, l_before, l_after).
 
     side 0: what the slice shares with the leader, and the leader with its slices; side 1, 2: the slice in its group by the
     byte at which it parts from the leader before or after the anchor.
@@ -306,20 +341,20 @@ def _against_leader(length: int, passage: int):
         for batch in batches:
             rows: list[tuple] = []
             leaders: dict[tuple, tuple] = {}
-            for g1, g2, ctx, s1, s2, n, before, after, l1, l2, ln, l_before, l_after in zip(*(batch[c].to_pylist() for c in (*_fields(SLICES), "l1", "l2", "ln", "l_before", "l_after")), strict=True):
-                if (s1, s2) == (l1, l2):
+            for g1, g2, k1, k2, pos, n, before, after, l1, l2, l3, ln, l_before, l_after in zip(*(batch[c].to_pylist() for c in (*_fields(SLICES), "l1", "l2", "l3", "ln", "l_before", "l_after")), strict=True):
+                if (k1, k2, pos) == (l1, l2, l3):
                     continue
                 l, r = common(before[::-1], l_before[::-1]), common(after, l_after)
                 found = spans(l, r)
                 if found[3]:
                     if n == 1:
-                        rows.append((0, 0, ctx, s1, s2, n, None, None, 0, *found))
+                        rows.append((0, 0, k1, k2, pos, n, None, None, 0, *found))
                     if ln == 1:
-                        leaders[ctx, l1, l2] = tuple(map(max, found, leaders.get((ctx, l1, l2), found)))
+                        leaders[l1, l2, l3] = tuple(map(max, found, leaders.get((l1, l2, l3), found)))
                 for side, depth, byte in ((1, l, before[-1 - l : len(before) - l]), (2, r, after[r : r + 1])):
                     if byte:
                         d = xxhash.xxh3_128_intdigest(b"%d %d %d %d %d" % (g1, g2, side, depth, byte[0]))
-                        rows.append(((d >> 64) - 2**63, d % 2**64 - 2**63, ctx, s1, s2, n, before, after, side, 0, 0, 0, 0))
+                        rows.append(((d >> 64) - 2**63, d % 2**64 - 2**63, k1, k2, pos, n, before, after, side, 0, 0, 0, 0))
                 if len(rows) >= 8192:
                     yield _rows(rows, SPLIT)
                     rows = []
@@ -338,15 +373,15 @@ def _crowded(slices: DataFrame, length: int, passage: int, group: int) -> DataFr
     """The cover of distinct slices of groups with more than `group` of them. Each round, slices share a byte more at least."""
     todo, parts, used = slices, [], []
     while True:
-        sizes = written(todo.groupBy("g1", "g2").agg(F.count("*").alias("slices"), F.min(F.struct("s1", "s2")).alias("lead")).filter("slices > 1"), "suffix-sizes")
+        sizes = written(todo.groupBy("g1", "g2").agg(F.count("*").alias("slices"), F.min(F.struct(*SLICE)).alias("lead")).filter("slices > 1"), "suffix-sizes")
         used.append(sizes)
         several = todo.join(sizes, ["g1", "g2"])
         parts.append(_sorted_groups(several.filter(F.col("slices") <= group), length, passage))
         if sizes.filter(F.col("slices") > group).isEmpty():
             break
         big = written(several.filter(F.col("slices") > group), "suffix-big")
-        leads = big.filter((F.col("s1") == F.col("lead.s1")) & (F.col("s2") == F.col("lead.s2")))
-        leads = written(leads.select("g1", "g2", F.col("s1").alias("l1"), F.col("s2").alias("l2"), F.col("n").alias("ln"), F.col("before").alias("l_before"), F.col("after").alias("l_after")), "suffix-leaders")
+        leads = big.filter(F.struct(*SLICE) == F.col("lead"))
+        leads = written(leads.select("g1", "g2", F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("pos").alias("l3"), F.col("n").alias("ln"), F.col("before").alias("l_before"), F.col("after").alias("l_after")), "suffix-leaders")
         split = written(big.select(*_fields(SLICES)).join(leads, ["g1", "g2"]).mapInArrow(_against_leader(length, passage), SPLIT), "suffix-split")
         parts.append(split.filter("side = 0").select(*_fields(COVER)))
         used += [big, leads, split]
@@ -373,37 +408,39 @@ def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, c
     lengths = (passage, length) if passage < length else (length,)
     k1, k2 = hash128(F.col("id"), F.col("text"))
     rows = packed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"k1": k1, "k2": k2})
-    every = written(rows.select("k1", "k2", "text").mapInArrow(_anchors(lengths, context), ANCHORS), "suffix-anchors")
-    twice = written(every.groupBy("ctx").agg(F.count("*").alias("n")).filter("n > 1").select("ctx"), "suffix-contexts")
-    found = written(every.join(twice, "ctx"), "suffix-found")
-    discard(every, twice)
-    slices = written(found.groupBy(*SLICE).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lb", "la")).alias("one")), "suffix-slices")
-    # written, so that a hot context's partition of the join can be split
-    several = written(slices.groupBy("ctx").agg(F.count("*").alias("slices")).filter("slices > 1"), "suffix-several")
-    uncertain = written(slices.join(several, "ctx"), "suffix-uncertain")
+    every = rows.select("k1", "k2", "text").mapInArrow(_anchors(lengths, context), ANCHORS).repartition("ctx")
+    # equal slices and equal pieces are at equal contexts, so one shuffle serves all counts; a text has a row a slice
+    alike = lambda *c: W.partitionBy("ctx", *c)
+    places = F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))
+    every = every.withColumns({"n": F.sum(places).over(alike("s1", "s2")), "first": F.row_number().over(alike("s1", "s2").orderBy(*SLICE)) == 1})
+    every = every.withColumns({f"m{i}": F.when(F.col(f"p{i}").isNotNull(), F.sum(F.col("first").cast("int")).over(alike(f"p{i}"))) for i in (1, 2)})
+    found = written(every.filter("n > 1 or m1 > 1 or m2 > 1").drop("ctx", "s1", "s2"), "suffix-found")
+    # each slice once for each of its pieces that different slices have
+    uncertain = found.filter("first").select(*SLICE, "n", "lb", "la", F.inline(F.array(*(F.struct(F.col(f"p{i}").alias("piece"), F.col(f"m{i}").alias("slices")) for i in (1, 2))))).filter("slices > 1")
 
     def with_bytes(which: DataFrame) -> DataFrame:
-        places = which.select(*SLICE, "n", "one.*").groupBy("k1", "k2").agg(F.collect_list(F.struct(*SLICE, "n", "pos", "lb", "la")).alias("found"))
+        wanted = which.groupBy("k1", "k2").agg(F.collect_list(F.struct("piece", "n", "pos", "lb", "la")).alias("found"))
         # a row of docs that is there more than once gives its slices as often
-        return rows.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("text", "found").mapInArrow(_slices, SLICES)
+        return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(_slices, SLICES)
 
     cover = _sorted_groups(with_bytes(uncertain.filter(F.col("slices") <= group)), length, passage)
     crowded, crowd = uncertain.filter(F.col("slices") > group), []
     if not crowded.isEmpty():
-        many = written(with_bytes(crowded).dropDuplicates(SLICE), "suffix-crowd")
+        many = written(with_bytes(crowded).dropDuplicates(["g1", *SLICE]), "suffix-crowd")
         crowd = [many, _crowded(many, length, passage, group)]
         cover = cover.unionByName(crowd[1])
+    cover = written(cover, "suffix-cover")
+    discard(*crowd)
     # a slice that occurs twice is covered whole; of the others, what covered() or the leaders have found
-    long = F.when(F.col("one.lb") + F.col("one.la") >= length, 1).otherwise(0)
-    known = slices.filter("n > 1").select(*SLICE, (long * F.col("one.lb")).alias("lo"), (long * F.col("one.la")).alias("hi"), F.col("one.lb").alias("low"), F.col("one.la").alias("high"))
-    cover = written(cover.unionByName(known), "suffix-cover")
-    discard(slices, several, uncertain, *crowd)
+    long = F.when(F.col("lb") + F.col("la") >= length, 1).otherwise(0)
+    every_place = F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<long>")))).alias("pos")
+    known = found.filter("n > 1").select("k1", "k2", every_place, (long * F.col("lb")).alias("lo"), (long * F.col("la")).alias("hi"), F.col("lb").alias("low"), F.col("la").alias("high"))
 
     def runs(left: str, right: str):
         run = F.struct((F.col("pos") - F.col(left)).alias("start"), (F.col("pos") + F.col(right)).alias("end"))
         return F.array_sort(F.collect_set(F.when(F.col(right) > 0, run)))
 
-    spans = found.join(cover, SLICE).groupBy("k1", "k2").agg(runs("lo", "hi").alias("spans"), runs("low", "high").alias("passages"))
+    spans = cover.unionByName(known).groupBy("k1", "k2").agg(runs("lo", "hi").alias("spans"), runs("low", "high").alias("passages"))
     return rows.join(spans, ["k1", "k2"], "left").select("id", "text", "rest", "spans", "passages")
 
 

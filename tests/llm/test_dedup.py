@@ -297,6 +297,18 @@ def test_one_text_in_very_many_rows(spark):
     assert sum(r["count"] for r in got) == 20_000 and all(r.n_spans == 1 and n <= r.n_removed <= n + 16 for r in got)
 
 
+def test_contexts_that_recur_by_chance(spark, monkeypatch):
+    """Texts of few words have many contexts in common and no passage: none of their anchors is written for sorting."""
+    r, kept = random.Random(8), {}
+    phrases = [f"{x} {y} and so it was said by them" for x in ("one", "two", "three", "four") for y in ("day", "night", "year", "hour")]
+    t = [(i, " ".join(r.choice(phrases) + str(r.randrange(10)) for _ in range(40))) for i in range(200)]
+    inner = S.written
+    monkeypatch.setattr(S, "written", lambda df, label: kept.setdefault(label, inner(df, label)))
+    monkeypatch.setattr(S, "discard", lambda *tables: None)
+    got = S.cut(S.repeats(spark.createDataFrame(t, "doc_id long, text string"))).filter("n_repeated > 0").count()
+    assert got == 0 and kept["suffix-found"].count() == 0
+
+
 def test_suffix_dedup_odd(spark):
     out = S.suffix_dedup(repeated(spark), 80)
     assert out.columns == docs(spark).columns and out.count() == repeated(spark).count()
