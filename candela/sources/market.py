@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.functions.core import few, small
+from candela.functions.core import SMALL, few, small
 from candela.operators.constraints import with_defaults
 from candela.operators.loading import calendar
 from candela.plans.metrics import metrics
@@ -79,16 +79,27 @@ def market_events(spark: SparkSession) -> DataFrame:
 
 
 def daily_prices(lineitem: DataFrame) -> DataFrame:
-    """One aggregation: the first and last price by the rows' full key, the extremes, and the last row's volume."""
+    """The first and last price by the rows' full key, the extremes, and the last row's volume.
+
+    The full key is a struct, over which Spark aggregates by sorting all rows of a task. So a hash aggregation finds each bar's first and
+    last order, and only the rows of those are compared by the full key. There are 8 bars a day at most, which are broadcast if
+    their days are few.
+    """
     day = F.col("l_shipdate").cast("date")
     asset = (F.pmod(F.col("l_suppkey"), F.lit(len(ASSETS))) + 1).cast("int")
     wave = 1000 + F.abs(F.pmod(F.datediff(day, F.lit("1995-01-01").cast("date")) + 97 * asset, F.lit(800)) - 400)
     level = F.element_at(F.array(*map(F.lit, LEVELS)), asset)
     price = (level * wave / F.lit(1000.0) + F.col("l_extendedprice") / F.lit(1000.0)).cast(PRICE)
     order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity")
-    rows = lineitem.select(asset.alias("asset_id"), day.alias("date"), price.alias("p"), (F.col("l_quantity") * F.col("l_extendedprice")).cast(AMOUNT).alias("v"), order.alias("o"))
-    return rows.groupBy("asset_id", "date").agg(
-        F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"),
+    # a null order is the first, as in the struct
+    number = F.coalesce(F.col("l_orderkey").cast("long"), F.lit(-(2**63)))
+    rows = lineitem.select(asset.alias("asset_id"), day.alias("date"), price.alias("p"), (F.col("l_quantity") * F.col("l_extendedprice")).cast(AMOUNT).alias("v"), order.alias("o"), number.alias("k"))
+    bars = rows.groupBy(F.col("asset_id").alias("a"), F.col("date").alias("d")).agg(F.max("p").alias("high"), F.min("p").alias("low"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    if few(lineitem.select(day.alias("d")).distinct(), SMALL // len(ASSETS)):
+        bars = F.broadcast(bars)
+    ends = rows.join(bars, F.col("asset_id").eqNullSafe(F.col("a")) & F.col("date").eqNullSafe(F.col("d"))).filter("k = lo or k = hi")
+    return ends.groupBy("asset_id", "date").agg(
+        F.min_by("p", "o").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("p", "o").alias("close"),
         F.max_by("v", "o").alias("volume_usd"), F.lit(None).cast(AMOUNT).alias("market_cap_usd"),
     )
 
