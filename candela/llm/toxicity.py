@@ -273,6 +273,23 @@ def _matrix(votes: pa.Table, n: int) -> np.ndarray:
     return x
 
 
+VOTES = "y int, at array<int>, n array<int>, marks array<boolean>, words long"
+
+
+def _fit(n: int):
+    """Weights and bias from the votes of the whole sample, which one task holds; nothing where there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [b for b in batches if b.num_rows]
+        if sample:
+            votes = pa.Table.from_batches(sample)
+            x, y = _matrix(votes, n), votes["y"].to_numpy()
+            w, b = linear(x, posterior(_voters(x[:, :-1] > 0, y, n), y))
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([b], pa.float64())], names=["weights", "bias"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """The model: names of its entries, weights, bias. labels: id_col and toxic, of which rows outside the held-out fold are used.
 
@@ -288,14 +305,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = packed(docs, id_col, text_col).select("id", "text")
     names = lexicon(texts.join(small(y), "id"))
     rows = written(texts.join(F.broadcast(chosen), "id"), "toxic-sample")
-    votes = rows.select("text", "y").mapInArrow(_votes(names), "y int, at array<int>, n array<int>, marks array<boolean>, words long").toArrow()
-    if not votes.num_rows:
+    votes = written(rows.select("text", "y").mapInArrow(_votes(names), VOTES), "toxic-votes")
+    # the sample is bounded, so that a task can hold it; the driver gets weights only
+    fitted = votes.coalesce(1).mapInArrow(_fit(len(names)), "weights array<double>, bias double").collect()
+    if not fitted:
         return {"names": [], "weights": [0.0] * (len(PATTERNS) + 1), "bias": -4.0}
-    x = _matrix(votes, len(names))
-    y = votes["y"].to_numpy()
-    p = posterior(_voters(x[:, :-1] > 0, y, len(names)), y)
-    w, b = linear(x, p)
-    return {"names": names, "weights": w.tolist(), "bias": b}
+    return {"names": names, "weights": list(fitted[0].weights), "bias": fitted[0].bias}
 
 
 def _scores(model: dict):

@@ -4,12 +4,14 @@ import base64
 import collections
 import functools
 import hashlib
+import os
 import random
 import re
 import time
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from helpers import rows
 from odd import docs, empty, repeated, texts, words
@@ -437,6 +439,13 @@ def simulated(n=6000, seed=0):
     return kind, rates, np.concatenate([v, copies], 1).astype(np.uint8)
 
 
+def test_the_model_is_not_fitted_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(V, "linear", lambda x, p: (np.array([float(os.getpid())]), 0.0))
+    df = spark.createDataFrame([(i, f"some words {'bad' * (i % 2)} {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert V.train(df, labels)["weights"][0] != os.getpid()
+
+
 def test_label_model_finds_known_rates_and_correlations():
     import numpy as np
 
